@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Bytes of text that an operator turns into arrays at once (one longer document makes a chunk of its own).
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def id_remainder(id_col: str, mod: int) -> Column:

@@ -28,7 +28,7 @@ from sheetwise.runtime import cut, ship
 
 BITS, DIMS, NONZERO, WINDOW = 12, 32, 4, 2
 #: Bytes of text in a chunk; each token of it takes a vector.
-TEXT = 1 << 20
+TEXT = 1 << 19
 
 
 def index_vectors(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:

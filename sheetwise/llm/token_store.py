@@ -47,7 +47,7 @@ MAGIC, VERSION = b"SWTK", 1
 DICT_BYTES, DICT_DOCS, DICT_CHARS = 64 << 10, 2000, 20_000
 SHARD_BYTES = 4 << 20
 #: Distinct pre-tokens whose ids a worker keeps; later ones are encoded again for each batch.
-CACHE = 1_000_000
+CACHE = 400_000
 HEAD = struct.Struct("<4sI32sQ")
 
 
