@@ -20,6 +20,11 @@ BETTER = {"kmeans": 0.005, "agglomerative": 0.003}
 GRID = 10_000
 
 
+def dealt(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``df`` by key in as many partitions as a shuffle has: little data, but much work for each group."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 # Clustering ------------------------------------------------------------------------------------------------------------------
 
 def cluster_dbscan(points: DataFrame, eps: float, min_samples: int = 1, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -118,7 +123,7 @@ def _partition(points: DataFrame, ks: list[int], keys: tuple[str, ...], method:
             return pdf.iloc[:0]
         return pdf.assign(label=method(pdf[["x", "y"]].to_numpy(), k).astype("int32"))
 
-    return spread.groupBy(*keys, "k").applyInPandas(run, schema)
+    return dealt(spread, (*keys, "k")).groupBy(*keys, "k").applyInPandas(run, schema)
 
 
 def silhouette(labelled: DataFrame, keys: tuple[str, ...] = (*KEYS, "k")) -> DataFrame:
@@ -222,10 +227,11 @@ def density_peak(values: DataFrame, extent: float, keys: tuple[str, ...] = KEYS)
         v = pdf["v"].dropna().to_numpy(float)
         width = 0.2 * v.std(ddof=1) if len(v) > 1 else 0.0
         grid = np.linspace(0, extent, GRID)
-        peak = grid[np.exp(-0.5 * ((grid[:, None] - v[None]) / width) ** 2).sum(axis=1).argmax()] if width > 0 else (float(v.mean()) if len(v) else np.nan)
+        own, times = np.unique(v, return_counts=True)
+        peak = grid[(np.exp(-0.5 * ((grid[:, None] - own[None]) / width) ** 2) @ times).argmax()] if width > 0 else (float(v.mean()) if len(v) else np.nan)
         return pdf[list(keys)].head(1).assign(peak=float(peak))
 
-    return values.select(*keys, "v").groupBy(*keys).applyInPandas(run, schema)
+    return dealt(values.select(*keys, "v"), keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def isolate_legend(landmarks: DataFrame, width: float, height: float, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -79,7 +79,7 @@ from (select s.sheet_id, a.i as j, b.i as m, 460e0 + 198 * a.i + 14 * b.i as x,
 from (select s.sheet_id, a.i as j, c.i as k, b.i as m, cast((s.sheet_id * 5 + c.i * 13 + a.i * 7) % 1000 as string) as v, 440e0 + 198 * a.i + 14 * b.i as x, 1802e0 + 60 * c.i as y
  from sheets s cross join n a cross join n b cross join n c where a.i < 13 and b.i < 3 and c.i < 8 and (s.sheet_id + c.i + a.i) % 3 = 0) q where m < length(v)''',
     "symbols": f'''select sheet_id, source, 60000 + g * 1000 + i as det_id, {BOX.format(10, 10)}, x as kp_x, y as kp_y, 0.5e0 + cast((sheet_id + i * 7 + g) % 64 as double) / 128e0 as confidence
-from (select s.sheet_id, a.i, g, source, 408e0 + 66 * (a.i % 40) + (s.sheet_id + a.i) % 5 as x, 740e0 + (s.sheet_id * 11 + a.i * 37 + g * 211) % 970 as y
+from (select s.sheet_id, a.i, g, source, 408e0 + 66 * (a.i % 40) + (s.sheet_id + a.i) % 5 as x, 740.25e0 + (s.sheet_id * 11 + a.i * 37 + g * 211) % 970 as y
  from sheets s cross join n a cross join ({_values([("systolic", 0), ("diastolic", 1), ("heart_rate", 2)], "source, g")}) v where a.i < 60 and a.i % 3 <> 2) q''',
     "box_marks": f'''select form, sheet_id, 70000 + idx * 4 + m as det_id, case when (sheet_id + idx + m) % 3 = 0 then 'checked' else 'unchecked' end as category, {BOX.format(14, 14)}
 from (select form, sheet_id, idx, i as m, cx * 3300 + 5 * i + (sheet_id + idx) % 7 - 3 as x, cy * 2550 + (sheet_id + idx) % 5 - 2 as y from sheets cross join box_centroids cross join n where i <= (sheet_id + idx) % 2 and (sheet_id * 5 + idx) % 13 <> 0) q''',
