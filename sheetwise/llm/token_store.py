@@ -41,11 +41,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sheetwise.llm.common import code_points, text_chunks
-from sheetwise.runtime import ship, shared_dir
+from sheetwise.runtime import cut, shared_dir, ship
 
 MAGIC, VERSION = b"SWTK", 1
 DICT_BYTES, DICT_DOCS, DICT_CHARS = 64 << 10, 2000, 20_000
 SHARD_BYTES = 4 << 20
+#: Up to this many shards, their starts are broadcast when a store is read (24 bytes each).
+BROADCAST_SHARDS = 100_000
 #: Distinct pre-tokens whose ids a worker keeps; later ones are encoded again for each batch.
 CACHE = 400_000
 HEAD = struct.Struct("<4sI32sQ")
@@ -245,6 +247,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     before_part = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("p"))
     starts = small.withColumn("s", F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")).join(before_part, "part").select("part", "shard", (F.col("p") + F.col("s")).alias("start"))
 
+    starts = cut(spark, starts)
+    if starts.count() <= BROADCAST_SHARDS:  # then the blobs are not shuffled
+        starts = F.broadcast(starts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, shard, doc_ids, blob, start in zip(*(c.to_pylist() for c in b.columns)):
