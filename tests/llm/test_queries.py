@@ -74,10 +74,13 @@ def test_quality_held_out(spark):
 
 
 def test_toxicity_ranks_held_out(spark):
-    toxic = {r["doc_id"]: r["toxic"] for r in table(SF, "labels")}
-    rows = [r for r in queries.op10_toxicity(spark, SF).collect() if r.held_out and r.doc_id in toxic]
-    bad, fine = ([r.score for r in rows if toxic[r.doc_id] == k] for k in (1, 0))
-    assert np.mean([[x > y for y in fine] for x in bad]) > 0.6
+    """At sf0.1, as sf0.01 has about thirty toxic rows to learn from."""
+    sf = "/root/testdata/sf0.1"
+    toxic = {r["doc_id"]: r["toxic"] for r in table(sf, "labels")}
+    rows = [r for r in queries.op10_toxicity(spark, sf).collect() if r.held_out and r.doc_id in toxic]
+    bad, fine = (np.array([r.score for r in rows if toxic[r.doc_id] == k]) for k in (1, 0))
+    assert np.mean(bad[:, None] > fine[None]) > 0.75
+    assert np.mean(fine >= 0.7) < 0.02
     assert all(0 <= r.score <= 1 for r in rows)
 
 
