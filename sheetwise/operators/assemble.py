@@ -41,15 +41,13 @@ def merge_sections(*facts: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame
 def legend_clusters(landmarks: DataFrame, method: str = "dbscan", eps: float = 20.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Clusters of both legends' digits with labels and positions."""
     digits = cut(landmarks.sparkSession, legend.isolate_legend(landmarks, WIDTH, HEIGHT, keys))
-    out = []
-    for unit, ks in (("mins", TIME_KS), ("mmhg", VALUE_KS)):
-        own = digits.where(F.col("axis") == unit)
-        if method == "dbscan":
-            clustered = legend.cluster_dbscan(own, eps, 1, keys)
-        else:
-            clustered = {"kmeans": legend.cluster_kmeans, "agglomerative": legend.cluster_agglomerative}[method](own, ks, keys)
-        out.append(legend.cluster_boxes(clustered, unit, keys))
-    return out[0].unionByName(out[1])
+    if method == "dbscan":  # both axes at once
+        both = cut(landmarks.sparkSession, legend.cluster_dbscan(digits, eps, 1, (*keys, "axis")))
+        parts = {u: both.where(F.col("axis") == u) for u in legend.UNITS}
+    else:
+        cluster = {"kmeans": legend.cluster_kmeans, "agglomerative": legend.cluster_agglomerative}[method]
+        parts = {u: cluster(digits.where(F.col("axis") == u), ks, keys) for u, ks in (("mins", TIME_KS), ("mmhg", VALUE_KS))}
+    return _union([legend.cluster_boxes(df, u, keys) for u, df in parts.items()])
 
 
 def interpret_front(det: DataFrame, centroids: DataFrame, template: DataFrame, method: str = "dbscan", keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.functions import geometry as G
@@ -45,25 +45,24 @@ def nearest_centroid(det: DataFrame, centroids: DataFrame, width: Column, height
     return best.select(*keys, "form", "det_id", "ord", "category", "n.name", "n.dist")
 
 
+def _labels(legend: DataFrame, place: str, label: str, keys: tuple[str, ...]) -> DataFrame:
+    """The labels of each sheet as one array; a printed legend has some dozens."""
+    return legend.groupBy(*keys).agg(F.collect_list(F.struct(F.col(place).alias("place"), F.col(label).alias("label"))).alias("_labels"))
+
+
 def nearest_label_1d(points: DataFrame, legend: DataFrame, at: Column, place: str, label: str = "label", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Adds the label whose ``place`` is closest to ``at``; sheets without labels give no rows."""
-    own = legend.select(*keys, F.col(label).alias("_label"), F.col(place).alias("_place"))
-    met = points.withColumn("_at", at).join(own, list(keys)).withColumn("_dist", F.abs(F.col("_place") - F.col("_at")))
-    cols = [c for c in points.columns if c not in (*keys, "det_id")]
-    best = met.groupBy(*keys, "det_id").agg(*[F.any_value(c).alias(c) for c in cols], F.min_by("_label", F.struct("_dist", "_place", "_label")).alias(label))
-    return best.select(*points.columns, label)
+    met = points.withColumn("_at", at).join(_labels(legend, place, label, keys), list(keys))
+    near = F.array_min(F.transform("_labels", lambda x: F.struct(F.abs(x["place"] - F.col("_at")).alias("d"), x["place"].alias("place"), x["label"].alias("label"))))
+    return met.select(*points.columns, near["label"].alias(label))
 
 
 def two_nearest_1d(points: DataFrame, legend: DataFrame, at: Column, place: str, value: str = "value", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Adds value and place of the closest and second-closest legend value; points with fewer than two give no rows."""
-    own = legend.select(*keys, F.col(value).alias("_value"), F.col(place).alias("_place"))
-    met = points.withColumn("_at", at).join(own, list(keys))
-    rank = F.row_number().over(Window.partitionBy(*keys, "det_id").orderBy(F.abs(F.col("_place") - F.col("_at")), "_value"))
-    two = met.withColumn("_rank", rank).where("_rank <= 2")
-    cols = [c for c in points.columns if c not in (*keys, "det_id")]
-    pick = lambda c, i: F.max(F.when(F.col("_rank") == i, F.col(c)))
-    out = two.groupBy(*keys, "det_id").agg(*[F.any_value(c).alias(c) for c in cols], pick("_value", 1).alias("v1"), pick("_place", 1).alias("p1"), pick("_value", 2).alias("v2"), pick("_place", 2).alias("p2"))
-    return out.where("v2 is not null").select(*points.columns, "v1", "p1", "v2", "p2")
+    met = points.withColumn("_at", at).join(_labels(legend, place, value, keys), list(keys)).where(F.size("_labels") >= 2)
+    near = F.slice(F.array_sort(F.transform("_labels", lambda x: F.struct(F.abs(x["place"] - F.col("_at")).alias("d"), x["label"].alias("v"), x["place"].alias("p")))), 1, 2)
+    two = met.withColumn("_two", near)
+    return two.select(*points.columns, *[F.col("_two")[i][c].alias(f"{c}{i + 1}") for i in (0, 1) for c in "vp"])
 
 
 def in_intervals(points: DataFrame, intervals: DataFrame, at: Column, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -14,6 +14,7 @@ from sheetwise.operators import assemble, boxes, decode, fields, legend, nearest
 from sheetwise.plans import oracles as O
 from sheetwise.plans.fixtures import duckdb_sql, load
 from sheetwise.plans.oracles import CX, CY, B, L, R, T
+from sheetwise.runtime import cut
 from sheetwise.schema import BOX, COCO, LABEL_STUDIO
 from sheetwise.sources import formats
 
@@ -217,9 +218,9 @@ def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
 
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
     """Labelled clusters of the derived legends; axes come from the digits themselves."""
-    digits = load(spark, d, "legend_digits")
-    parts = [legend.cluster_boxes(legend.cluster_dbscan(digits.where(F.col("axis") == u), 20.0), u) for u in legend.UNITS]
-    return parts[0].unionByName(parts[1])
+    found = cut(spark, legend.cluster_dbscan(load(spark, d, "legend_digits"), 20.0, keys=("sheet_id", "axis")))
+    parts = [legend.cluster_boxes(found.where(F.col("axis") == u), u) for u in legend.UNITS]
+    return cut(spark, parts[0].unionByName(parts[1]))
 
 
 def _symbols(spark: SparkSession, d: str) -> DataFrame:
