@@ -67,7 +67,8 @@ def interpret_front(det: DataFrame, centroids: DataFrame, template: DataFrame, m
         fields.physiological_indicators(of("numbers"), places, of("landmarks"), WIDTH, HEIGHT, keys),
         fields.checkboxes(boxes, centroids, width, height, "intraoperative", keys=keys),
     ]
-    return _union(parts)
+    # Each part is written by itself: one plan over all of them is slow to run.
+    return _union([cut(spark, p) for p in parts])
 
 
 def interpret_back(det: DataFrame, centroids: DataFrame, template: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheetwise.functions import geometry as G
 from sheetwise.operators.nearest import small
+from sheetwise.runtime import cut
 from sheetwise.schema import KEYS
 
 #: Corner landmarks of each side (fixed values), in the order in which they span the unit square.
@@ -49,7 +50,8 @@ def fit_homography(pairs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """
     ok = pairs.where("status = 'ok'")
     names = [f"{s}{i}" for s in "ab" for i in range(9)]
-    maps = ok.select(*keys, *[e.alias(n) for n, e in zip(names, _square_to_quad("x", "y") + _square_to_quad("u", "v"))])
+    # A row per sheet; written, as Spark would otherwise copy these expressions into every use of theirs.
+    maps = cut(pairs.sparkSession, ok.select(*keys, *[e.alias(n) for n, e in zip(names, _square_to_quad("x", "y") + _square_to_quad("u", "v"))]))
     a = [F.col(f"a{i}") for i in range(9)]
     b = [F.col(f"b{i}") for i in range(9)]
     adj = [
@@ -58,6 +60,7 @@ def fit_homography(pairs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
         a[3] * a[7] - a[4] * a[6], a[1] * a[6] - a[0] * a[7], a[0] * a[4] - a[1] * a[3],
     ]
     product = maps.select(*keys, *[sum((b[3 * i + k] * adj[3 * k + j] for k in range(1, 3)), b[3 * i] * adj[j]).alias(f"m{i}{j}") for i in range(3) for j in range(3)])
+    product = cut(pairs.sparkSession, product)
     h = product.select(*keys, *[F.try_divide(F.col(f"m{i}{j}"), F.col("m22")).alias(f"h{i + 1}{j + 1}") for i in range(3) for j in range(3)])
     return h.where("h11 is not null")
 
