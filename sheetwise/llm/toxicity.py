@@ -3,6 +3,8 @@
 A text's subwords are the character n-grams of its distinct words (``SIZES`` bytes, with a mark before and after each word),
 hashed to ``2**BITS`` buckets. ``PAD`` empty subwords stand beside them, so that a very short text is not judged by a few. Each bucket has an embedding; the mean over a text's subwords goes into a softmax over two classes.
 Embeddings and softmax are trained together, so a misspelling that was never seen shares the vectors of the n-grams it has left.
+In the mean a bucket counts by its rarity among the training texts, and not at all if fewer than ``LEAST`` of them have it. All embeddings share one
+step size: with a step of its own for each bucket, as in plain Adam, buckets of one or two texts learn those texts by heart.
 
 Training takes at most ``sample`` labelled rows of each class, chosen by a hash of their ids. As everything after the mean
 is linear, scoring needs one number for each bucket: its embedding times the difference of the two softmax rows.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from sheetwise.llm.common import mix, sums, text_chunks, token_hashes
 from sheetwise.runtime import ship
 
-BITS, SIZES, DIMS, PAD = 17, (4, 5, 6), 4, 1000
+BITS, SIZES, DIMS, PAD, LEAST = 17, (3, 4, 5, 6), 4, 1000, 5
 #: Means are over thousands of subwords; this factor brings them near 1.
 SCALE = 100.0
 #: Bytes as parts of words in lower case, all else as a space; and which bytes are parts of words.
@@ -105,17 +107,27 @@ def bags(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, bytes]]
         yield own.astype(np.int32).tobytes(), (times / n).astype(np.float32).tobytes()
 
 
-def train(index: list[np.ndarray], share: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.05, seed: int = 5) -> Model:
-    """Adam on mini-batches, over embeddings and softmax together."""
+def rarity(index: list[np.ndarray]) -> np.ndarray:
+    """Weight of each bucket, 0 to 1: the log of its inverse share of the texts, over the log of their number."""
+    seen = np.zeros(1 << BITS, np.int64)
+    for i in index:
+        seen[i] += 1
+    n = np.log(len(index) + 1)
+    return np.where(seen >= LEAST, 1 - np.log(seen + 1) / n, 0).astype(np.float32)
+
+
+def train(index: list[np.ndarray], share: list[np.ndarray], y: np.ndarray, epochs: int = 10, batch: int = 128, rate: float = 0.3, seed: int = 5) -> Model:
+    """Momentum on mini-batches, over embeddings and softmax together; a matrix's steps are divided by its largest recent gradient."""
     size = 1 << BITS
     if len(np.unique(y)) < 2:
         return Model(np.zeros(size, np.float32), 50.0 if len(y) and y[0] else -50.0)
     rng = np.random.default_rng(seed)
-    e = rng.normal(0, 0.05, (size, DIMS)).astype(np.float32)
+    rare = rarity(index) * np.float32(SCALE)
+    e = rng.normal(0, 0.001, (size, DIMS)).astype(np.float32)
     u, bias = rng.normal(0, 0.3, (DIMS, 2)).astype(np.float32), np.zeros(2, np.float32)
     weight = np.where(y == 1, len(y) / max(1, 2 * y.sum()), len(y) / max(1, 2 * (len(y) - y.sum()))).astype(np.float32)
     p = [e, u, bias]
-    m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
+    m, v, t = [np.zeros_like(a) for a in p], [0.0 for _ in p], 0
     order = np.arange(len(y))
     steps = epochs * -(-len(y) // batch)
     for _ in range(epochs):
@@ -123,7 +135,7 @@ def train(index: list[np.ndarray], share: list[np.ndarray], y: np.ndarray, epoch
         for s in range(0, len(order), batch):
             k = order[s : s + batch]
             ids = np.concatenate([index[i] for i in k])
-            val = np.concatenate([share[i] for i in k]) * np.float32(SCALE)
+            val = np.concatenate([share[i] for i in k]) * rare[ids]
             n = np.array([len(index[i]) for i in k])
             row = np.repeat(np.arange(len(k)), n)
             mean = np.stack([np.bincount(row, val * e[ids, d], len(k)) for d in range(DIMS)], axis=1).astype(np.float32)
@@ -138,9 +150,9 @@ def train(index: list[np.ndarray], share: list[np.ndarray], y: np.ndarray, epoch
             lr = rate * (1 - (t - 1) / steps)
             for j, g in enumerate((ge, mean.T @ q, q.sum(axis=0))):
                 m[j] += np.float32(0.1) * (g - m[j])
-                v[j] += np.float32(0.01) * (g * g - v[j])
-                p[j] -= (lr * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
-    return Model((e @ (u[:, 1] - u[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+                v[j] += 0.01 * (float(np.max(g * g)) - v[j])
+                p[j] -= (m[j] * (lr / (1 - 0.9**t) / (np.sqrt(v[j] / (1 - 0.99**t)) + 1e-6))).astype(np.float32)
+    return Model((e @ (u[:, 1] - u[:, 0]) * rare / np.float32(SCALE)).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 2500) -> Model:
