@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages; each works on all that the one before kept."""
+"""A corpus pipeline of five stages; each works on all that the one before kept.
+
+Texts that are null, empty or without letters go in the first stage; long ones are worked on whole. Null sources, languages and ids are groups of their own in
+mixing; extra columns pass through all stages but the last; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -25,9 +29,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate component."""
+    """Keeps the document with the smallest id of each near-duplicate component, and of its repeated rows (same id and text) one.
+
+    Rows without an id stay: no component is named after them.
+    """
     kept = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi")
+    named = docs.join(kept.hint("merge"), docs["doc_id"] == kept["_kept"], "left_semi")
+    # The join has dealt the rows by id already, so this adds no shuffle.
+    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
