@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sheetwise.llm import compact_windows, digest_index, fm_index, lang_bloom, mixing, quality, simhash, token_store, toxicity, url_trie
 from sheetwise.llm.queries import tokenizer_path
 
@@ -211,3 +212,14 @@ def test_windows_are_those_of_the_cartesian_tree():
             if high - low + 1 >= 20:
                 want.add((t, low, c, high))
     assert got == want
+
+
+def test_near_dedup_stage(spark, docs, none):
+    """Copies and repeated rows leave one document; rows without an id and unlike rows that share an id stay."""
+    more = spark.createDataFrame([(9, "alpha beta gamma delta"), (9, "one two three four five"), (None, "the quick brown fox")], "doc_id long, text string")
+    rows = docs.withColumn("_kept", F.lit(1)).unionByName(more, allowMissingColumns=True)
+    got = corpus_pipeline.near_dedup(spark, rows, "")
+    assert got.columns == rows.columns
+    found = sorted((r.doc_id or 0, (r.text or "")[:9]) for r in got.collect())
+    assert found == [(0, "le renard"), (0, "the quick"), (1, "the quick"), (2, ""), (6, "12 34 !!"), (7, "wort0 wor"), (8, "der schne"), (9, "alpha bet"), (9, "one two t")]
+    assert corpus_pipeline.near_dedup(spark, none, "").count() == 0
