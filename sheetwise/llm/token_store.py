@@ -13,7 +13,8 @@ their ids; every document is stored whole. Where too few documents exist to trai
 are the dictionary, or none.
 
 Tokenisation: pre-tokens of a byte-level BPE do not influence each other, so the tokenizers library encodes each distinct one
-once for a task, and texts are put together from those ids. The tests compare this with encoding whole texts.
+once for a task, and texts are put together from those ids. A text that holds the string of an added token is encoded
+whole, and code points are classed as the tokenizer itself does. The tests compare this with encoding whole texts.
 
 Edge cases: a null text counts as empty and has the end id only. Null ids come first. Rows with equal ids are
 ordered by their text. An empty table makes an empty store. Extra columns are ignored.
@@ -65,14 +66,14 @@ def kinds() -> np.ndarray:
     return table
 
 
-def piece_starts(points: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Where the pre-tokens of byte-level BPE begin; ``texts`` are the offsets of the texts.
+def piece_starts(points: np.ndarray, texts: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Where the pre-tokens of byte-level BPE begin; ``texts`` are the offsets of the texts, ``table`` is like :func:`kinds`.
 
     A pre-token is a run of letters, numbers or other signs, with one space before it; an English contraction
     after such a run; or a run of white space up to the last one before something else.
     """
     n = len(points)
-    kind = kinds()[points]
+    kind = (kinds() if table is None else table)[points]
     start = np.ones(n + 1, bool)
     same = kind[1:] == kind[:-1]
     start[1:n] = ~same
@@ -101,9 +102,30 @@ class Encoder:
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.end = struct.pack("<I", end_id)
         self.known: dict[str, bytes] = {}
+        self.kinds, self.checked = kinds().copy(), np.zeros(sys.maxunicode + 1, bool)
+
+    def _check(self, points: np.ndarray) -> None:
+        """Class new code points as the tokenizer does, whose Unicode tables are of another version than ours."""
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        for c in np.unique(points[~self.checked[points]]).tolist():
+            self.kinds[c] = next((kind for kind, probe in ((1, "a"), (2, "1"), (3, "!")) if len(split(probe + chr(c))) == 1), 0)
+            self.checked[c] = True
+
+    def _holding_added(self, raw: bytes, offsets: np.ndarray) -> list[int]:
+        """Texts that hold the string of an added token, which the library finds before it splits a text."""
+        out: set[int] = set()
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                i = int(np.searchsorted(offsets, at, "right")) - 1
+                inside = at + len(content) <= offsets[i + 1]
+                if inside:
+                    out.add(i)
+                at = raw.find(content, int(offsets[i + 1]) if inside else at + 1)
+        return sorted(out)
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         ids = {p: array("I", e.ids).tobytes() for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False))}
@@ -114,8 +136,10 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Ids of each text, with the end id, of UTF-8 bytes and the texts' offsets."""
         points, texts = code_points(data, offsets)
-        starts = piece_starts(points, texts) if len(points) else np.zeros(0, np.int64)
-        whole, at = data.tobytes().decode("utf-8"), [*starts.tolist(), len(points)]
+        self._check(points)
+        starts = piece_starts(points, texts, self.kinds) if len(points) else np.zeros(0, np.int64)
+        raw = data.tobytes()
+        whole, at = raw.decode("utf-8"), [*starts.tolist(), len(points)]
         pieces = [whole[s:e] for s, e in zip(at, at[1:])]
         found = list(map(self.known.get, pieces))
         missing = [i for i, x in enumerate(found) if x is None]
@@ -124,7 +148,11 @@ class Encoder:
             for i in missing:
                 found[i] = ids[pieces[i]]
         cuts = np.searchsorted(starts, texts).tolist()
-        return [b"".join(found[s:e]) + self.end for s, e in zip(cuts, cuts[1:])]
+        out = [b"".join(found[s:e]) + self.end for s, e in zip(cuts, cuts[1:])]
+        for i in self._holding_added(raw, offsets):
+            ids = self.tokenizer.encode(raw[offsets[i] : offsets[i + 1]].decode("utf-8"), add_special_tokens=False).ids
+            out[i] = array("I", ids).tobytes() + self.end
+        return out
 
 
 @lru_cache(1)

@@ -132,6 +132,20 @@ def test_pieces_equal_whole_texts():
         assert g == np.array([*x.ids, 2], "<u4").tobytes()
 
 
+def test_pieces_equal_a_plain_tokenizer():
+    """Strings of added tokens, and code points that Unicode versions class differently, against a tokenizer as it is loaded."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    parts = ["a", " ", "1", "!", "<|endoftext|>", "<|endof", "text|>", "\u0558", "\ua7ce", "\u0c5c", "\U00011de1", "\U00012475", "\u208f", "é"]
+    texts = ["a<|endoftext|>b", "<|endof", "text|>", "", "<|endoftext|>"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    raw = [t.encode() for t in texts]
+    got = token_store.Encoder(tokenizer_path(), 2).encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert got[0] == np.array([64, 50256, 65, 2], "<u4").tobytes()
+    for g, x in zip(got, Tokenizer.from_file(tokenizer_path()).encode_batch(texts, add_special_tokens=False)):
+        assert g == np.array([*x.ids, 2], "<u4").tobytes()
+
+
 def brute_contamination(text, items):
     words = fm_index.words_of((text or "").encode())
     hit, found = set(), set()
