@@ -212,6 +212,34 @@ def test_passages(spark, docs, none):
     assert compact_windows.near_duplicate_passages(docs).count() == 9
 
 
+def test_identical_passages_behind_frequent_lines(spark):
+    """Passages that two documents share, each around a line that many others have too, against brute force."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = [word() for _ in range(30)]
+    rows = []
+    for i in range(40):
+        p = [word() for _ in range(12)] + line + [word() for _ in range(12)]
+        rows += [(2 * i + j, [word() for _ in range(60)] + p + [word() for _ in range(60)]) for j in (0, 1)]
+    rows += [(100 + i, [word() for _ in range(60)] + line + [word() for _ in range(60)]) for i in range(40)]
+    rows += [(200, [word() for _ in range(50)] + line + [word() for _ in range(50)] + rows[0][1][60:114])]
+    where = {}
+    for i, w in rows:
+        for j in range(len(w) - 49):
+            where.setdefault(tuple(w[j : j + 50]), []).append((i, j))
+    hit = {i: set() for i, _ in rows}
+    for found in where.values():
+        if len({i for i, _ in found}) > 1:
+            for i, j in found:
+                hit[i] |= set(range(j, j + 50))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in compact_windows.near_duplicate_passages(df).collect()}
+    for i, _ in rows:
+        assert hit[i] <= {j for x in got[i].spans for j in range(x.start, x.end)}
+    assert all(got[2 * i].class_id == got[2 * i + 1].class_id for i in range(40)) and got[200].class_id == got[0].class_id
+    assert len({got[2 * i].class_id for i in range(40)}) == 40 and all(got[100 + i].n_repeated == 0 for i in range(40))
+
+
 def test_windows_are_those_of_the_cartesian_tree():
     rng = np.random.default_rng(5)
     h = rng.integers(0, 1 << 62, 300).astype(np.uint64) << np.uint64(1)
