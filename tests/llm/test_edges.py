@@ -240,6 +240,27 @@ def test_identical_passages_behind_frequent_lines(spark):
     assert len({got[2 * i].class_id for i in range(40)}) == 40 and all(got[100 + i].n_repeated == 0 for i in range(40))
 
 
+def test_verification_chains_runs_and_searches_them():
+    rng = np.random.default_rng(9)
+    new = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+
+    def found(a, b, shifts):
+        edges = np.array([(f, 0, 0, len(a) - 1, 0, s, len(b) - 1) for f in range(2) for s in shifts])
+        return compact_windows.verify(a, b, edges, 46, 0.8)
+
+    # Six words inserted into a passage of 90: two runs of 41, ten new items between them in one document, four in the other.
+    one, two = new(41), new(41)
+    a, b = np.concatenate((one, new(4), two)), np.concatenate((one, new(10), two))
+    assert found(a, b, (0, 6)) == [(0, 85, 0, 91)]
+    # An identical passage of 60 words next to 60 words of which every seventh differs.
+    tail = new(60)
+    edited = np.where(np.arange(60) % 7 < 2, tail, new(60))
+    same = new(56)
+    got = found(np.concatenate((new(9), same, tail)), np.concatenate((new(9), same, edited)), (0,))
+    assert any(s <= 9 and e >= 64 for s, e, _, _ in got)
+    assert found(new(100), new(100), (0,)) == []
+
+
 def test_windows_are_those_of_the_cartesian_tree():
     rng = np.random.default_rng(5)
     h = rng.integers(0, 1 << 62, 300).astype(np.uint64) << np.uint64(1)
