@@ -66,6 +66,11 @@ def keypoint_inside(p: str = "") -> Column:
     return (left < x) & (x < right) & (top < y) & (y < bottom)
 
 
+def stated(value: Column, places: int = 6) -> Column:
+    """A coordinate or distance at the precision at which it is compared: a millionth of a pixel, if not said otherwise."""
+    return F.round(value, places)
+
+
 def mean_ignoring_nulls(*values: Column) -> Column:
     """Mean of the values that are not null; null if all are."""
     total = sum((F.coalesce(v, F.lit(0.0)) for v in values), F.lit(0.0))

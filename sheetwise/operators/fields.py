@@ -98,7 +98,8 @@ def inhaled_volatile_region(digits: DataFrame, landmarks: DataFrame, keys: tuple
     bounds = found.select(*keys, G.mean_ignoring_nulls(F.col("a"), F.col("b")).alias("_top"), G.mean_ignoring_nulls(F.col("c"), F.col("d")).alias("_bottom"))
     if fail:
         bounds = bounds.withColumn("_top", G.raise_unless(F.col("_top").isNotNull() & F.col("_bottom").isNotNull(), "landmarks of the inhaled volatile row are missing", F.col("_top")))
-    return digits.join(bounds, list(keys)).where((F.col("_top") < y) & (y < F.col("_bottom"))).drop("_top", "_bottom")
+    y = G.stated(y)
+    return digits.join(bounds, list(keys)).where((G.stated(F.col("_top")) < y) & (y < G.stated(F.col("_bottom")))).drop("_top", "_bottom")
 
 
 def digits_to_decimal(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -155,7 +156,8 @@ def bp_hr_area_filter(points: DataFrame, clusters: DataFrame, keys: tuple[str, .
         F.min(F.when(mmhg, F.col("env_top"))).alias("_top"), F.max(F.when(mmhg, F.col("env_bottom"))).alias("_bottom"),
         F.min(F.when(mins, F.col("env_left"))).alias("_left"), F.max(F.when(mins, F.col("env_right"))).alias("_right"),
     )
-    return points.join(edge, list(keys)).where("bottom > _top and top < _bottom and left > _left and right < _right").drop("_top", "_bottom", "_left", "_right")
+    s = lambda c: G.stated(F.col(c))
+    return points.join(edge, list(keys)).where((s("bottom") > s("_top")) & (s("top") < s("_bottom")) & (s("left") > s("_left")) & (s("right") < s("_right"))).drop("_top", "_bottom", "_left", "_right")
 
 
 def find_timestamp(points: DataFrame, clusters: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -167,8 +169,8 @@ def find_value(points: DataFrame, clusters: DataFrame, keys: tuple[str, ...] = K
     """Adds ``reading``: the smaller of the two nearest labels plus tenths of the distance between them, as whole units of a step of 10."""
     near = nearest.two_nearest_1d(points, clusters.where("unit = 'mmhg'"), F.col("kp_y"), "env_cy", keys=keys)
     low = F.when(F.col("v1") <= F.col("v2"), F.col("p1")).otherwise(F.col("p2"))
-    part = F.try_divide(F.abs(low - F.col("kp_y")), F.abs(F.col("p1") - F.col("p2"))) * 10
-    return near.withColumn("reading", F.least("v1", "v2") + part.cast("int")).drop("v1", "p1", "v2", "p2")
+    part = F.try_divide(F.abs(low - F.col("kp_y")), F.abs(F.col("p1") - F.col("p2"))) * 10  # at a stated precision before it is cut
+    return near.withColumn("reading", F.least("v1", "v2") + G.stated(part).cast("int")).drop("v1", "p1", "v2", "p2")
 
 
 def best_per_group(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -204,4 +206,5 @@ def drug_dosage_region(digits: DataFrame, landmarks: DataFrame, keys: tuple[str,
     names = {"d": "drug_name", "u": "units", "v": "inhaled_volatile", "e": "inhaled_exhaled"}
     at = landmark_values(landmarks, {f"{k}{c}": (n, e) for k, n in names.items() for c, e in (("x", x), ("y", y))}, keys)
     edge = at.select(*keys, ((F.col("dx") + F.col("vx")) / 2).alias("_l"), ((F.col("dy") + F.col("uy")) / 2).alias("_t"), ((F.col("ux") + F.col("ex")) / 2).alias("_r"), ((F.col("vy") + F.col("ey")) / 2).alias("_b"))
-    return digits.join(edge, list(keys)).where((F.col("_l") < x) & (x < F.col("_r")) & (F.col("_t") < y) & (y < F.col("_b"))).drop("_l", "_t", "_r", "_b")
+    x, y, s = G.stated(x), G.stated(y), lambda c: G.stated(F.col(c))
+    return digits.join(edge, list(keys)).where((s("_l") < x) & (x < s("_r")) & (s("_t") < y) & (y < s("_b"))).drop("_l", "_t", "_r", "_b")

@@ -1,4 +1,7 @@
-"""Nearest-neighbour and interval joins between detections and small reference tables."""
+"""Nearest-neighbour and interval joins between detections and small reference tables.
+
+Distances and places are compared at a stated precision (:func:`geometry.stated`), so that a tie is one however its coordinates were computed.
+"""
 
 from __future__ import annotations
 
@@ -20,6 +23,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _distance() -> Column:
+    """From a detection's to a centroid's centre, both of 0..1."""
+    return F.sqrt(F.pow(F.col("nx") - F.col("cx"), 2) + F.pow(F.col("ny") - F.col("cy"), 2))
+
+
 def nearest_per_target(det: DataFrame, centroids: DataFrame, width: Column, height: Column, radius: float = DIGIT_RADIUS, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """For each sheet and centroid (form, name, cx, cy) the nearest detection within ``radius``; one may serve many centroids.
 
@@ -29,19 +37,17 @@ def nearest_per_target(det: DataFrame, centroids: DataFrame, width: Column, heig
     near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     targets = centroids.select("form", "name", "cx", "cy").withColumn("cell_x", F.explode(F.transform(near, lambda i: cell(F.col("cx")) + i))).withColumn("cell_y", F.explode(F.transform(near, lambda i: cell(F.col("cy")) + i)))
     points = normalize_center(det, width, height).withColumns({"cell_x": cell(F.col("nx")), "cell_y": cell(F.col("ny"))})
-    dist = F.sqrt(F.pow(F.col("nx") - F.col("cx"), 2) + F.pow(F.col("ny") - F.col("cy"), 2))
-    met = points.join(small(targets), ["form", "cell_x", "cell_y"]).withColumn("dist", dist).where(F.col("dist") < radius)
-    best = met.groupBy(*keys, "form", "name").agg(F.min_by(F.struct("category", "det_id", "ord", "dist"), F.struct("dist", "ord")).alias("d"))
+    met = points.join(small(targets), ["form", "cell_x", "cell_y"]).withColumn("dist", _distance()).where(F.col("dist") < radius)
+    best = met.groupBy(*keys, "form", "name").agg(F.min_by(F.struct("category", "det_id", "ord", "dist"), F.struct(G.stated(F.col("dist"), 10).alias("d"), "ord")).alias("d"))
     return best.select(*keys, "form", "name", "d.category", "d.det_id", "d.dist")
 
 
 def nearest_centroid(det: DataFrame, centroids: DataFrame, width: Column, height: Column, max_dist: float | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """For each detection the nearest centroid of its form, whatever the distance unless ``max_dist`` is given."""
-    dist = F.sqrt(F.pow(F.col("nx") - F.col("cx"), 2) + F.pow(F.col("ny") - F.col("cy"), 2))
-    met = normalize_center(det, width, height).join(small(centroids.select("form", "name", "cx", "cy")), "form").withColumn("dist", dist)
+    met = normalize_center(det, width, height).join(small(centroids.select("form", "name", "cx", "cy")), "form").withColumn("dist", _distance())
     if max_dist is not None:
         met = met.where(F.col("dist") < max_dist)
-    best = met.groupBy(*keys, "form", "det_id", "ord", "category").agg(F.min_by(F.struct("name", "dist"), F.struct("dist", "name")).alias("n"))
+    best = met.groupBy(*keys, "form", "det_id", "ord", "category").agg(F.min_by(F.struct("name", "dist"), F.struct(G.stated(F.col("dist"), 10).alias("d"), "name")).alias("n"))
     return best.select(*keys, "form", "det_id", "ord", "category", "n.name", "n.dist")
 
 
@@ -53,21 +59,22 @@ def _labels(legend: DataFrame, place: str, label: str, keys: tuple[str, ...]) ->
 def nearest_label_1d(points: DataFrame, legend: DataFrame, at: Column, place: str, label: str = "label", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Adds the label whose ``place`` is closest to ``at``; sheets without labels give no rows."""
     met = points.withColumn("_at", at).join(_labels(legend, place, label, keys), list(keys))
-    near = F.array_min(F.transform("_labels", lambda x: F.struct(F.abs(x["place"] - F.col("_at")).alias("d"), x["place"].alias("place"), x["label"].alias("label"))))
+    near = F.array_min(F.transform("_labels", lambda x: F.struct(G.stated(F.abs(x["place"] - F.col("_at"))).alias("d"), x["place"].alias("place"), x["label"].alias("label"))))
     return met.select(*points.columns, near["label"].alias(label))
 
 
 def two_nearest_1d(points: DataFrame, legend: DataFrame, at: Column, place: str, value: str = "value", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Adds value and place of the closest and second-closest legend value; points with fewer than two give no rows."""
     met = points.withColumn("_at", at).join(_labels(legend, place, value, keys), list(keys)).where(F.size("_labels") >= 2)
-    near = F.slice(F.array_sort(F.transform("_labels", lambda x: F.struct(F.abs(x["place"] - F.col("_at")).alias("d"), x["label"].alias("v"), x["place"].alias("p")))), 1, 2)
+    near = F.slice(F.array_sort(F.transform("_labels", lambda x: F.struct(G.stated(F.abs(x["place"] - F.col("_at"))).alias("d"), x["label"].alias("v"), x["place"].alias("p")))), 1, 2)
     two = met.withColumn("_two", near)
     return two.select(*points.columns, *[F.col("_two")[i][c].alias(f"{c}{i + 1}") for i in (0, 1) for c in "vp"])
 
 
 def in_intervals(points: DataFrame, intervals: DataFrame, at: Column, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Each point with the intervals (``lo``, ``hi``, ends excluded) of its sheet that hold it."""
-    return points.withColumn("_at", at).join(intervals, list(keys)).where("lo < _at and _at < hi").drop("_at")
+    met = points.withColumn("_at", G.stated(at)).join(intervals, list(keys))
+    return met.where((G.stated(F.col("lo")) < F.col("_at")) & (F.col("_at") < G.stated(F.col("hi")))).drop("_at")
 
 
 def names_with(centroids: DataFrame, keyword: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sheetwise.functions import geometry as G
 from sheetwise.operators.nearest import small
 from sheetwise.runtime import cut
-from sheetwise.schema import KEYS
+from sheetwise.schema import BOX, KEYS
 
 #: Corner landmarks of each side (fixed values), in the order in which they span the unit square.
 CORNERS = {
@@ -92,10 +92,14 @@ def transform_keypoints(df: DataFrame) -> DataFrame:
 
 
 def register(det: DataFrame, landmarks: DataFrame, template: DataFrame, names: list[str], keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Map every detection of every sheet to the template's frame; sheets that cannot be fitted are left out."""
+    """Map every detection of every sheet to the template's frame; sheets that cannot be fitted are left out.
+
+    Coordinates are rounded to a millionth of a pixel, so that the map's rounding errors decide no tie and no comparison of what lies on whole pixels.
+    """
     fitted = fit_homography(corner_pairs(landmarks, template, names, keys), keys)
     joined = det.join(fitted, list(keys))
-    return (transform_keypoints(joined) if "kp_x" in det.columns else transform_boxes(joined)).select(*det.columns)
+    mapped = transform_keypoints(joined) if "kp_x" in det.columns else transform_boxes(joined)
+    return mapped.withColumns({c: G.stated(F.col(c)) for c in (*BOX, *(("kp_x", "kp_y") if "kp_x" in det.columns else ()))}).select(*det.columns)
 
 
 def register_side(det: DataFrame, template: DataFrame, side: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
