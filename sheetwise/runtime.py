@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,23 +33,47 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_to(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet in the shared folder; returns the table read back, and its path."""
+    """Write ``df`` as Parquet in the shared folder; returns the table read back, and its path. It goes with the application, if not before."""
     path = f"{shared_dir(spark)}/sheetwise-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    forget(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """As :func:`cut_to`, for tables that stay until the application ends."""
+    """As :func:`cut_to`, for tables that a result needs: they stay until the application ends, which deletes them."""
     return cut_to(spark, df)[0]
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function like :func:`cut` whose tables are deleted at the end of the block; nothing lazy may need them after it."""
+    paths: list[str] = []
+
+    def own(df: DataFrame) -> DataFrame:
+        made, path = cut_to(spark, df)
+        paths.append(path)
+        return made
+
+    try:
+        yield own
+    finally:
+        for p in paths:
+            remove(spark, p)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that :func:`cut_to` wrote."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the application ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once for each application."""
     sc = spark.sparkContext
@@ -55,7 +81,7 @@ def ship(spark: SparkSession) -> None:
     if name in _own:
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)  # the driver's own; Spark sends it to the executors
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, files in os.walk(top):
             for f in sorted(files):
