@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,9 @@ DIGITS = [str(i) for i in range(10)]
 UNITS = ("mins", "mmhg")
 #: By how much the best silhouette must beat that of the largest k.
 BETTER = {"kmeans": 0.005, "agglomerative": 0.003}
-GRID = 10_000
+GRID, STEP = 10_000, 40
+#: Points of a group that are clustered in one Arrow call.
+IN_ONE_TASK = 2000
 
 
 def dealt(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -27,16 +30,60 @@ def dealt(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 # Clustering ------------------------------------------------------------------------------------------------------------------
 
-def cluster_dbscan(points: DataFrame, eps: float, min_samples: int = 1, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def cluster_dbscan(points: DataFrame, eps: float, min_samples: int = 1, keys: tuple[str, ...] = KEYS, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """Adds ``cluster``: the smallest ``det_id`` of a density cluster's core points, or -1 for noise.
 
-    Neighbours (at most ``eps`` apart, the point itself included) are found by dealing points to grid cells of side ``eps``. Core points are joined by
-    passing the smallest id on until nothing changes; a border point goes to its smallest neighbouring core's cluster.
+    Neighbours are at most ``eps`` apart, the point itself included. A group of up to ``in_one_task`` points is clustered by one Arrow call; the few larger ones
+    over all tasks, in rounds. The clusters are the same either way. A border point goes to its smallest neighbouring core's cluster.
     """
     if eps <= 0 or min_samples <= 0:
         raise ValueError("eps and min_samples must be over 0")
     spark = points.sparkSession
     at = points.select(*keys, "det_id", G.center_x().alias("x"), G.center_y().alias("y"))
+    sizes = at.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > in_one_task)
+    large = cut_to(spark, sizes.drop("_n"))[0]
+    some = not large.isEmpty()
+    found = _dbscan_groups(at.join(large, list(keys), "left_anti") if some else at, eps, min_samples, keys)
+    if some:
+        found = found.unionByName(_dbscan_rounds(at.join(large, list(keys), "left_semi"), eps, min_samples, keys))
+    return points.join(found, [*keys, "det_id"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long")))
+
+
+def _dbscan(ids: np.ndarray, x: np.ndarray, y: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
+    """Cluster of each point of one group."""
+    near = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2) <= eps
+    core = near.sum(axis=1) >= min_samples
+    top = np.iinfo(np.int64).max
+    linked = near & core[:, None] & core
+    label = np.where(core, ids, top)
+    while True:
+        new = np.where(linked, label[None], top).min(axis=1, initial=top)
+        if (new == label).all():
+            break
+        label = new
+    # The smallest neighbouring core decides, by its own id.
+    first = np.where(near & core[None], ids[None], top).min(axis=1, initial=top)
+    border = ~core & (first < top)
+    if border.any():
+        of = dict(zip(ids[core].tolist(), label[core].tolist()))
+        label[border] = [of[i] for i in first[border].tolist()]
+    return np.where(label == top, -1, label)
+
+
+def _dbscan_groups(at: DataFrame, eps: float, min_samples: int, keys: tuple[str, ...]) -> DataFrame:
+    ship(at.sparkSession)
+    schema = at.select(*keys, "det_id").withColumn("cluster", F.lit(0).cast("long")).schema
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, x, y = (table.column(c).to_numpy() for c in ("det_id", "x", "y"))
+        return table.select([*keys, "det_id"]).append_column("cluster", pa.array(_dbscan(ids, x, y, eps, min_samples), pa.int64()))
+
+    return dealt(at, keys).groupBy(*keys).applyInArrow(run, schema)
+
+
+def _dbscan_rounds(at: DataFrame, eps: float, min_samples: int, keys: tuple[str, ...]) -> DataFrame:
+    """Neighbours from an equi-join on grid cells of side ``eps``; cores are joined by passing the smallest id on until nothing changes."""
+    spark = at.sparkSession
     cell = lambda c: F.floor(F.col(c) / eps)
     near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     a = at.withColumn("cx", F.explode(F.transform(near, lambda i: cell("x") + i))).withColumn("cy", F.explode(F.transform(near, lambda i: cell("y") + i)))
@@ -52,14 +99,13 @@ def cluster_dbscan(points: DataFrame, eps: float, min_samples: int = 1, keys: tu
         # The smallest id's own cluster is taken on too, which halves the distance left in each round.
         jumped = reached.join(now.select(*keys, F.col("det_id").alias("reached"), F.col("cluster").alias("beyond")), [*keys, "reached"]).select(*keys, "det_id", F.col("beyond").alias("cluster"))
         new, new_path = cut_to(spark, jumped)
-        moved = new.join(now.withColumnRenamed("cluster", "before"), [*keys, "det_id"]).where("cluster <> before").isEmpty()
+        settled = new.join(now.withColumnRenamed("cluster", "before"), [*keys, "det_id"]).where("cluster <> before").isEmpty()
         remove(spark, path)
         now, path = new, new_path
-        if moved:
+        if settled:
             break
     border = links.join(now.withColumnRenamed("det_id", "other"), [*keys, "other"]).groupBy(*keys, "det_id").agg(F.min_by("cluster", "other").alias("near"))
-    found = border.join(now, [*keys, "det_id"], "left").select(*keys, "det_id", F.coalesce("cluster", "near").alias("cluster"))
-    return points.join(found, [*keys, "det_id"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long")))
+    return border.join(now, [*keys, "det_id"], "left").select(*keys, "det_id", F.coalesce("cluster", "near").alias("cluster"))
 
 
 def _lloyd(x: np.ndarray, k: int, rounds: int = 500) -> np.ndarray:
@@ -215,32 +261,53 @@ def fifteen_minute_intervals(legend: DataFrame, keys: tuple[str, ...] = KEYS) ->
 
 # Isolating the legend --------------------------------------------------------------------------------------------------------
 
-def density_peak(values: DataFrame, extent: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """``(keys, peak)``: where a Gaussian density over column ``v`` is highest on 10,000 points of [0, extent].
+def highest(v: np.ndarray, extent: float) -> float:
+    """Where a Gaussian density over ``v`` is highest on ``GRID`` points of [0, extent]; the first of equals.
+
+    Every ``STEP``-th point is tried first. The density's slope has a bound, so only points near those that come close enough to the best one can be higher.
+    """
+    width = 0.2 * v.std(ddof=1) if len(v) > 1 else 0.0
+    if width <= 0:
+        return float(v.mean()) if len(v) else float("nan")
+    grid = np.linspace(0, extent, GRID)
+    own, times = np.unique(v, return_counts=True)
+    density = lambda at: np.exp(-0.5 * ((at[:, None] - own[None]) / width) ** 2) @ times
+    coarse = np.arange(STEP // 2, GRID, STEP)
+    tried = density(grid[coarse])
+    rise = len(v) * np.exp(-0.5) / width * (extent / (GRID - 1)) * (STEP // 2 + 1)
+    close = np.flatnonzero(tried + rise * (1 + 1e-9) >= tried.max())
+    fine = np.unique(np.clip((coarse[close, None] + np.arange(-(STEP // 2) - 1, STEP // 2 + 2)).ravel(), 0, GRID - 1))
+    return float(grid[fine[density(grid[fine]).argmax()]])
+
+
+def density_peaks(values: DataFrame, extents: dict[str, float], keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """``(keys, <column>_peak, ...)``: where a Gaussian density over each column is highest on 10,000 points of [0, extent].
 
     The bandwidth is a fifth of the sample's standard deviation. One Arrow call per group; a group is a sheet's digits.
     """
     ship(values.sparkSession)
-    schema = values.select(*keys).withColumn("peak", F.lit(0.0)).schema
+    schema = values.select(*keys, *[F.lit(0.0).alias(f"{c}_peak") for c in extents]).schema
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf["v"].dropna().to_numpy(float)
-        width = 0.2 * v.std(ddof=1) if len(v) > 1 else 0.0
-        grid = np.linspace(0, extent, GRID)
-        own, times = np.unique(v, return_counts=True)
-        peak = grid[(np.exp(-0.5 * ((grid[:, None] - own[None]) / width) ** 2) @ times).argmax()] if width > 0 else (float(v.mean()) if len(v) else np.nan)
-        return pdf[list(keys)].head(1).assign(peak=float(peak))
+    def run(table: pa.Table) -> pa.Table:
+        out = table.select(list(keys)).slice(0, 1)
+        for c, extent in extents.items():
+            out = out.append_column(f"{c}_peak", pa.array([highest(table.column(c).drop_null().to_numpy().astype(float), extent)]))
+        return out
+
+    return dealt(values.select(*keys, *extents), keys).groupBy(*keys).applyInArrow(run, schema)
 
-    return dealt(values.select(*keys, "v"), keys).groupBy(*keys).applyInPandas(run, schema)
+
+def density_peak(values: DataFrame, extent: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """:func:`density_peaks` of column ``v``, as ``(keys, peak)``."""
+    return density_peaks(values.select(*keys, "v"), {"v": extent}, keys).withColumnRenamed("v_peak", "peak")
 
 
 def isolate_legend(landmarks: DataFrame, width: float, height: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Digit landmarks of the middle of the sheet with their ``axis``: ``mins`` along the top, ``mmhg`` down the left."""
     digits = landmarks.where(F.col("category").isin(DIGITS) & (G.center_y() > 0.2 * height) & (G.center_y() < 0.8 * height))
-    x0 = density_peak(digits.select(*keys, F.col("left").alias("v")), width, keys).withColumnRenamed("peak", "x0")
-    y0 = density_peak(digits.select(*keys, F.col("top").alias("v")), height, keys).withColumnRenamed("peak", "y0")
-    dx, dy = F.abs(G.center_x() - F.col("x0")), F.abs(G.center_y() - F.col("y0"))
-    return digits.join(x0, list(keys)).join(y0, list(keys)).withColumn("axis", F.when(dx > dy, "mins").when(dx < dy, "mmhg")).where("axis is not null").drop("x0", "y0")
+    peaks = density_peaks(digits, {"left": width, "top": height}, keys)
+    dx, dy = G.stated(F.abs(G.center_x() - F.col("left_peak"))), G.stated(F.abs(G.center_y() - F.col("top_peak")))
+    return digits.join(peaks, list(keys)).withColumn("axis", F.when(dx > dy, "mins").when(dx < dy, "mmhg")).where("axis is not null").drop("left_peak", "top_peak")
 
 
 def iqr_filter(df: DataFrame, col: str, k: float = 1.5, keys: tuple[str, ...] = KEYS) -> DataFrame:

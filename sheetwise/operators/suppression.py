@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions import geometry as G
-from sheetwise.runtime import cut_to, remove
+from sheetwise.runtime import cut_to, forget, remove, shared_dir
 from sheetwise.schema import BOX, KEYS
 
 
@@ -34,30 +35,33 @@ def rank_by_score(det: DataFrame, score: Column, keys: tuple[str, ...] = KEYS) -
     return det.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(score.desc(), F.col("ord"))).cast("long"))
 
 
-def greedy(pairs: DataFrame, keys: tuple[str, ...] = KEYS) -> list[DataFrame]:
-    """Tables of (keys, rank) that greedy suppression drops, from pairs (hi, lo) of ranks.
+def greedy(pairs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """``(keys, rank)`` that greedy suppression drops, from pairs (hi, lo) of ranks.
 
     A round keeps every hi that is nobody's lo and drops what it suppresses. That is the order-dependent rule, carried out for all sheets at once;
-    the number of rounds is the length of the longest chain of suppressions.
+    the number of rounds is the length of the longest chain of suppressions. What the rounds drop is one growing table, so the result needs one join however many they are.
     """
     spark = pairs.sparkSession
     now, path = cut_to(spark, pairs.select(*keys, "hi", "lo"))
-    dropped: list[DataFrame] = []
+    out = f"{shared_dir(spark)}/sheetwise-{uuid.uuid4().hex}"
+    forget(spark, out)
+    schema = now.select(*keys, F.col("lo").alias("rank")).schema
+    empty = True
     while not now.isEmpty():
         under = now.select(*keys, F.col("lo").alias("hi")).distinct()
-        dead = cut_to(spark, now.join(under, [*keys, "hi"], "left_anti").select(*keys, F.col("lo").alias("rank")).distinct())[0]
-        dropped.append(dead)
-        left = now.join(dead.withColumnRenamed("rank", "lo"), [*keys, "lo"], "left_anti").join(dead.withColumnRenamed("rank", "hi"), [*keys, "hi"], "left_anti")
+        dead = now.join(under, [*keys, "hi"], "left_anti").select(*keys, F.col("lo").alias("rank")).distinct()
+        dead.write.mode("append").parquet(out)
+        empty = False
+        gone = spark.read.schema(schema).parquet(out)
+        left = now.join(gone.withColumnRenamed("rank", "lo"), [*keys, "lo"], "left_anti").join(gone.withColumnRenamed("rank", "hi"), [*keys, "hi"], "left_anti")
         new, new_path = cut_to(spark, left.select(*keys, "hi", "lo"))
         remove(spark, path)
         now, path = new, new_path
-    return dropped
+    return spark.createDataFrame([], schema) if empty else spark.read.schema(schema).parquet(out)
 
 
-def _without(ranked: DataFrame, dropped: list[DataFrame], keys: tuple[str, ...]) -> DataFrame:
-    for dead in dropped:
-        ranked = ranked.join(dead, [*keys, "rank"], "left_anti")
-    return ranked
+def _without(ranked: DataFrame, dropped: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return ranked.join(dropped, [*keys, "rank"], "left_anti")
 
 
 def suppress(det: DataFrame, least: float = 0.5, metric: str | Callable[[str, str], Column] = "iou", score: Column | None = None, keys: tuple[str, ...] = KEYS, cell: float = 64.0) -> DataFrame:
