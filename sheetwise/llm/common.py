@@ -11,6 +11,20 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that an operator turns into arrays at once (one longer document makes a chunk of its own).
 CHUNK = 1 << 20
+#: Rows of sorted groups that a task works on at once (or one larger group).
+ROWS = 1 << 15
+
+
+def whole_text(col: str) -> Column:
+    """A text column; bytes that are no UTF-8 become U+FFFD, so that code points and offsets fit each other."""
+    return F.make_valid_utf8(F.col(col).cast("string"))
+
+
+def no_clash(keep: list[str | Column], out: tuple[str, ...]) -> None:
+    """An error if a kept column has the name of one of the result's own."""
+    names = {k for k in keep if isinstance(k, str)}
+    if names & set(out):
+        raise ValueError(f"kept columns {sorted(names & set(out))} are named like columns of the result")
 
 
 def id_remainder(id_col: str, mod: int) -> Column:
@@ -96,3 +110,27 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = KIND
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts]), np.searchsorted(starts, offsets)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Sorted batches as tables that end where a group (equal first ``keys`` columns) ends, ``ROWS`` rows or one group at a time."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        total += b.num_rows
+        if total >= ROWS:
+            t = pa.Table.from_batches(held)
+            tail = [t.column(i)[-1].as_py() for i in range(keys)]
+            other = np.zeros(t.num_rows, bool)
+            for i, x in enumerate(tail):
+                other |= np.asarray(t.column(i)) != x
+            done = np.flatnonzero(other)
+            if len(done):
+                yield t.slice(0, int(done[-1]) + 1)
+                t = t.slice(int(done[-1]) + 1)
+            held, total = t.to_batches(), t.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
