@@ -5,14 +5,15 @@ Fingerprints that differ in at most ``RADIUS`` bits are linked. Two such fingerp
 more than ``large`` fingerprints is dealt again by quarters of its remaining 32 bits; what then meets agrees in 48
 bits, so no group exceeds 65,536 fingerprints, whatever the input. Equal fingerprints are one row before all this.
 
-Within a group, fingerprints are stored as vertical bit planes, 64 to a word. One query is compared with a whole block at
-once: the planes that differ are added into carry-save counters, and the block is abandoned as soon as every lane has passed
-the radius. A group emits one link for each member to the smallest member it reaches, never all pairs.
+Within a group, fingerprints are stored as vertical bit planes, 64 to a word. A query is compared with 64 fingerprints at
+once: the planes that differ are added into carry-save counters, and the word is abandoned as soon as each of its lanes has passed
+the radius, is the query itself or has been a query before. A group emits one link for each member to the smallest member it reaches, never all pairs.
 
 Edge cases: a null text, like one without words, has fingerprint zero and is linked like any other. A text with fewer words
 than a shingle has the whole sequence as its one shingle. Rows with a null id are linked too, but never name a component;
-a component of null ids only has a null id. Repeated rows have the same result each. An empty table gives an empty one.
-Extra columns are ignored.
+a component of null ids only has a null id. A very long text is fingerprinted whole, as a chunk of its own. A bit that is set in just half the
+hashes is 0; nothing else can tie. Bytes that are no UTF-8 are hashed as they are. Repeated rows have the same result each. An empty table gives an
+empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +26,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import text_chunks
+from sheetwise.llm.common import text_chunks, whole_groups
 from sheetwise.llm.components import connected_components
 from sheetwise.runtime import cut, ship
 
 RADIUS = 2
-#: Fingerprints in a block of bit planes.
+#: Fingerprints that are turned into bit planes at once.
 BLOCK = 4096
-#: Queries that are compared with a block at a time.
-QUERIES = 64
+#: Comparisons of a fingerprint with a word of 64 that are carried out at once.
+PAIRS = 1 << 14
+#: Planes after which words without a lane left are looked for.
+CHECK = 4
+FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint(words: list[bytes], k: int, seed: int) -> int:
@@ -73,65 +77,114 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """64 rows of bits, each packed 64 fingerprints to a word; the lanes past the last are zero."""
-    width = -(-len(fps) // 64) * 64
-    bits = np.zeros((64, width), np.uint8)
-    bits[:, : len(fps)] = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).T
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    """Bit planes of fingerprints (rows of 64-bit words): one for each bit, each packed 64 fingerprints to a word; the lanes past the last are zero."""
+    n, bits = len(fps), 64 * fps.shape[1]
+    out = np.zeros((bits, -(-n // 64)), np.uint64)
+    for s in range(0, n, BLOCK):
+        part = np.unpackbits(fps[s : s + BLOCK].astype(">u8").view(np.uint8), axis=1)
+        wide = np.zeros((bits, -(-len(part) // 64) * 64), np.uint8)
+        wide[:, : len(part)] = part.T
+        out[:, s // 64 : s // 64 + wide.shape[1] // 64] = np.packbits(wide, axis=1, bitorder="little").view("<u8")
+    return out
 
 
-def within(block: np.ndarray, queries: np.ndarray, order: list[int]) -> np.ndarray:
-    """For each query the lanes of ``block`` (planes) at most ``RADIUS`` bits from it, as packed words.
+def below(n: np.ndarray) -> np.ndarray:
+    """Words whose n lowest lanes are set, for n from 0 to 64."""
+    return np.where(n >= 64, FULL, (np.uint64(1) << np.minimum(n, 63).astype(np.uint64)) - np.uint64(1))
 
-    ``ones`` and ``twos`` are carry-save counters; ``over`` marks lanes that have passed the radius.
-    """
-    shape = (len(queries), block.shape[1])
-    ones, twos, over = np.zeros(shape, np.uint64), np.zeros(shape, np.uint64), np.zeros(shape, np.uint64)
-    for step, i in enumerate(order, 1):
-        flip = np.uint64(0) - (queries >> np.uint64(63 - i) & np.uint64(1))
-        differs = block[i] ^ flip[:, None]
-        carry = ones & differs
-        ones ^= differs
-        over |= twos & (carry | ones)
-        twos |= carry
-        if step % 8 == 0 and over.min() == np.uint64(0xFFFFFFFFFFFFFFFF):
-            break
-    return ~over
-
-
-def group_links(fps: np.ndarray, agreed: int) -> Iterator[tuple[int, int]]:
-    """Links that connect what is within the radius in a group of distinct fingerprints (unsigned, ascending).
-
-    ``agreed`` has a 1 for each bit in which the whole group agrees; those planes are not read.
+
+def near_pairs(fps: np.ndarray, last: np.ndarray, radius: int, order: list[int] | None = None, counted: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places i < j and distance of the fingerprints (rows of words) at most ``radius`` bits apart within a group, some pairs at a time.
+
+    Groups lie one after the other; ``last`` is the place past the end of each row's group. ``order`` names the planes to read (by default all), ``counted`` gets
+    the number of words that were abandoned added.
+
+    A fingerprint is compared with 64 at once: the planes in which they differ are added into carry-save counters, one bit of the count to a word. As soon as
+    every lane of a word has passed the radius or is not asked for, the word is abandoned.
     """
     n = len(fps)
-    order = [i for i in range(64) if not agreed >> (63 - i) & 1]
-    root = list(range(n))
+    plane = planes(fps)
+    own = np.arange(n)
+    first_word, words = own // 64, (last - 1) // 64 - own // 64 + 1
+    upto = np.cumsum(words)
+    start = 0
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS, "right")))
+        many = words[start:stop]
+        query = np.repeat(own[start:stop], many)
+        word = np.arange(len(query)) - np.repeat(np.cumsum(many) - many, many) + first_word[query]
+        # Not asked for: lanes up to the query's own, and those of other groups.
+        skip = below(np.clip(query + 1 - word * 64, 0, 64)) | ~below(np.clip(last[query] - word * 64, 0, 64))
+        yield from _within(plane, fps, query, word, skip, radius, order or list(range(len(plane))), counted)
+        start = stop
+
+
+def _within(
+    plane: np.ndarray, fps: np.ndarray, query: np.ndarray, word: np.ndarray, over: np.ndarray, radius: int, order: list[int], counted: list[int] | None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    counters = [np.zeros(len(over), np.uint64) for _ in range(radius.bit_length())]
+    for step, i in enumerate(order):
+        if step % CHECK == 0:
+            left = over != FULL
+            if not left.all():
+                if counted is not None and step:
+                    counted.append(int(len(left) - left.sum()))
+                query, word, over, counters = query[left], word[left], over[left], [c[left] for c in counters]
+            if not len(over):
+                return
+        carry = plane[i][word] ^ (np.uint64(0) - (fps[query, i // 64] >> np.uint64(63 - i % 64) & np.uint64(1)))
+        for j, c in enumerate(counters):
+            counters[j], carry = c ^ carry, c & carry
+        over = over | carry | _above(counters, radius)
+    at, bit = np.nonzero(np.unpackbits((~over)[:, None].view(np.uint8), axis=1, bitorder="little"))
+    if len(at):
+        lane = bit.astype(np.uint64)
+        distance = sum((((c[at] >> lane) & np.uint64(1)).astype(np.int64) << j for j, c in enumerate(counters)), np.zeros(len(at), np.int64))
+        yield query[at], word[at] * 64 + bit, distance
+
+
+def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose count exceeds the radius, from the highest bit of the counts down."""
+    over, equal = np.uint64(0), FULL
+    for j in range(len(counters) - 1, -1, -1):
+        if radius >> j & 1:
+            equal = equal & counters[j]
+        else:
+            over = over | (equal & counters[j])
+            equal = equal & ~counters[j]
+    return over
+
+
+def group_links(fps: np.ndarray, last: np.ndarray, agreed: int, counted: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (member, smallest it reaches) that connect what is within ``RADIUS`` in groups of distinct 64-bit fingerprints.
+
+    ``agreed`` has a 1 for each bit in which each group agrees; those planes are not read.
+    """
+    root = np.arange(len(fps))
 
     def find(i: int) -> int:
         while root[i] != i:
             root[i] = root[root[i]]
-            i = root[i]
+            i = int(root[i])
         return i
 
-    for start in range(0, n, BLOCK):
-        block = planes(fps[start : start + BLOCK])
-        size = min(BLOCK, n - start)
-        for first in range(0, min(n, start + size), QUERIES):
-            near = within(block, fps[first : min(first + QUERIES, start + size)], order)
-            q, word = np.nonzero(near)
-            at, bit = np.nonzero(np.unpackbits(near[q, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            lane = word[at] * 64 + bit
-            one, two = first + q[at], start + lane
-            use = (lane < size) & (one < two)
-            for i, j in zip(one[use].tolist(), two[use].tolist()):
+    order = [i for i in range(64) if not agreed >> (63 - i) & 1]
+    for one, two, _ in near_pairs(fps[:, None], last, RADIUS, order, counted):
+        while len(one):
+            # Most pairs are known to be connected once their roots are looked up.
+            while (root[root] != root).any():
+                root = root[root]
+            new = root[one] != root[two]
+            one, two = one[new], two[new]
+            for i, j in zip(one[:1000].tolist(), two[:1000].tolist()):
                 x, y = find(i), find(j)
                 if x != y:
                     root[max(x, y)] = min(x, y)
-    for i in range(n):
-        r = find(i)
-        if r != i:
-            yield int(fps[i]), int(fps[r])
+            one, two = one[1000:], two[1000:]
+    while (root[root] != root).any():
+        root = root[root]
+    member = np.flatnonzero(root != np.arange(len(root)))
+    return member, root[member]
 
 
 def _pairs_of(width: int, high: int, parts: int = 4) -> list[int]:
@@ -160,33 +213,17 @@ def _dealt(fps: DataFrame, masks: list[int]) -> DataFrame:
 
 def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (mask, key, fp) sorted so; emits the links of each run of equal (mask, key)."""
-    rest = np.zeros((3, 0), np.int64)
-
-    def emit(part: np.ndarray) -> tuple[list[int], list[int]]:
-        a, b = [], []
-        cuts = np.flatnonzero((np.diff(part[0]) != 0) | (np.diff(part[1]) != 0)) + 1
-        for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), part.shape[1]]):
-            if e - s > 1:
-                for x, y in group_links(np.unique(part[2, s:e].view(np.uint64)), int(part[0, s]) & 0xFFFFFFFFFFFFFFFF):
-                    a.append(_signed(x))
-                    b.append(_signed(y))
-        return a, b
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rest = np.concatenate((rest, np.stack([np.asarray(batch.column(i)) for i in range(3)])), axis=1)
-        new = np.flatnonzero((rest[0] != rest[0, -1]) | (rest[1] != rest[1, -1]))
-        if len(new):
-            done = int(new[-1]) + 1
-            a, b = emit(np.ascontiguousarray(rest[:, :done]))
-            rest = rest[:, done:]
-            if a:
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-    if rest.shape[1]:
-        a, b = emit(np.ascontiguousarray(rest))
-        if a:
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    for t in whole_groups(batches, 2):
+        mask, key, fp = (np.asarray(t.column(i)) for i in range(3))
+        new = np.ones(len(fp), bool)
+        new[1:] = (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+        mask, key, fp = mask[new], key[new], fp[new].view(np.uint64)
+        for m in np.unique(mask):
+            k, f = key[mask == m], fp[mask == m]
+            ends = np.concatenate((np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]))
+            member, root = group_links(f, np.repeat(ends, np.diff(np.concatenate(([0], ends)))), int(m) & 0xFFFFFFFFFFFFFFFF)
+            if len(member):
+                yield pa.record_batch([pa.array(f[member].view(np.int64)), pa.array(f[root].view(np.int64))], names=["a", "b"])
 
 
 def near_links(fps: DataFrame, large: int = 20_000) -> DataFrame:
