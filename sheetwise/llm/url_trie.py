@@ -7,9 +7,12 @@ the same host and path, block wins over allow.
 The trie is broadcast. It holds ``max_rules`` rules at most; a longer list becomes several tries, which the rows pass
 one after the other, each keeping the longest match so far. So a broadcast never outgrows its bound.
 
-Edge cases: a null URL or one without ``://`` has an empty host and path and gets the default verdict, as does any URL
-that no rule fits. Repeated rows have the same result each. An empty table gives an empty one. Extra columns are kept
-only if asked for in ``keep``.
+A lookup looks at no more of a URL than the rules go deep, so a very long URL costs what splitting off its host and path costs.
+
+Edge cases: a null or empty URL, or one without ``://``, has an empty host and path and gets the default verdict, as does any URL
+that no rule fits. Labels and segments may be empty (``a..b``, ``//``) and count as such. Bytes that are no UTF-8 count as U+FFFD. Repeated rows
+have the same result each. An empty table gives an empty one, and an empty list of rules the default verdict. Extra columns are kept only if asked for in
+``keep``; one of them that is named like a column of the result is an error.
 """
 
 from __future__ import annotations
@@ -20,10 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheetwise.llm.common import no_clash, whole_text
 from sheetwise.runtime import ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VERDICTS = ("allow", "block")
+FOLD = str.maketrans(UPPER, LOWER)
+#: Columns of the result beside those kept.
+OUT = ("host", "path", "rule", "verdict")
 
 
 def url_host(url: Column) -> Column:
@@ -40,51 +47,61 @@ class UrlTrie:
     """Nodes are dicts. Key ``None`` of a host node leads to its path trie; key ``None`` of a path node to its prefixes.
 
     A rule's path ends in a prefix of one segment (empty after a final ``/``), so whole segments are edges and the
-    last piece is looked up among the node's prefixes.
+    last piece is looked up among the node's prefixes. Key ``LENGTHS`` of the prefixes has their lengths, longest first.
     """
 
+    LENGTHS = 0
+
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
         self.root: dict = {}
+        every: list[dict] = []
         for verdict, host, path in rules:
             if verdict not in VERDICTS:
                 raise ValueError(f"verdict {verdict!r} is neither allow nor block")
+            host = host.translate(FOLD)
             node = self.root
-            for label in reversed(host.lower().split(".")):
+            for label in reversed(host.split(".")):
                 node = node.setdefault(label, {})
             node = node.setdefault(None, {})
             *segments, tail = path.split("/")
             for s in segments:
                 node = node.setdefault(s, {})
             tails = node.setdefault(None, {})
+            if not tails:
+                every.append(tails)
             if tails.get(tail, ("",))[0] != "block":
-                tails[tail] = (verdict, host.lower() + path)
+                tails[tail] = (verdict, host + path)
+        for tails in every:
+            tails[self.LENGTHS] = sorted({len(t) for t in tails}, reverse=True)
 
     def match(self, host: str, path: str) -> tuple[int, int, str, str] | None:
         """(host labels, path length, verdict, rule) of the longest rule that fits, or None."""
-        best, node, labels = None, self.root, host.split(".") if host else []
-        for depth, label in enumerate(reversed(labels), 1):
-            node = node.get(label)
+        best, node, depth, end = None, self.root, 0, len(host)
+        while end >= 0 and host:
+            dot = host.rfind(".", 0, end)
+            node = node.get(host[dot + 1 : end])
             if node is None:
                 break
+            depth, end = depth + 1, dot
             found = self._path(node[None], path) if None in node else None
             if found:
                 best = (depth, *found)
         return best
 
-    @staticmethod
-    def _path(node: dict, path: str) -> tuple[int, str, str] | None:
-        best, taken = None, 0
-        for s in path.split("/"):
+    @classmethod
+    def _path(cls, node: dict, path: str) -> tuple[int, str, str] | None:
+        best, start = None, 0
+        while node is not None:
             tails = node.get(None)
-            if tails:
-                for n in range(len(s), -1, -1):
-                    if s[:n] in tails:
-                        best = (taken + n, *tails[s[:n]])
-                        break
-            node = node.get(s)
-            if node is None:
+            for n in tails[cls.LENGTHS] if tails else ():
+                part = path[start : start + n]
+                if part in tails:
+                    best = (start + len(part), *tails[part])
+                    break
+            slash = path.find("/", start)
+            if slash < 0:
                 break
-            taken += len(s) + 1
+            node, start = node.get(path[start:slash]), slash + 1
         return best
 
 
@@ -94,7 +111,8 @@ def filter_urls(
     """``keep`` columns of every row with ``host``, ``path``, ``rule`` (``host`` + path prefix, or null) and ``verdict``."""
     spark = pages.sparkSession
     ship(spark)
-    url = F.col(url_col).cast("string")
+    no_clash(keep, (*OUT, "_labels", "_length"))
+    url = whole_text(url_col)
     rows = pages.select(*keep, url_host(url).alias("host"), url_path(url).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(0).alias("_labels"), F.lit(-1).alias("_length"))
     schema = rows.schema
     block: list[tuple[str, str, str]] = []
