@@ -1,16 +1,17 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network in numpy.
 
-Random indexing: every token bucket has a sparse random index vector; a bucket's word vector is the sum of the index vectors of
-its neighbours (``WINDOW`` tokens to either side) over the whole corpus. Tokens (runs of letters and digits, and runs of
-signs, case kept) are hashed to ``2**BITS`` buckets, so the word vectors have the same size for any corpus; the sums cover
-all documents. A document's features are the mean and the standard deviation of its tokens' vectors.
+Random indexing: every word has a sparse random index vector; its word vector is the sum of the index vectors of its neighbours
+(``WINDOW`` tokens to either side) over the whole corpus. Words are runs of letters and digits, and runs of signs, case kept. The ``WORDS`` most frequent
+of the corpus, by counts over all texts, have vectors of their own; rarer ones share ``2**RARE_BITS`` by hash, so what is broadcast (8 MB)
+and what a task holds (17 MB) have a bound for any corpus. A document's features are the mean and the standard deviation of its tokens' vectors.
 
-The network (tanh, then logistic) learns from at most ``sample`` labelled rows, chosen by a hash of their ids; the fifth of
+The network (tanh, then logistic) learns from at most ``sample`` labelled rows, in the order of a hash of their ids; the fifth of
 them that the first layer never sees calibrates a temperature for the probabilities.
 
-Edge cases: a null or empty text has zero features and is scored like any other. Null labels, or rows with null ids, are
-not learned from. A row with labels repeated is learned from as often as it stands there. With fewer than two classes to learn
-from, every score is the share of label 1 (one half if there is none). Extra columns are ignored.
+Edge cases: a null or empty text has zero features and is scored like any other. A very long text is read whole, as a chunk of its own; bytes that are no
+UTF-8 are parts of words. Null labels, or rows with null ids, are not learned from. Labels or rows that are repeated are learned from as often
+as they stand there. Words of equal frequency, and rows with equal hashes, are taken in the order of their hashes and ids. With fewer than two classes
+to learn from, every score is the share of label 1 (one half if there is none). No documents give an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,62 +21,126 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.llm.common import sums, text_chunks, token_hashes
 from sheetwise.runtime import cut, ship
 
-BITS, DIMS, NONZERO, WINDOW = 12, 32, 4, 2
+DIMS, NONZERO, WINDOW = 32, 4, 2
+#: The most frequent words of the corpus have a vector each; rarer ones share ``2**RARE_BITS`` vectors by hash.
+WORDS, RARE_BITS = 60_000, 12
 #: Bytes of text in a chunk; each token of it takes a vector.
 TEXT = 1 << 19
+#: Distinct token hashes that a task gathers before it passes their counts on.
+HELD = 1 << 20
 
 
-def index_vectors(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """For each bucket the places of its index vector that are not zero, and their signs."""
-    rng = np.random.default_rng(seed)
-    places = np.argsort(rng.random((1 << BITS, DIMS)), axis=1)[:, :NONZERO]
-    return places.astype(np.int64), rng.choice(np.array([-1, 1]), (1 << BITS, NONZERO))
-
-
-def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h, bounds = token_hashes(data, offsets)
-    return (h >> np.uint64(64 - BITS)).astype(np.int64), bounds
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token hash, count) over a partition; a token may come more than once."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    total = 0
 
+    def rows() -> pa.RecordBatch:
+        h, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([x for _, x in parts])).astype(np.int64)
+        return pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-def _context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of index vectors of the neighbours of each bucket, over a partition."""
-    places, signs = index_vectors()
-    total = np.zeros((1 << BITS) * DIMS, np.int64)
     for b in batches:
         for _, _, data, offsets in text_chunks(b.column(0), TEXT):
-            ids, bounds = buckets(data, offsets)
-            doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            for gap in range(1, WINDOW + 1):
-                near = doc[gap:] == doc[:-gap]
-                a, c = ids[gap:][near], ids[:-gap][near]
-                for j in range(NONZERO):
-                    total += np.bincount(np.concatenate((a * DIMS + places[c, j], c * DIMS + places[a, j])), np.concatenate((signs[c, j], signs[a, j])), len(total)).astype(np.int64)
-    total = total.reshape(-1, DIMS)
-    used = np.flatnonzero(total.any(axis=1))
-    yield pa.record_batch([pa.array(used), *(pa.array(total[used, i]) for i in range(DIMS))], names=["bucket", *(f"d{i}" for i in range(DIMS))])
-
-
-def learn_word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Unit word vectors, one row for each bucket, from every text."""
+            parts.append(np.unique(token_hashes(data, offsets)[0], return_counts=True))
+            total += len(parts[-1][0])
+            if total >= HELD:
+                yield rows()
+                parts, total = [], 0
+    if parts:
+        yield rows()
+
+
+@dataclass
+class Vocabulary:
+    """Rows of the word vectors: those of ``words`` (token hashes, ascending), then the shared ones."""
+
+    words: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.words) + (1 << RARE_BITS)
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each token, token offsets of the texts)."""
+        h, bounds = token_hashes(data, offsets)
+        if not len(self.words):
+            return (h >> np.uint64(64 - RARE_BITS)).astype(np.int64), bounds
+        own, back = np.unique(h, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.words, own), len(self.words) - 1)
+        row = np.where(self.words[at] == own, at, len(self.words) + (own >> np.uint64(64 - RARE_BITS)).astype(np.int64))
+        return row[back], bounds
+
+
+def learn_vocabulary(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> Vocabulary:
+    """The ``words`` most frequent tokens of all texts; of equally frequent ones those with the smaller hash."""
     ship(docs.sparkSession)
+    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.col("n").desc(), "h").limit(words).select("h").toArrow()
+    return Vocabulary(np.sort(np.asarray(top["h"], dtype=np.int64).view(np.uint64)))
+
+
+def index_vectors(rows: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the places of its index vector that are not zero, and their signs."""
+    rng = np.random.default_rng(seed)
+    places = np.argsort(rng.random((rows, DIMS)), axis=1)[:, :NONZERO]
+    return places.astype(np.int64), rng.choice(np.array([-1, 1]), (rows, NONZERO))
+
+
+def _contexts(shared: Broadcast[Vocabulary]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of index vectors of the neighbours of each row's tokens, over a partition."""
+        vocabulary = shared.value
+        places, signs = index_vectors(len(vocabulary))
+        total = np.zeros(len(vocabulary) * DIMS, np.int64)
+        for b in batches:
+            for _, _, data, offsets in text_chunks(b.column(0), TEXT):
+                ids, bounds = vocabulary.ids(data, offsets)
+                if not len(ids):
+                    continue
+                # Sums over the chunk's own rows, so that their cost follows the chunk and not the vocabulary.
+                own, ids = np.unique(ids, return_inverse=True)
+                where, sign = places[own], signs[own]
+                part = np.zeros(len(own) * DIMS)
+                doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                for gap in range(1, WINDOW + 1):
+                    near = doc[gap:] == doc[:-gap]
+                    a, c = ids[gap:][near], ids[:-gap][near]
+                    for j in range(NONZERO):
+                        part += np.bincount(np.concatenate((a * DIMS + where[c, j], c * DIMS + where[a, j])), np.concatenate((sign[c, j], sign[a, j])), len(part))
+                total.reshape(-1, DIMS)[own] += part.astype(np.int64).reshape(-1, DIMS)
+        rows = total.reshape(-1, DIMS)
+        used = np.flatnonzero(rows.any(axis=1))
+        for s in range(0, len(used), 8192):
+            k = used[s : s + 8192]
+            yield pa.record_batch([pa.array(k), *(pa.array(rows[k, i]) for i in range(DIMS))], names=["row", *(f"d{i}" for i in range(DIMS))])
+
+    return run
+
+
+def learn_word_vectors(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> np.ndarray:
+    """Unit word vectors, one for each row of the vocabulary, from every text."""
+    spark = docs.sparkSession
+    ship(spark)
     names = [f"d{i}" for i in range(DIMS)]
-    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(_context, "bucket long, " + ", ".join(f"{x} long" for x in names))
-    table = parts.groupBy("bucket").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
-    vectors = np.zeros((1 << BITS, DIMS))
-    vectors[np.asarray(table["bucket"])] = np.stack([np.asarray(table[x]) for x in names], axis=1)
-    vectors -= vectors.sum(axis=0) / max(1, np.count_nonzero(vectors.any(axis=1))) * vectors.any(axis=1, keepdims=True)
-    return (vectors / np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))).astype(np.float32)
+    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(_contexts(spark.sparkContext.broadcast(vocabulary)), "row long, " + ", ".join(f"{x} long" for x in names))
+    table = parts.groupBy("row").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
+    vectors = np.zeros((len(vocabulary), DIMS), np.float32)
+    for i, x in enumerate(names):
+        vectors[np.asarray(table["row"]), i] = np.asarray(table[x])
+    known = vectors.any(axis=1, keepdims=True)
+    vectors -= vectors.sum(axis=0, dtype=np.float64).astype(np.float32) / max(1, np.count_nonzero(known)) * known
+    return vectors / np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 
 
-def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+def pooled(ids: np.ndarray, bounds: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Mean and standard deviation of the token vectors of each text."""
-    ids, bounds = buckets(data, offsets)
     n = np.maximum(1, np.diff(bounds))[:, None]
     out = np.zeros((len(bounds) - 1, 2 * DIMS), np.float32)
     full = np.flatnonzero(np.diff(bounds))
@@ -89,16 +154,16 @@ def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.nda
     return out
 
 
-def document_features(docs: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_features(docs: DataFrame, vocabulary: Vocabulary, vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, features)`` of every row; the features are float32 in a binary value."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(vectors)
+    shared = spark.sparkContext.broadcast((vocabulary, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, last, data, offsets in text_chunks(b.column(1), TEXT):
-                x = pooled(data, offsets, shared.value)
+                x = pooled(*shared.value[0].ids(data, offsets), shared.value[1])
                 yield pa.record_batch([b.column(0).slice(first, last - first), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "features"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, features binary")
@@ -161,11 +226,13 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, batc
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000) -> DataFrame:
     """``(doc_id, score)`` of every row of ``docs``; ``labels`` (id, 0/1) is what may be learned from."""
     spark = docs.sparkSession
-    features = cut(spark, document_features(docs, learn_word_vectors(docs, text_col), id_col, text_col))
+    vocabulary = learn_vocabulary(docs, text_col)
+    features = cut(spark, document_features(docs, vocabulary, learn_word_vectors(docs, vocabulary, text_col), id_col, text_col))
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    share = min(1.0, sample / max(1, marked.count()))
-    part = marked.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = part.join(features, "doc_id").select("doc_id", "y", "features").limit(sample).toArrow().sort_by([("doc_id", "ascending")])
+    # Twice in the order of a hash: for the labels, then for their rows, of which one id may have many.
+    turn = F.xxhash64(F.lit(5), "doc_id")
+    part = marked.orderBy(turn, "doc_id", "y").limit(sample)
+    rows = features.join(F.broadcast(part), "doc_id").select("y", "features", turn.alias("turn"), "doc_id").orderBy("turn", "doc_id", "y", "features").limit(sample).toArrow()
     x = np.frombuffer(b"".join(rows["features"].to_pylist()), np.float32).reshape(-1, 2 * DIMS).astype(np.float64)
     net = spark.sparkContext.broadcast(train(x, np.asarray(rows["y"], dtype=np.float64)))
 
