@@ -16,8 +16,9 @@ Tokenisation: pre-tokens of a byte-level BPE do not influence each other, so the
 once for a task, and texts are put together from those ids. A text that holds the string of an added token is encoded
 whole, and code points are classed as the tokenizer itself does. The tests compare this with encoding whole texts.
 
-Edge cases: a null text counts as empty and has the end id only. Null ids come first. Rows with equal ids are
-ordered by their text. An empty table makes an empty store. Extra columns are ignored.
+Edge cases: a null or empty text has the end id only. A very long text is encoded whole, as a chunk of its own, and has one frame. Bytes that are no UTF-8
+are encoded as U+FFFD. Null ids come first. Rows with equal ids are ordered by a hash of their frames; repeated rows are each stored. An empty table makes
+an empty store. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sheetwise.llm.common import code_points, text_chunks
-from sheetwise.runtime import cut, shared_dir, ship
+from sheetwise.llm.common import code_points, text_chunks, whole_text
+from sheetwise.runtime import cut, scratch, shared_dir, ship
 
 MAGIC, VERSION = b"SWTK", 1
 DICT_BYTES, DICT_DOCS, DICT_CHARS = 64 << 10, 2000, 20_000
@@ -164,11 +165,12 @@ def encoder(path: str, end_id: int) -> Encoder:
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> bytes:
     """A zstandard dictionary from a bounded sample of id arrays; empty if there is nothing to learn from."""
     ship(docs.sparkSession)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(whole_text(text_col), F.lit(""))
     short = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).where(F.length("text").between(1, DICT_CHARS))
     total = docs.count()
     wheel = max(1, total // DICT_DOCS)
-    chosen = short.where(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(wheel)) == 0).select("text").limit(DICT_DOCS)
+    turn = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    chosen = short.where(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(wheel)) == 0).orderBy(turn).limit(DICT_DOCS).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, end_id).encode
@@ -218,46 +220,59 @@ class Shard:
 def write_tokens(
     docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", level: int = 1, shard_bytes: int = SHARD_BYTES
 ) -> None:
-    """Encode every whole text and write the store to ``path`` (``shards`` and ``dictionary``)."""
+    """Encode every whole text and write the store to ``path`` (``shards`` and ``dictionary``).
+
+    Texts are encoded where they are read. Only the compressed frames are sorted and shuffled: by id, then by a hash of the frame and by place, so that neither
+    one id nor one text with very many rows lies in one range.
+    """
     spark = docs.sparkSession
     ship(spark)
     dictionary = train_dictionary(docs, tokenizer_path, end_id, id_col, text_col)
     digest = hashlib.sha256(dictionary).digest()
     spark.createDataFrame([(dictionary, digest.hex())], "dictionary binary, sha256 string").coalesce(1).write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(dictionary)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard = TaskContext.get().partitionId(), 0
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, raw = encoder(tokenizer_path, end_id).encode, shared.value
         deflate = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None).compress
-        ids: list[int | None] = []
-        frames: list[bytes] = []
-        counts: list[int] = []
-        size = 0
-
-        def row() -> pa.RecordBatch:
-            made = [[part], [shard], [list(ids)], [sum(counts)], [pack_shard(frames, counts, digest)]]
-            return pa.record_batch([pa.array(x, t) for x, t in zip(made, (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.binary()))], names=["part", "shard", "doc_ids", "n_tokens", "blob"])
-
         for b in batches:
-            own = b.column(0).to_pylist()
             for first, last, data, offsets in text_chunks(b.column(1)):
-                for doc, raw_ids in zip(own[first:last], encode(data, offsets)):
+                ids = encode(data, offsets)
+                yield pa.record_batch([b.column(0).slice(first, last - first), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(deflate, ids), pa.binary())], names=["doc_id", "n", "frame"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(encoded, "doc_id long, n long, frame binary")
+    with scratch(spark) as cut:
+        # Written first, as dealing by ranges reads its input twice.
+        frames = cut(rows).withColumns({"h": F.xxhash64("frame"), "place": F.monotonically_increasing_id()})
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc(), F.col("place").asc()]
+        ordered = frames.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n", "frame")
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, shard = TaskContext.get().partitionId(), 0
+            ids: list[int | None] = []
+            frames: list[bytes] = []
+            counts: list[int] = []
+            size = 0
+
+            def row() -> pa.RecordBatch:
+                made = [[part], [shard], [list(ids)], [sum(counts)], [pack_shard(frames, counts, digest)]]
+                return pa.record_batch([pa.array(x, t) for x, t in zip(made, (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.binary()))], names=["part", "shard", "doc_ids", "n_tokens", "blob"])
+
+            for b in batches:
+                for doc, n, frame in zip(*(c.to_pylist() for c in b.columns)):
                     ids.append(doc)
-                    counts.append(len(raw_ids) // 4)
-                    frames.append(deflate(raw_ids))
-                    size += len(frames[-1])
+                    counts.append(n)
+                    frames.append(frame)
+                    size += len(frame)
                     if size >= shard_bytes:
                         yield row()
                         shard, size = shard + 1, 0
                         ids, frames, counts = [], [], []
-        if ids:
-            yield row()
+            if ids:
+                yield row()
 
-    ordered.mapInArrow(run, "part int, shard int, doc_ids array<long>, n_tokens long, blob binary").write.parquet(f"{path}/shards")
+        ordered.mapInArrow(packed, "part int, shard int, doc_ids array<long>, n_tokens long, blob binary").write.parquet(f"{path}/shards")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
