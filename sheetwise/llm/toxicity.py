@@ -6,12 +6,13 @@ Embeddings and softmax are trained together, so a misspelling that was never see
 In the mean a bucket counts by its rarity among the training texts, and not at all if fewer than ``LEAST`` of them have it. All embeddings share one
 step size: with a step of its own for each bucket, as in plain Adam, buckets of one or two texts learn those texts by heart.
 
-Training takes at most ``sample`` labelled rows of each class, chosen by a hash of their ids. As everything after the mean
+Training takes at most ``sample`` labelled rows of each class and a stated number of bytes of their bags, in the order of a hash. As everything after the mean
 is linear, scoring needs one number for each bucket: its embedding times the difference of the two softmax rows.
 
-Edge cases: a null or empty text has no subwords and gets the bias's score. Null labels and null ids are not learned from. With one
-class or none to learn from, every score is 0 (or 1, if all are toxic). Repeated rows have the same score. Extra
-columns are ignored.
+Edge cases: a null or empty text has no subwords and gets the bias's score. A very long text is scored whole, as a chunk of its own; bytes that are no UTF-8
+are parts of words. Null labels and null ids are not learned from. Labels that are repeated count once; an id with both labels is learned from as both, and
+rows that share a labelled id are all learned from. Where hashes tie, the smaller bag comes first. With one class or none to learn from (or empty tables), every
+score is 0 (or 1, if all are toxic); no rows to score give an empty table. Repeated rows have the same score. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.llm.common import mix, sums, text_chunks, token_hashes
-from sheetwise.runtime import ship
+from sheetwise.runtime import scratch, ship
 
-BITS, SIZES, DIMS, PAD, LEAST = 17, (3, 4, 5, 6), 4, 1000, 5
+BITS, SIZES, DIMS, PAD, LEAST = 17, (3, 4, 5, 6), 4, 3000, 8
 #: Means are over thousands of subwords; this factor brings them near 1.
 SCALE = 100.0
 #: Bytes as parts of words in lower case, all else as a space; and which bytes are parts of words.
@@ -116,7 +117,7 @@ def rarity(index: list[np.ndarray]) -> np.ndarray:
     return np.where(seen >= LEAST, 1 - np.log(seen + 1) / n, 0).astype(np.float32)
 
 
-def train(index: list[np.ndarray], share: list[np.ndarray], y: np.ndarray, epochs: int = 10, batch: int = 128, rate: float = 0.3, seed: int = 5) -> Model:
+def train(index: list[np.ndarray], share: list[np.ndarray], y: np.ndarray, epochs: int = 20, batch: int = 128, rate: float = 0.3, seed: int = 5) -> Model:
     """Momentum on mini-batches, over embeddings and softmax together; a matrix's steps are divided by its largest recent gradient."""
     size = 1 << BITS
     if len(np.unique(y)) < 2:
@@ -155,27 +156,46 @@ def train(index: list[np.ndarray], share: list[np.ndarray], y: np.ndarray, epoch
     return Model((e @ (u[:, 1] - u[:, 0]) * rare / np.float32(SCALE)).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 2500) -> Model:
-    """Train on at most ``sample`` rows of each class of ``labels`` (id, 0/1)."""
+def learn_toxicity(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 2500, max_bytes: int = 96 << 20
+) -> Model:
+    """Train on at most ``sample`` rows of each class of ``labels`` (id, 0/1) and at most ``max_bytes`` of their bags.
+
+    Rows are taken in the order of a hash of id and text, so that each run takes the same ones.
+    """
     spark = docs.sparkSession
     ship(spark)
-    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    counts = {r.y: r.n for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    turn = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 20))
-    chosen = marked.where(F.lit(False))
-    for y, n in sorted(counts.items()):
-        chosen = chosen.unionByName(marked.where((F.col("y") == y) & (turn < int(min(1.0, sample / n) * (1 << 20)))).limit(sample))
+    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").distinct()
+    turn = F.xxhash64(F.lit(9), "doc_id")
+    ids = [marked.where(F.col("y") == y).orderBy(turn, "doc_id").limit(sample) for y in (0, 1)]
+    chosen = ids[0].unionByName(ids[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made: list[tuple[bytes, bytes]] = []
             for _, _, data, offsets in text_chunks(b.column(2)):
                 made += bags(data, offsets)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([x for x, _ in made], pa.binary()), pa.array([x for _, x in made], pa.binary())], names=["doc_id", "y", "ids", "shares"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
-    rows = texts.mapInArrow(run, "doc_id long, y int, ids binary, shares binary").toArrow().sort_by([("doc_id", "ascending")])
-    return train([np.frombuffer(x, np.int32) for x in rows["ids"].to_pylist()], [np.frombuffer(x, np.float32) for x in rows["shares"].to_pylist()], np.asarray(rows["y"], dtype=np.int64))
+            yield pa.record_batch(
+                [b.column(0), b.column(1), b.column(3), pa.array([len(x) + len(z) for x, z in made], pa.int64()), pa.array([x for x, _ in made], pa.binary()), pa.array([z for _, z in made], pa.binary())],
+                names=["doc_id", "y", "turn", "size", "ids", "shares"],
+            )
+
+    # At most 2 * sample ids are broadcast. An id that many rows have gives many texts: these are bounded again, by rows of a class and by bytes.
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    with scratch(spark) as cut:
+        rows = cut(texts.select("doc_id", "y", "text", F.xxhash64(F.lit(9), "doc_id", "text").alias("turn")).mapInArrow(run, "doc_id long, y int, turn long, size long, ids binary, shares binary"))
+        first = [rows.where(F.col("y") == y).select("y", "turn", "size").orderBy("turn", "size").limit(sample) for y in (0, 1)]
+        # 2 * sample rows of three numbers, classes taken in turn.
+        order = Window.orderBy("place", "y")
+        ranked = first[0].unionByName(first[1]).withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy("turn", "size")))
+        fit = ranked.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= max_bytes)
+        last = {r.y: (r.n, r.turn) for r in fit.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("turn")).collect()}
+        taken = [rows.where((F.col("y") == y) & (F.col("turn") <= turn)).orderBy("turn", "size").limit(n) for y, (n, turn) in sorted(last.items())]
+        got = [t.select("y", "ids", "shares").toArrow() for t in taken]
+    table = pa.concat_tables(got) if got else pa.table({"y": pa.array([], pa.int32()), "ids": pa.array([], pa.binary()), "shares": pa.array([], pa.binary())})
+    # Views of the Arrow buffers, not copies.
+    views = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
+    return train(views("ids", np.int32), views("shares", np.float32), np.asarray(table["y"], dtype=np.int64))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
