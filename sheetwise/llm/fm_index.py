@@ -8,12 +8,14 @@ are searched at once, last word first, by ranks; their occurrences are located f
 
 A phrase is ``window`` consecutive words of an item; an item with fewer words, but not none, is one phrase.
 
-The benchmark reaches the tasks in blocks of ``block_chars`` characters of items at most. Documents pass one block after
-the other in the same task, each adding its spans and items, so the broadcast has a bound however long the benchmark is.
-
-Edge cases: a null text, of a document or an item, has no words. Items with the same words are each reported. Repeated rows
-have the same result each. A null item id is left out. Empty tables give no hits or no rows. Extra columns are
-kept only if asked for in ``keep``.
+The benchmark reaches the tasks in blocks of ``block_chars`` characters of items at most (or one longer item). Documents pass one block after
+the other, each adding its spans and items; between blocks they are written to the shared folder, so neither the broadcast nor what a task
+holds grows with the benchmark.
+
+Edge cases: a null or empty text, of a document or an item, has no words. A very long document is a shard of its own, searched whole. Bytes that are no UTF-8
+count as U+FFFD, which is part of a word. Items with the same words are each reported. An item without an id is searched like any other, and only left out of the
+list of ids. Repeated rows have the same result each. Empty tables give no hits or no rows. Extra columns are kept only if asked for in
+``keep``; one of them that is named like a column of the result is an error.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import text_chunks
-from sheetwise.runtime import ship
+from sheetwise.llm.common import no_clash, text_chunks, whole_text
+from sheetwise.runtime import cut_to, remove, ship
 
 #: Bytes that are no part of a word, after A-Z have become lower case: all ASCII but digits and letters.
 TO_SPACE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -144,7 +146,7 @@ class PhraseBlock:
                 found[tuple(ids[i : i + size])].add(item)
         by_length: dict[int, list] = defaultdict(list)
         for phrase, of in found.items():
-            by_length[len(phrase)].append((phrase, sorted(of, key=str)))
+            by_length[len(phrase)].append((phrase, sorted(of - {None})))
         self.lengths = {n: (np.array([p for p, _ in x], np.int64), [of for _, of in x]) for n, x in sorted(by_length.items())}
 
     def occurrences(self, symbols: np.ndarray) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
@@ -194,7 +196,7 @@ SPANS = "array<struct<start:int,end:int>>"
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[object, str]]]:
     block, size = [], 0
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), whole_text(text_col).alias("text")).where("text is not null")
     for r in rows.toLocalIterator():
         if block and size + len(r.text) > limit:
             yield block
@@ -215,8 +217,9 @@ def find_contamination(
     """
     spark = docs.sparkSession
     ship(spark)
+    no_clash(keep, ("_text", "n_words", "spans", "items"))
     rows = docs.select(
-        *keep, F.col(text_col).cast("string").alias("_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items")
+        *keep, whole_text(text_col).alias("_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items")
     )
     schema = rows.schema
 
@@ -230,8 +233,14 @@ def find_contamination(
 
         return df.mapInArrow(run, schema)
 
+    last = None  # the table of the block before
     none = True
     for items in _blocks(benchmark, item_col, item_text_col, block_chars):
+        if not none:
+            rows, path = cut_to(spark, rows)
+            if last:
+                remove(spark, last)
+            last = path
         rows, none = passed(rows, items), False
     return passed(rows, []) if none else rows
 
