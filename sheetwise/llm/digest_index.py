@@ -5,7 +5,8 @@ the SHA-256 of their normalised text, a sort-merge anti-join finds the digests t
 appended. The index side of that join needs no shuffle, as its buckets are the join's partitions. An append that
 is lost with its driver can be repeated: what was committed is found again by the anti-join.
 
-Edge cases: null text counts as empty. Rows with a null id are grouped too; a group of null ids only has a null
+Edge cases: null text counts as empty; a very long text is hashed whole. Bytes that are no UTF-8 are hashed as they are. No two ids can tie: of equal ids, all
+rows are kept. Rows with a null id are grouped too; a group of null ids only has a null
 ``keep_id``, and none of its rows is kept. Repeated rows (same id, same text) have the same result each, and count
 each towards ``group_size``. Empty tables append nothing. Extra columns are ignored.
 """
@@ -43,6 +44,10 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def drop(self) -> None:
+        """Forget the index; with a ``path`` its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def append_new(self, groups: DataFrame) -> None:
         """Append the rows of ``groups`` (digest, keep_id; each digest once) whose digest the index lacks."""
         fresh = groups.select("digest", "keep_id").join(self.rows().hint("merge"), "digest", "left_anti")

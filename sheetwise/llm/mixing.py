@@ -14,7 +14,8 @@ Tokens are runs of characters other than space and \\t-\\r.
 
 Edge cases: a null text has no tokens, and a document without tokens is taken with the prefix it falls in. A null language or source
 is the leaf ``und``. Rows with the same id are one document for the order: all are taken or none. A null id sorts as
-the text ``null``. Weights are whole numbers from 0; names without one have the default 1; a node of weight 0 gets nothing. An
+the text ``null``; a very long text is counted whole. Ties in the order of an epoch cannot be, as it ends with the id; siblings with equal
+capacity per weight are taken by name. Weights are whole numbers from 0; names without one have the default 1; a node of weight 0 gets nothing. An
 empty table gives an empty one. Columns of the input never clash with the operator's.
 """
 
@@ -113,7 +114,7 @@ def mix_sources(docs: DataFrame, mix: Mix, domain: Column, language: Column, sou
     """
     spark = docs.sparkSession
     tagged = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("_row") if len(set(docs.columns)) == len(docs.columns) else F.struct(F.col(doc_id), F.col(text)).alias("_row"),
+        F.struct("*").alias("_row"),
         F.coalesce(domain, F.lit("und")).alias("domain"), F.coalesce(language, F.lit("und")).alias("language"), F.coalesce(source, F.lit("und")).alias("origin"),
         token_count(F.col(text)).alias("n_tokens"), F.col(doc_id).alias("_id"),
     )

@@ -31,7 +31,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = digest_index.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return index.deduplicate(table(spark, sf_dir, "documents"))
+    found = index.deduplicate(table(spark, sf_dir, "documents"))
+    index.drop()  # the query's own; the result no longer reads it
+    return found
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +172,7 @@ ks as (select distinct k from bp),
 dp as (select doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') as p from (select doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) as i from dw cross join ks where len(ws) >= k)),
 hits as (select doc_id, i, k, item_id from dp join bp using (p, k)),
 words as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(i, i + k)) as j from (select distinct doc_id, i, k from hits)) group by doc_id),
-its as (select doc_id, count(*) as n_items, string_agg(x, ',' order by x) as s from (select distinct doc_id, cast(item_id as varchar) as x from hits) group by doc_id)
+its as (select doc_id, count(x) as n_items, string_agg(x, ',' order by x) as s from (select distinct doc_id, cast(item_id as varchar) as x from hits) group by doc_id)
 select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from dw left join words using (doc_id) left join its using (doc_id)""",
 }
