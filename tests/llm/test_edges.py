@@ -1,14 +1,17 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sheetwise.llm import compact_windows, digest_index, fm_index, lang_bloom, mixing, quality, simhash, token_store, toxicity, url_trie
+from sheetwise.llm import common, compact_windows, digest_index, fm_index, lang_bloom, mixing, near_texts, quality, simhash, token_store, toxicity, url_trie
 from sheetwise.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, score double, fp long, spans string, domain string, _row int, lang_pred string"
@@ -98,6 +101,24 @@ def test_urls(spark):
         assert [got[i].verdict for i in range(10)] == want
         assert got[3].rule is None and got[3].host == "a.net" and got[5].rule == "a.net/x/y"
     assert url_trie.filter_urls(pages.where("false"), rules, ["page_id"]).count() == 0
+    assert {r.verdict for r in url_trie.filter_urls(pages, [], ["page_id"]).collect()} == {"allow"}
+    with pytest.raises(ValueError, match="named like"):
+        url_trie.filter_urls(pages.withColumn("host", F.lit(1)), rules, ["host"])
+
+
+def test_very_long_urls(spark):
+    """10 MB of one segment, of slashes or of dots: looked up within a second, as a lookup goes no deeper than the rules."""
+    trie = url_trie.UrlTrie([("block", "net", "/"), ("allow", "a.net", "/x/"), ("block", "a.net", "/x/yyyy"), ("allow", "a.net", "/x/y")])
+    n = 10_000_000
+    began = time.time()
+    assert trie.match("a.net", "/x/" + "y" * n) == (2, 7, "block", "a.net/x/yyyy")
+    assert trie.match("a.net", "/x/y") == (2, 4, "allow", "a.net/x/y")
+    assert trie.match("a.net", "/" * n) == (1, 1, "block", "net/")
+    assert trie.match("." * n + "net", "/q") == (1, 1, "block", "net/")
+    assert time.time() - began < 1
+    page = spark.createDataFrame([(1, "http://A.net/x/" + "y" * n + "?q"), (2, "x" * n)], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.n) for r in url_trie.filter_urls(page, [("block", "a.net", "/x/yyyy")], ["page_id"]).select("page_id", "verdict", F.length("path").alias("n")).collect()}
+    assert got == {1: ("block", n + 3), 2: ("allow", 0)}
 
 
 def test_quality(spark, docs, none):
@@ -150,14 +171,14 @@ def brute_contamination(text, items):
     words = fm_index.words_of((text or "").encode())
     hit, found = set(), set()
     for item, t in items:
-        w = fm_index.words_of(t.encode())
+        w = fm_index.words_of((t or "").encode())
         n = min(10, len(w))
         for i in range(len(w) - n + 1 if n else 0):
             for j in range(len(words) - n + 1):
                 if words[j : j + n] == w[i : i + n]:
                     hit |= set(range(j, j + n))
                     found.add(item)
-    return len(words), len(hit), sorted(found)
+    return len(words), len(hit), sorted(found - {None})
 
 
 @pytest.mark.parametrize("block", [1 << 20, 40])
@@ -166,12 +187,18 @@ def test_contamination(spark, docs, none, block):
     words = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
     items = [(str(i), words(rng.randint(8, 16))) for i in range(6)] + [("6", ""), ("7", "The Fox"), ("8", "the fox")]
     texts = [(i, words(rng.randint(0, 300)).replace("a", "A", 3) + rng.choice(["", " the, FOX!", " thé fox"])) for i in range(40)] + [(90, None), (91, "")]
-    bench = spark.createDataFrame([(i, t) for i, t in items] + [(None, "a b"), ("9", None)], "item_id string, text string")
+    items += [(None, "a b c d a b c d a b"), ("9", None)]  # an item without an id hits like any other
+    bench = spark.createDataFrame(items, "item_id string, text string")
     df = spark.createDataFrame(texts, "doc_id long, text string")
     got = {r.doc_id: r for r in fm_index.find_contamination(df, bench, ["doc_id"], block_chars=block, shard_bytes=500).collect()}
     for i, t in texts:
         n, hit, found = brute_contamination(t, items)
         assert (got[i].n_words, sum(s.end - s.start for s in got[i].spans), got[i]["items"]) == (n, hit, found)
+    only = bench.where("item_id is null").withColumn("text", F.lit("the fox"))
+    hit = fm_index.find_contamination(df, only, ["doc_id"], block_chars=block).where("size(spans) > 0")
+    assert hit.count() > 0 and hit.where("size(items) > 0").count() == 0
+    with pytest.raises(ValueError, match="named like"):
+        fm_index.find_contamination(docs.withColumnRenamed("lang", "n_words"), bench, ["n_words"])
     assert fm_index.find_contamination(none, bench, ["doc_id"]).count() == 0
     assert fm_index.find_contamination(docs, bench.where("false"), ["doc_id"]).count() == 9
 
@@ -277,6 +304,233 @@ def test_windows_are_those_of_the_cartesian_tree():
     assert got == want
 
 
+def test_hot_hashes_are_dealt_by_block():
+    """Every row is shuffled once; of a hash with many rows of several texts, the smallest text's goes under the hash as well."""
+    rng = np.random.default_rng(3)
+    v = np.concatenate((np.full(500, 7), np.full(300, 9), rng.integers(100, 1 << 60, 200)))
+    k = np.concatenate((rng.integers(0, 50, 500), np.full(300, 4), rng.integers(0, 50, 200)))
+    row, dealt = compact_windows.deal_hot(v, k, 5)
+    assert sorted(row.tolist()) == sorted([*range(1000), int(row[-1])]) and k[row[-1]] == k[:500].min() and dealt[-1] == 7
+    where = dict(zip(row[:-1].tolist(), dealt[:-1].tolist()))
+    assert len({where[i] for i in range(500)}) == 1 and where[0] != 7 and all(where[i] == v[i] for i in range(500, 1000))
+    assert compact_windows.deal_hot(v, k, 6)[1][0] != dealt[0] or where[0] != 7
+    assert (compact_windows.deal_hot(v[800:], k[800:], 1)[1] == v[800:]).all() and len(compact_windows.deal_hot(v[:0], k[:0], 1)[0]) == 0
+
+
+def test_abandoned_words_and_pairs():
+    """In one group of 2,000 fingerprints: the pairs and distances of brute force, and most words are abandoned before the last plane."""
+    rng = random.Random(11)
+    for wide, radius in ((1, 2), (4, 56)):
+        base = rng.getrandbits(64 * wide)
+        fps = {rng.getrandbits(64 * wide) for _ in range(1700)} | {base ^ sum(1 << b for b in rng.sample(range(64 * wide), rng.randint(1, radius))) for _ in range(300)}
+        f = np.array([[x >> 64 * j & 0xFFFFFFFFFFFFFFFF for j in range(wide)] for x in fps], np.uint64)
+        counted = []
+        got = {(int(i), int(j), int(d)) for one, two, dist in simhash.near_pairs(f, np.full(len(f), len(f)), radius, None, counted) for i, j, d in zip(one, two, dist)}
+        dist = np.bitwise_count(f[:, None] ^ f[None]).sum(axis=2, dtype=int)
+        assert got == {(int(i), int(j), int(dist[i, j])) for i, j in zip(*np.nonzero(dist <= radius)) if i < j}
+        assert sum(counted) > 0.7 * len(f) ** 2 / 128
+    # Groups one after the other meet only within themselves.
+    last = np.repeat([700, 701, 1500, len(f)], [700, 1, 799, len(f) - 1500])
+    own = {(int(i), int(j)) for one, two, _ in simhash.near_pairs(f, last, 56) for i, j in zip(one, two)}
+    assert own == {(i, j) for i, j, _ in got if last[i] == last[j]}
+
+
+def brute_texts(texts, similarity=0.8):
+    """Component of each text by the Jaccard similarity of five-word shingles, of all pairs."""
+    words = [tuple(re.findall("[^\x20\x09-\x0D]+", (t or "").lower())) for t in texts]
+    sets = [{w[i : i + 5] for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("large", [1 << 14, 8])
+def test_near_texts_against_brute_force(spark, docs, none, large):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(30):
+        own = [word() for _ in range(rng.randint(3, 250))]
+        texts.append(" ".join(own))
+        for _ in range(rng.randint(0, 8)):
+            copy = list(own)
+            for _ in range(rng.randint(0, max(1, len(own) // 25))):
+                i = rng.randrange(len(copy))
+                copy[i : i + rng.randint(0, 1)] = [word() for _ in range(rng.randint(0, 2))]
+            texts.append(" ".join(copy))
+    texts += [None, "", " \t", "one two", "ONE  two"]
+    want = brute_texts(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_texts.near_duplicate_texts(df, large=large).collect()}
+    wrong = [i for i in range(len(texts)) if got[i] != want[i]]
+    assert len(set(want)) > 30 and len(wrong) <= 0.01 * len(texts)
+    # No text is linked to one that brute force does not reach.
+    assert all(want[got[i]] == want[i] for i in range(len(texts)))
+    assert near_texts.near_duplicate_texts(none).count() == 0
+    rows = {(r.doc_id, r.component_id) for r in near_texts.near_duplicate_texts(docs).collect()}
+    assert {(1, 1), (2, 2), (3, 2), (4, 1), (None, None), (7, 7)} <= rows
+
+
+def test_passages_of_the_small_tables(spark):
+    """Recall of exact runs of 50 words or more is 1, and that of near repeats, by verification of all pairs on all diagonals, at least 0.98."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in rows.select("doc_id", "text").collect()}
+    got = {r.doc_id: {j for x in r.spans for j in range(x.start, x.end)} for r in compact_windows.near_duplicate_passages(rows).collect()}
+    words = {i: re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in texts.items()}
+    where = {}
+    for i, w in words.items():
+        for j in range(len(w) - 49):
+            where.setdefault(tuple(w[j : j + 50]), []).append((i, j))
+    exact = {i: set() for i in texts}
+    for found in where.values():
+        if len({i for i, _ in found}) > 1:
+            for i, j in found:
+                exact[i] |= set(range(j, j + 50))
+    assert sum(map(len, exact.values())) > 50_000
+    assert all(exact[i] <= got[i] for i in texts)
+    items, holders, common_items = {}, {}, Counter()
+    for i, w in words.items():
+        items[i] = np.array([zlib.crc32(" ".join(w[j : j + 5]).encode()) for j in range(max(0, len(w) - 4))], np.uint32)
+        for x in np.unique(items[i]).tolist():
+            holders.setdefault(x, []).append(i)
+    for own in holders.values():
+        common_items.update((a, b) for n, a in enumerate(own) for b in own[n + 1 :])
+    near = {i: set() for i in texts}
+    for (i, j), n in common_items.items():
+        if n >= 37:
+            a, b = items[i], items[j]
+            shifts = {int(y - x) for x in range(len(a)) for y in np.flatnonzero(b == a[x])}
+            edges = np.array([(f, 0, 0, len(a) - 1, 0, d, len(b) - 1) for f in range(2) for d in sorted(shifts)])
+            for s, e, s2, e2 in compact_windows.verify(a, b, edges, 46, 0.8):
+                near[i] |= set(range(s, e + 5))
+                near[j] |= set(range(s2, e2 + 5))
+    with_near = [i for i in texts if near[i]]
+    assert len(with_near) > 150 and sum(bool(got[i]) for i in with_near) >= 0.98 * len(with_near)
+    assert sum(len(near[i] & got[i]) for i in texts) >= 0.98 * sum(map(len, near.values()))
+    assert sum(bool(got[i]) and not near[i] and not exact[i] for i in texts) <= 3
+
+
+def test_filters_against_sets(spark):
+    """The filter returns every language that contains an n-gram, and few more; counts and predictions are those of plain sets."""
+    rng = random.Random(14)
+    rows = [(i, "".join(rng.choice("abcdefgh "[j % 2 :]) for j in range(200)), "xy"[i % 2]) for i in range(40)] + [(50, "zzz", None), (51, None, "x")]
+    model = lang_bloom.learn_language_filters(spark.createDataFrame(rows, "doc_id long, text string, lang string"), bits=12)
+
+    def grams(t):
+        padded = [" ", *t, " "]
+        return [tuple(c if c.isalpha() else " " for c in padded[i - 1 : i + 2]) for i in range(1, len(padded) - 1) if padded[i].isalpha()]
+
+    held = {lang: Counter(g for _, t, x in rows if x == lang and t for g in grams(t)) for lang in "xy"}
+    every = sorted(set(held["x"]) | set(held["y"]) | set(grams("the quick brown fox jumps over a lazy dog")))
+    point = lambda c: 0 if c == " " else ord(c)
+    codes = np.array([point(a) << 42 | point(b) << 21 | point(c) for a, b, c in every])
+    mask = model.lookup(codes)[0]
+    false = 0
+    for i, lang in enumerate(model.languages):
+        has = [(int(m) >> i) & 1 for m in mask]
+        assert all(h for g, h in zip(every, has) if held[lang][g])
+        false += sum(h for g, h in zip(every, has) if not held[lang][g])
+    assert false <= 0.2 * len(every)
+    text = rows[3][1]
+    data = np.frombuffer(text.encode(), np.uint8)
+    best, score, cover = model.predict(data, np.array([0, len(data)]), np.zeros(2))
+    hits = [sum((int(model.lookup(np.array([point(a) << 42 | point(b) << 21 | point(c)]))[0][0]) >> i) & 1 for a, b, c in grams(text)) for i in range(2)]
+    assert best[0] == int(np.argmax(hits)) and score[0] == pytest.approx(max(hits) / sum(hits)) and cover[0] == pytest.approx(max(hits) / len(grams(text)))
+
+
+def test_subword_bags_against_plain_python():
+    texts = ["Bad baad BAD word", "", "é! x", "one-two three three3", "a" * 300]
+    raw = [t.encode() for t in texts]
+    got = list(toxicity.bags(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])))
+    for t, (ids, shares) in zip(raw, got):
+        folded = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in t)
+        bag = Counter()
+        for w in set(folded.split()):
+            w = b" " + w + b" "
+            for size in toxicity.SIZES:
+                for i in range(len(w) - size + 1):
+                    h = w[i]
+                    for c in w[i + 1 : i + size]:
+                        h = (h * 0x01000193 + c) & 0xFFFFFFFF
+                    bag[(((h ^ (size * 0x27D4EB2F)) & 0xFFFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - toxicity.BITS)] += 1
+        n = sum(bag.values()) + toxicity.PAD
+        assert dict(zip(np.frombuffer(ids, np.int32).tolist(), np.frombuffer(shares, np.float32).tolist())) == pytest.approx({b: x / n for b, x in bag.items()})
+
+
+@pytest.mark.parametrize("words", [3, 60_000])
+def test_word_vectors_against_plain_python(spark, words):
+    """Random-indexing sums over whole texts, with words of their own and words that share a vector."""
+    rng = random.Random(15)
+    texts = [" ".join(rng.choice(["a", "b", "cc", "dd!", "e"]) for _ in range(rng.randint(0, 40))) for _ in range(30)] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    vocabulary = quality.learn_vocabulary(df, words=words)
+    tokens = [re.findall("[a-z]+|!", t or "") for t in texts]
+    hashed = {w: int(common.token_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]) for own in tokens for w in own}
+    counts = Counter(w for own in tokens for w in own)
+    top = sorted(counts, key=lambda w: (-counts[w], hashed[w] - (1 << 64) * (hashed[w] >> 63)))[:words]
+    assert vocabulary.words.tolist() == sorted(hashed[w] for w in top)
+    row = {w: vocabulary.words.tolist().index(hashed[w]) if w in top else len(vocabulary.words) + (hashed[w] >> (64 - quality.RARE_BITS)) for w in counts}
+    places, signs = quality.index_vectors(len(vocabulary))
+    want = np.zeros((len(vocabulary), quality.DIMS))
+    for own in tokens:
+        for i, w in enumerate(own):
+            for j in range(max(0, i - quality.WINDOW), min(len(own), i + quality.WINDOW + 1)):
+                if j != i:
+                    np.add.at(want[row[w]], places[row[own[j]]], signs[row[own[j]]])
+    known = want.any(axis=1, keepdims=True)
+    want -= want.sum(axis=0) / known.sum() * known
+    want /= np.maximum(1e-9, np.linalg.norm(want, axis=1, keepdims=True))
+    assert np.allclose(quality.learn_word_vectors(df, vocabulary), want, atol=1e-4)
+
+
+def test_bytes_that_are_no_utf8(spark, docs):
+    """Each operator works on them as its docstring says."""
+    bad = spark.sql("select 1L as doc_id, cast(x'61FF6263' as string) as text, 'en' as lang, 'src0' as source, cast(x'687474703A2F2F61FF2F' as string) as url union all select 2L, 'abc', 'en', 'src0', 'http://b/'")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    model = lang_bloom.learn_language_filters(bad)
+    assert lang_bloom.identify_language(bad, model, ["doc_id"]).count() == 2
+    assert simhash.near_duplicates(bad).count() == 2 and near_texts.near_duplicate_texts(bad).count() == 2
+    assert mixing.mix_sources(bad, mixing.Mix(numerator=1, denominator=1), F.lit("d"), F.col("lang"), F.col("source")).count() == 2
+    assert {r.host for r in url_trie.filter_urls(bad, [("block", "b", "/")], ["doc_id"]).collect()} == {"a\ufffd", "b"}
+    assert quality.score_quality(bad, labels).count() == 2
+    assert toxicity.score_toxicity(bad, toxicity.learn_toxicity(bad, labels)).count() == 2
+    assert compact_windows.near_duplicate_passages(bad).count() == 2
+    assert fm_index.cut_spans(fm_index.find_contamination(bad, spark.createDataFrame([(1, "abc")], "item_id long, text string"), ["doc_id"])).count() == 2
+    path = token_store.new_store_path(spark)
+    token_store.write_tokens(bad, path, tokenizer_path())
+    assert token_store.read_tokens(spark, path).count() == 2
+    assert digest_index.DigestIndex(spark, "bad_index", 4).deduplicate(bad).count() == 2
+
+
+def test_training_rows_are_bounded_and_the_same_each_time(spark):
+    """A labelled id that very many rows share gives no more than the stated rows and bytes, whatever the order of the input."""
+    rng = random.Random(16)
+    rows = [(5 if i % 2 else i, " ".join(rng.choice(["bad", "good", "fine", "word"]) + str(i % 7) for _ in range(30))) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0 or i == 5)) for i in range(300)], "doc_id long, toxic int")
+    models = []
+    for seed in (1, 2):
+        df = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "doc_id long, text string").repartition(1 + seed)
+        models.append(toxicity.learn_toxicity(df, labels, sample=40, max_bytes=60_000))
+    assert np.array_equal(models[0].weight, models[1].weight) and models[0].bias == models[1].bias
+    quality_rows = labels.withColumnRenamed("toxic", "quality")
+    scores = [
+        {(r.doc_id, round(r.score, 9)) for r in quality.score_quality(spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "doc_id long, text string"), quality_rows, sample=50).collect()}
+        for seed in (1, 2)
+    ]
+    assert scores[0] == scores[1]
+
+
 def test_near_dedup_stage(spark, docs, none):
     """Copies and repeated rows leave one document; rows without an id and unlike rows that share an id stay."""
     more = spark.createDataFrame([(9, "alpha beta gamma delta"), (9, "one two three four five"), (None, "the quick brown fox")], "doc_id long, text string")
@@ -286,3 +540,25 @@ def test_near_dedup_stage(spark, docs, none):
     found = sorted((r.doc_id or 0, (r.text or "")[:9]) for r in got.collect())
     assert found == [(0, "le renard"), (0, "the quick"), (1, "the quick"), (2, ""), (6, "12 34 !!"), (7, "wort0 wor"), (8, "der schne"), (9, "alpha bet"), (9, "one two t")]
     assert corpus_pipeline.near_dedup(spark, none, "").count() == 0
+
+
+def test_other_stages_edge_cases(spark, docs, none):
+    """Nulls, repeated rows, empty tables, columns named like the operators' own, and two columns of one name, through the other four stages."""
+    sf = "/root/testdata/sf0.001"
+    rows = docs.withColumns({"_text": F.lit(1), "n_words": F.lit(2), "coverage": F.lit(3), "origin": F.lit("o"), "epoch": F.lit(4)})
+    kept = corpus_pipeline.language_id(spark, rows, sf)
+    assert kept.columns == rows.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 4, 7]
+    clean = corpus_pipeline.decontaminate(spark, rows, sf)
+    assert clean.columns == rows.columns and clean.count() == 9
+    chosen = corpus_pipeline.mix(spark, rows, sf)
+    assert chosen.columns == rows.columns and chosen.count() <= 9
+    # Rows that share an id are taken together or not at all.
+    assert chosen.where("doc_id = 4").count() in (0, 2)
+    got = corpus_pipeline.tokens(spark, rows, sf).collect()
+    assert len(got) == 9 and {r.n_tokens for r in got if r.doc_id in (2, 3)} == {1}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0, name
+    twice = docs.select("*", F.lit(1).alias("more"), F.lit(2).alias("more"))
+    assert corpus_pipeline.mix(spark, twice, sf).columns == twice.columns
+    assert corpus_pipeline.near_dedup(spark, twice, sf).columns == twice.columns
+    assert corpus_pipeline.tokens(spark, twice, sf).count() == 9
