@@ -11,29 +11,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm import fm_index, lang_bloom, queries, simhash
+from sheetwise.llm import fm_index, lang_bloom, near_texts, queries
 from sheetwise.runtime import cut
 
 #: A document is rejected if it has no letters, or if its language holds less than this share of its n-grams.
 MIN_COVERAGE = 0.3
 
 
-def _row(docs: DataFrame):
-    return F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+def _row():
+    return F.struct("*").alias("_row")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a learned language. The filters are learned from the stage's own rows that have a label."""
-    found = lang_bloom.identify_language(docs, queries.language_model(docs), [_row(docs)])
+    found = lang_bloom.identify_language(docs, queries.language_model(docs), [_row()])
     return found.where((F.col("lang_pred") != lang_bloom.UND) & (F.col("coverage") >= MIN_COVERAGE)).select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate component, and of its repeated rows (same id and text) one.
+    """Keeps the document with the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8 or more), and of its repeated rows (same id and text) one.
 
     Rows without an id stay: no component is named after them.
     """
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_texts.near_duplicate_texts(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.join(kept.hint("merge"), docs["doc_id"] == kept["_kept"], "left_semi")
     # The join has dealt the rows by id already, so this adds no shuffle.
     return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where(docs["doc_id"].isNull()))
@@ -41,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in which no benchmark phrase occurs."""
-    found = fm_index.find_contamination(docs, queries.table(spark, sf_dir, "benchmark"), [_row(docs)])
+    found = fm_index.find_contamination(docs, queries.table(spark, sf_dir, "benchmark"), [_row()])
     return found.where(F.size("spans") == 0).select("_row.*")
 
 
