@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetwise.operators import decode, fields, legend, nearest, registration
+from sheetwise.functions import geometry as G
+from sheetwise.operators import decode, fields, legend, nearest, registration, suppression
 from sheetwise.runtime import cut
 from sheetwise.schema import KEYS
 
@@ -38,7 +39,7 @@ def merge_sections(*facts: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame
     return every.withColumn("_top", top).where("_priority = _top").select(*keys, *FACT)
 
 
-def legend_clusters(landmarks: DataFrame, method: str = "dbscan", eps: float = 20.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def legend_clusters(landmarks: DataFrame, method: str = "kmeans", eps: float = 20.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Clusters of both legends' digits with labels and positions."""
     digits = cut(landmarks.sparkSession, legend.isolate_legend(landmarks, WIDTH, HEIGHT, keys))
     if method == "dbscan":  # both axes at once
@@ -50,7 +51,7 @@ def legend_clusters(landmarks: DataFrame, method: str = "dbscan", eps: float = 2
     return _union([legend.cluster_boxes(df, u, keys) for u, df in parts.items()])
 
 
-def interpret_front(det: DataFrame, centroids: DataFrame, template: DataFrame, method: str = "dbscan", keys: tuple[str, ...] = KEYS) -> DataFrame:
+def interpret_front(det: DataFrame, centroids: DataFrame, template: DataFrame, method: str = "kmeans", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Facts of the front of every sheet from its detections (``source`` says which model found a row)."""
     spark = det.sparkSession
     placed = cut(spark, registration.register_side(det, template, "intraoperative", keys))
@@ -117,20 +118,66 @@ def interpret_sheets(front: DataFrame, back: DataFrame, keys: tuple[str, ...] =
     return both.select(*keys, F.concat(F.lit("{"), part("intraoperative", "f"), F.lit(","), part("preoperative_postoperative", "b"), F.lit("}")).alias("record"))
 
 
-def score_side(images: DataFrame, models: dict[str, tuple[Callable, bool]], keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Detections of several models on the same images: source -> (model factory, has keypoints)."""
+#: Models with keypoints, and the overlap at which a model's detections are duplicates, if it is not 0.5 (fixed values).
+KEYPOINT_SOURCES = ("systolic", "diastolic", "heart_rate")
+DUPLICATE = {"checkboxes": 0.8}
+
+
+def score_side(images: DataFrame, models: dict[str, tuple[Callable, bool]], keys: tuple[str, ...] = KEYS, config: DataFrame | None = None) -> DataFrame:
+    """Detections of several models on the same images: source -> (model factory, has keypoints).
+
+    ``config`` (as of :func:`formats.parse_model_config`) gives each source's tile side and overlaps; else the images have theirs.
+    """
     empty = {"kp_x": F.lit(None).cast("double"), "kp_y": F.lit(None).cast("double")}
+    rows = {r.source: r for r in config.where(F.col("source").isin(list(models))).collect()} if config is not None else {}
+    if config is not None and set(rows) != set(models):
+        raise ValueError(f"no configuration of {sorted(set(models) - set(rows))}")
     parts = []
     for source, (factory, points) in models.items():
-        found = decode.detect_with_tiling(images, factory, keys, has_keypoints=points, nms_threshold=0.8 if source == "checkboxes" else 0.5)
-        found = (found if points else found.withColumns(empty)).drop("tile_row", "tile_col", "pos")
-        parts.append(found.withColumns({"source": F.lit(source), "det_id": F.xxhash64(F.lit(source), *keys, "ord")}))
-    return _union(parts)
+        tiled = images
+        if source in rows:
+            side = G.tile_size(F.col("width"), F.col("height"), F.lit(rows[source].tile_size_proportion))
+            tiled = images.withColumns({"slice_w": side, "slice_h": side, "ov_x": F.lit(rows[source].horz_overlap_proportion), "ov_y": F.lit(rows[source].vert_overlap_proportion)})
+        found = decode.placed_detections(tiled, factory, keys, has_keypoints=points)
+        parts.append((found if points else found.withColumns(empty)).drop("tile_row", "tile_col", "pos").withColumn("source", F.lit(source)))
+    # All sources with the same threshold at once; written, as suppression reads its input again.
+    placed = cut(images.sparkSession, _union(parts))
+    kept = []
+    for least in sorted({DUPLICATE.get(s, 0.5) for s in models}):
+        some = placed.where(F.col("source").isin([s for s in models if DUPLICATE.get(s, 0.5) == least]))
+        kept.append(suppression.suppress(some, least, "iom", suppression.area_times_confidence(), (*keys, "source")))
+    return _union(kept).withColumn("det_id", F.xxhash64("source", *keys, "ord"))
+
+
+def _model_set(factories: dict[str, Callable], sources: tuple[str, ...]) -> dict[str, tuple[Callable, bool]]:
+    missing = [s for s in sources if s not in factories]
+    if missing:
+        raise ValueError(f"no model for {missing}")
+    return {s: (factories[s], s in KEYPOINT_SOURCES) for s in sources}
+
+
+def score_front(images: DataFrame, factories: dict[str, Callable], config: DataFrame | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Detections of the six models of the front."""
+    return score_side(images, _model_set(factories, FRONT_SOURCES), keys, config)
+
+
+def score_back(images: DataFrame, factories: dict[str, Callable], config: DataFrame | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Detections of the three models of the back."""
+    return score_side(images, _model_set(factories, BACK_SOURCES), keys, config)
+
+
+def score_sheets(front_images: DataFrame, back_images: DataFrame, front: dict[str, Callable], back: dict[str, Callable], config: DataFrame | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Detections of both sides, with ``side``."""
+    sides = zip(("intraoperative", "preoperative_postoperative"), (score_front(front_images, front, config, keys), score_back(back_images, back, config, keys)))
+    return _union([df.withColumn("side", F.lit(side)) for side, df in sides])
 
 
-def digitize_sheets(front_images: DataFrame, back_images: DataFrame, front_models: dict, back_models: dict, centroids: DataFrame, templates: dict[str, DataFrame], nested: bool = True, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Images of both sides to records. Not nested, a section that both sides have is the back's."""
+def digitize_sheets(
+    front_images: DataFrame, back_images: DataFrame, front_models: dict[str, Callable], back_models: dict[str, Callable], centroids: DataFrame, template: DataFrame,
+    nested: bool = True, config: DataFrame | None = None, method: str = "kmeans", keys: tuple[str, ...] = KEYS,
+) -> DataFrame:
+    """Images of both sides to records, with a model factory for each source. Not nested, a section that both sides have is the back's."""
     spark = front_images.sparkSession
-    front = interpret_front(cut(spark, score_side(front_images, front_models, keys)), centroids, templates["intraoperative"], keys=keys)
-    back = interpret_back(cut(spark, score_side(back_images, back_models, keys)), centroids, templates["preoperative_postoperative"], keys=keys)
+    front = interpret_front(cut(spark, score_front(front_images, front_models, config, keys)), centroids, template, method, keys)
+    back = interpret_back(cut(spark, score_back(back_images, back_models, config, keys)), centroids, template, keys)
     return interpret_sheets(front, back, keys) if nested else record_json(merge_sections(front, back, keys=keys), keys)

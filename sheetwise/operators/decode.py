@@ -81,10 +81,15 @@ def score_tiles(tiles: DataFrame, model_factory: Callable[[], Callable[[pd.DataF
     return tiles.mapInPandas(run, schema)
 
 
-def detect_with_tiling(images: DataFrame, model_factory: Callable, keys: tuple[str, ...] = KEYS, confidence: float = 0.5, nms_threshold: float = 0.5, has_keypoints: bool = False) -> DataFrame:
-    """Tile images, score tiles, put detections back into the image and suppress duplicates."""
+def placed_detections(images: DataFrame, model_factory: Callable, keys: tuple[str, ...] = KEYS, confidence: float = 0.5, has_keypoints: bool = False) -> DataFrame:
+    """Tile images, score tiles and put detections back into the image; tiles overlap, so duplicates are still there."""
     checked = tiling.validate_tile_params(images, "fail")
     params = checked.select(*keys, *tiling.TILE)
     found = score_tiles(tiling.tile_images(checked, keys), model_factory, (*keys, "tile_row", "tile_col"), has_keypoints)
-    placed = tiling.untile(found.where(F.col("confidence") >= confidence).join(params, list(keys)), keys)
-    return suppression.suppress(placed.drop(*tiling.TILE), nms_threshold, "iom", suppression.area_times_confidence(), keys)
+    return tiling.untile(found.where(F.col("confidence") >= confidence).join(params, list(keys)), keys).drop(*tiling.TILE)
+
+
+def detect_with_tiling(images: DataFrame, model_factory: Callable, keys: tuple[str, ...] = KEYS, confidence: float = 0.5, nms_threshold: float = 0.5, has_keypoints: bool = False) -> DataFrame:
+    """:func:`placed_detections` without duplicates."""
+    placed = placed_detections(images, model_factory, keys, confidence, has_keypoints)
+    return suppression.suppress(placed, nms_threshold, "iom", suppression.area_times_confidence(), keys)

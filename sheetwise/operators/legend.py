@@ -108,24 +108,45 @@ def _dbscan_rounds(at: DataFrame, eps: float, min_samples: int, keys: tuple[str,
     return border.join(now, [*keys, "det_id"], "left").select(*keys, "det_id", F.coalesce("cluster", "near").alias("cluster"))
 
 
-def _lloyd(x: np.ndarray, k: int, rounds: int = 500) -> np.ndarray:
-    """Labels of Lloyd's iterations from farthest-first centres."""
-    chosen = [int(np.argmin(x.sum(axis=1)))]
+def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ centres: each next one by its squared distance to those so far, the best of some draws."""
+    chosen = [int(rng.integers(len(x)))]
     least = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+    draws = 2 + int(np.log(k))
     while len(chosen) < k:
-        chosen.append(int(np.argmax(least)))
-        least = np.minimum(least, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
-    centres = x[chosen].astype(float)
-    labels = np.full(len(x), -1)
+        total = least.sum()
+        if total <= 0:
+            chosen.append(int(rng.integers(len(x))))
+            continue
+        tried = np.searchsorted(np.cumsum(least), rng.random(draws) * total).clip(max=len(x) - 1)
+        after = np.minimum(least, ((x[tried, None] - x[None]) ** 2).sum(axis=2))
+        best = int(after.sum(axis=1).argmin())
+        chosen.append(int(tried[best]))
+        least = after[best]
+    return x[chosen].astype(float)
+
+
+def _lloyd(x: np.ndarray, centres: np.ndarray, rounds: int = 300, tolerance: float = 1e-4) -> tuple[float, np.ndarray]:
+    """(inertia, labels) of Lloyd's iterations, until the centres move by less than ``tolerance`` of the points' variance."""
+    stop = tolerance * x.var(axis=0).mean()
     for _ in range(rounds):
-        new = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-        if (new == labels).all():
+        labels = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        n = np.bincount(labels, minlength=len(centres))
+        sums = np.stack([np.bincount(labels, x[:, d], len(centres)) for d in range(x.shape[1])], axis=1)
+        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        moved = ((new - centres) ** 2).sum()
+        centres = new
+        if moved <= stop:
             break
-        labels = new
-        for j in range(k):
-            if (labels == j).any():
-                centres[j] = x[labels == j].mean(axis=0)
-    return labels
+    dist = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    return float(dist.min(axis=1).sum()), dist.argmin(axis=1)
+
+
+def _kmeans(x: np.ndarray, k: int, starts: int = 20, seed: int = 0) -> np.ndarray:
+    """Labels of the start with the least inertia."""
+    rng = np.random.default_rng(seed)
+    runs = [_lloyd(x, _plus_plus(x, k, rng)) for _ in range(starts)]
+    return min(runs, key=lambda r: r[0])[1]
 
 
 def _single_linkage(x: np.ndarray, k: int) -> np.ndarray:
@@ -200,8 +221,8 @@ def _by_silhouette(points: DataFrame, ks: list[int], name: str, method: Callable
 
 
 def cluster_kmeans(points: DataFrame, ks: list[int], keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Adds ``cluster`` by k-means on box centres, k chosen by silhouette. Labels are the same in every run."""
-    return _by_silhouette(points, ks, "kmeans", _lloyd, keys)
+    """Adds ``cluster`` by k-means on box centres (20 starts of k-means++, the least inertia counts), k chosen by silhouette. Labels are the same in every run."""
+    return _by_silhouette(points, ks, "kmeans", _kmeans, keys)
 
 
 def cluster_agglomerative(points: DataFrame, ks: list[int], keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -42,13 +42,22 @@ def nearest_per_target(det: DataFrame, centroids: DataFrame, width: Column, heig
     return best.select(*keys, "form", "name", "d.category", "d.det_id", "d.dist")
 
 
-def nearest_centroid(det: DataFrame, centroids: DataFrame, width: Column, height: Column, max_dist: float | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """For each detection the nearest centroid of its form, whatever the distance unless ``max_dist`` is given."""
-    met = normalize_center(det, width, height).join(small(centroids.select("form", "name", "cx", "cy")), "form").withColumn("dist", _distance())
-    if max_dist is not None:
-        met = met.where(F.col("dist") < max_dist)
-    best = met.groupBy(*keys, "form", "det_id", "ord", "category").agg(F.min_by(F.struct("name", "dist"), F.struct(G.stated(F.col("dist"), 10).alias("d"), "name")).alias("n"))
-    return best.select(*keys, "form", "det_id", "ord", "category", "n.name", "n.dist")
+def nearest_centroid(det: DataFrame, centroids: DataFrame, width: Column, height: Column, max_dist: float | None = None, keys: tuple[str, ...] = KEYS, most: int = BROADCAST_ROWS) -> DataFrame:
+    """For each detection the nearest centroid of its form, whatever the distance unless ``max_dist`` is given; of equally near ones the first by name.
+
+    Up to ``most`` centroids are broadcast as one list for each form, so that no row is multiplied; more are met by a join on the form.
+    """
+    places, points = centroids.select("form", "name", "cx", "cy"), normalize_center(det, width, height)
+    if places.limit(most + 1).count() <= most:
+        lists = F.broadcast(places.groupBy("form").agg(F.collect_list(F.struct("name", "cx", "cy")).alias("_places")))
+        dist = lambda c: F.sqrt(F.pow(F.col("nx") - c["cx"], 2) + F.pow(F.col("ny") - c["cy"], 2))
+        near = F.array_min(F.transform("_places", lambda c: F.struct(G.stated(dist(c), 10).alias("d"), c["name"].alias("name"), dist(c).alias("dist"))))
+        best = points.join(lists, "form").withColumn("n", near)
+    else:
+        met = points.join(places, "form").withColumn("dist", _distance())
+        best = met.groupBy(*keys, "form", "det_id", "ord", "category").agg(F.min_by(F.struct("name", "dist"), F.struct(G.stated(F.col("dist"), 10).alias("d"), "name")).alias("n"))
+    found = best.select(*keys, "form", "det_id", "ord", "category", "n.name", "n.dist")
+    return found if max_dist is None else found.where(F.col("dist") < max_dist)
 
 
 def _labels(legend: DataFrame, place: str, label: str, keys: tuple[str, ...]) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.functions import geometry as G
 from sheetwise.operators.nearest import small
-from sheetwise.runtime import cut
+from sheetwise.runtime import cut, ship
 from sheetwise.schema import BOX, KEYS
 
 #: Corner landmarks of each side (fixed values), in the order in which they span the unit square.
@@ -65,6 +67,45 @@ def fit_homography(pairs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return h.where("h11 is not null")
 
 
+def fit_homography_many(pairs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """``h11`` to ``h33`` (h33 = 1) from four or more rows ``x, y, u, v`` of each sheet, by least squares; sheets with fewer, or whose points do not fix a map, are left out.
+
+    One Arrow call for a sheet, whose points are few. Coordinates are centred and scaled before the system is solved, which keeps it well conditioned.
+    """
+    ship(pairs.sparkSession)
+    schema = pairs.select(*keys, *[F.lit(0.0).alias(n) for n in H]).schema
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y, u, v = (table.column(c).to_numpy().astype(float) for c in ("x", "y", "u", "v"))
+        h = least_squares_map(x, y, u, v)
+        out = table.select(list(keys)).slice(0, 1 if h is not None else 0)
+        for i, n in enumerate(H):
+            out = out.append_column(n, pa.array([h[i]] if h is not None else [], pa.float64()))
+        return out
+
+    rows = pairs.select(*keys, *[F.col(c).cast("double") for c in ("x", "y", "u", "v")]).dropna()
+    return rows.groupBy(*keys).applyInArrow(run, schema)
+
+
+def least_squares_map(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray | None:
+    """Row-major 3 x 3 map from (x, y) to (u, v) with its last entry 1, or None if the points do not fix one."""
+    if len(x) < 4:
+        return None
+
+    def normal(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        scale = np.sqrt(2) / max(1e-12, np.hypot(a - a.mean(), b - b.mean()).mean())
+        return np.array([[scale, 0, -scale * a.mean()], [0, scale, -scale * b.mean()], [0, 0, 1]]), scale * (a - a.mean()), scale * (b - b.mean())
+
+    (one, x, y), (two, u, v) = normal(x, y), normal(u, v)
+    zero, unit = np.zeros(len(x)), np.ones(len(x))
+    rows = np.concatenate((np.stack((x, y, unit, zero, zero, zero, -u * x, -u * y, -u), axis=1), np.stack((zero, zero, zero, x, y, unit, -v * x, -v * y, -v), axis=1)))
+    _, size, axes = np.linalg.svd(rows)
+    if size[7] < 1e-9 * size[0]:
+        return None
+    h = np.linalg.inv(two) @ axes[-1].reshape(3, 3) @ one
+    return None if abs(h[2, 2]) < 1e-12 else (h / h[2, 2]).ravel()
+
+
 def _mapped(x: Column, y: Column) -> tuple[Column, Column]:
     h = {n: F.col(n) for n in H}
     w = h["h31"] * x + h["h32"] * y + h["h33"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ from sheetwise.operators import assemble, boxes, decode, fields, legend, nearest
 from sheetwise.plans import oracles as O
 from sheetwise.plans.fixtures import duckdb_sql, load
 from sheetwise.plans.oracles import CX, CY, B, L, R, T
-from sheetwise.runtime import cut
+from sheetwise.runtime import cut, forget, shared_dir
 from sheetwise.schema import BOX, COCO, LABEL_STUDIO
 from sheetwise.sources import formats
 
@@ -83,6 +85,12 @@ def replace_geometry(spark: SparkSession, d: str) -> DataFrame:
     return boxes.with_keypoint(out, c("kp_x") + 1, c("kp_y") - 1).select("sheet_id", "det_id", "category", *BOX, "kp_x", "kp_y")
 
 
+@query(f"select sheet_id, det_id, category, {L} - 3 as {L}, {T} as {T}, {R} as {R}, {B} + 3 as {B}, kp_x - 1 as kp_x, kp_y + 2 as kp_y from det")
+def replace_both(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    return boxes.with_box_and_keypoint(load(spark, d, "det"), (c("left") - 3, c("top"), c("right"), c("bottom") + 3), (c("kp_x") - 1, c("kp_y") + 2)).select("sheet_id", "det_id", "category", *BOX, "kp_x", "kp_y")
+
+
 _NEXT = f"(select *, lead({L}) over w as l2, lead({T}) over w as t2, lead({R}) over w as r2, lead({B}) over w as b2 from det_dense window w as (partition by sheet_id order by ord))"
 
 
@@ -158,15 +166,25 @@ def untile(spark: SparkSession, d: str) -> DataFrame:
     return tiling.untile(rows).select("sheet_id", "det_id", "tile_row", "tile_col", *BOX, "ord")
 
 
+@query(f"""select sheet_id, det_id, {L} + dx as {L}, {T} + dy as {T}, {R} + dx as {R}, {B} + dy as {B} from (
+ select a.*, cast((det_id % 5) * round_even(205 * 0.75, 0) as int) as dx, cast((det_id % 4) * round_even(181 * 0.5, 0) as int) as dy from small_det a) q""")
+def untile_rounded(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "small_det").drop("ord").withColumns({
+        "tile_row": (F.col("det_id") % 4).cast("int"), "tile_col": (F.col("det_id") % 5).cast("int"), "pos": F.col("det_id"), "slice_w": F.lit(205), "slice_h": F.lit(181), "ov_x": F.lit(0.25), "ov_y": F.lit(0.5)
+    })
+    return tiling.untile(rows, origin="round").select("sheet_id", "det_id", *BOX)
+
+
 def _painted(spark: SparkSession, d: str) -> DataFrame:
     """Small one-channel images whose pixels follow from the sheet's number."""
     images = load(spark, d, "sheets").withColumns({"width": F.lit(12), "height": F.lit(9), "slice_w": F.lit(5), "slice_h": F.lit(4), "ov_x": F.lit(0.4), "ov_y": F.lit(0.25), "nChannels": F.lit(1)})
     return images.withColumn("data", F.expr("unhex(repeat(concat('0A', lpad(hex(sheet_id % 256), 2, '0'), 'FF'), 36))"))
 
 
-@query()
+@query("""select sheet_id, r as tile_row, c as tile_col, string_agg(case when 3 * r + y < 9 and 3 * c + x < 12 then ['0A', printf('%02X', sheet_id % 256), 'FF'][(3 * c + x) % 3 + 1] else '00' end, '' order by y, x) as pixels
+from (select sheet_id, cast(a.i as int) as r, cast(b.i as int) as c, cast(e.i as int) as y, cast(f.i as int) as x from sheets cross join n a cross join n b cross join n e cross join n f where a.i < 3 and b.i < 4 and e.i < 4 and f.i < 5) q group by sheet_id, r, c""")
 def tile_images(spark: SparkSession, d: str) -> DataFrame:
-    return tiling.tile_images(_painted(spark, d)).select("sheet_id", "tile_row", "tile_col", F.crc32("data").alias("crc"))
+    return tiling.tile_images(_painted(spark, d)).select("sheet_id", "tile_row", "tile_col", F.hex("data").alias("pixels"))
 
 
 # Pairs and suppression -------------------------------------------------------------------------------------------------------
@@ -361,6 +379,13 @@ def checkboxes_back(spark: SparkSession, d: str) -> DataFrame:
     return fields.checkboxes(marks, load(spark, d, "box_centroids"), F.lit(WIDTH), F.lit(HEIGHT), "preoperative")
 
 
+@query(O.boxes("box_marks", "front_checkboxes").replace("r = 1 group by", "r = 1 and dist < 0.0018 group by").replace("max_by(category, det_id)", "min_by(category, det_id)"))
+def checkboxes_first_near(spark: SparkSession, d: str) -> DataFrame:
+    """Of the marks within a distance of a box, the first."""
+    marks = load(spark, d, "box_marks").where("form = 'front_checkboxes'").withColumn("ord", F.col("det_id"))
+    return fields.checkboxes(marks, load(spark, d, "box_centroids"), F.lit(WIDTH), F.lit(HEIGHT), "intraoperative", 0.0018, "best")
+
+
 @query("select sheet_id, section, key, '' as subkey, case when n % 2 = 0 then 'second' else 'first' end as value from (select sheet_id, section, key, length(key) as n from field_facts where section = 'codes' or (section = 'timing' and contains(key, '_'))) q")
 def merge_records(spark: SparkSession, d: str) -> DataFrame:
     rows = fields.section(_facts(spark, d, "front"), "codes", "timing")
@@ -424,18 +449,19 @@ def select_k(spark: SparkSession, d: str) -> DataFrame:
     return legend.select_k(legend.silhouette(_labelled(spark, d), ("sheet_id", "k")), legend.BETTER["kmeans"])
 
 
-def _cluster_sizes(df: DataFrame) -> DataFrame:
-    return df.groupBy("sheet_id").agg(F.count_distinct("cluster").alias("n_clusters"), F.count(F.lit(1)).alias("n_boxes"))
+def _members(df: DataFrame) -> DataFrame:
+    """Each box with its cluster, named after the cluster's smallest box."""
+    return df.select("sheet_id", "det_id", F.min("det_id").over(Window.partitionBy("sheet_id", "cluster")).cast("long").alias("cluster"))
 
 
-@query("select sheet_id, count(distinct cluster) as n_clusters, count(*) as n_boxes from legend_members where axis = 'mmhg' group by sheet_id")
+@query("select sheet_id, det_id, cast(cluster as bigint) as cluster from legend_members where axis = 'mmhg'")
 def cluster_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    return _cluster_sizes(legend.cluster_kmeans(load(spark, d, "legend_digits").where("axis = 'mmhg'"), assemble.VALUE_KS))
+    return _members(legend.cluster_kmeans(load(spark, d, "legend_digits").where("axis = 'mmhg'"), assemble.VALUE_KS))
 
 
-@query("select sheet_id, count(distinct cluster) as n_clusters, count(*) as n_boxes from legend_members where axis = 'mins' group by sheet_id")
+@query("select sheet_id, det_id, cast(cluster as bigint) as cluster from legend_members where axis = 'mins'")
 def cluster_agglomerative(spark: SparkSession, d: str) -> DataFrame:
-    return _cluster_sizes(legend.cluster_agglomerative(load(spark, d, "legend_digits").where("axis = 'mins'"), assemble.TIME_KS))
+    return _members(legend.cluster_agglomerative(load(spark, d, "legend_digits").where("axis = 'mins'"), assemble.TIME_KS))
 
 
 # Registration ----------------------------------------------------------------------------------------------------------------
@@ -457,6 +483,37 @@ def register_side(spark: SparkSession, d: str) -> DataFrame:
     return out.select("sheet_id", "source", F.col("det_id").cast("long"), *[F.round(c, 4).alias(c) for c in (*BOX, "kp_x", "kp_y")])
 
 
+#: How strongly a sheet is tilted: a point (X, Y) of the template is photographed at (X, Y) / (1 + g X).
+_TILT = "(1 + sheet_id % 7) * 1e-5"
+
+
+def _back(edge: str, by: str = L) -> str:
+    # To thousandths, from a place that no coordinate of the operator's precision lies on.
+    return f"floor(round({edge} / (1 - {_TILT} * {by}), 6) * 1000 + 0.50025e0) / 1000"
+
+
+@query(f"select sheet_id, det_id, {_back(L)} as {L}, {_back(T)} as {T}, {_back(R, R)} as {R}, {_back(B, R)} as {B}, {_back('kp_x', 'kp_x')} as kp_x, {_back('kp_y', 'kp_x')} as kp_y from det")
+def register_perspective(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes and keypoints under a true perspective; an edge is mapped at its own two corners."""
+    template = load(spark, d, "template").where("side = 'intraoperative'")
+    w = 1 + F.expr(_TILT) * G.center_x()
+    x, y = G.center_x() / w, G.center_y() / w
+    marks = load(spark, d, "sheets").join(F.broadcast(template)).select("sheet_id", "category", (x - 20).alias("left"), (y - 10).alias("top"), (x + 20).alias("right"), (y + 10).alias("bottom"))
+    out = registration.register(load(spark, d, "det"), marks, template, registration.CORNERS["intraoperative"])
+    return out.select("sheet_id", "det_id", *[(F.floor(F.col(c) * 1000 + 0.50025) / 1000).alias(c) for c in (*BOX, "kp_x", "kp_y")])
+
+
+@query(f"select sheet_id, cast(i as int) as i, round(100 + 290e0 * i, 3) as u, round(120 + 37e0 * (i * i % 60), 3) as v from sheets cross join n where i < 9")
+def fit_homography_many(spark: SparkSession, d: str) -> DataFrame:
+    """Nine pairs under a perspective give back the template's points."""
+    i = F.col("i")
+    points = load(spark, d, "sheets").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumns({"u": 100 + 290.0 * i, "v": 120 + 37.0 * (i * i % 60)})
+    w = 1 + F.expr(_TILT) * F.col("u")
+    points = points.withColumns({"x": F.col("u") / w, "y": F.col("v") / w})
+    mapped = registration.transform_points(points.select("sheet_id", "i", "x", "y").join(registration.fit_homography_many(points), "sheet_id"))
+    return mapped.select("sheet_id", "i", F.round("x", 3).alias("u"), F.round("y", 3).alias("v"))
+
+
 # Files and formats -----------------------------------------------------------------------------------------------------------
 
 _LINE = "printf('%d {0} {0} {0} {0}', cast(category as int), {1} / 3300, {2} / 2550, ({3} - {4}) / 3300, ({5} - {6}) / 2550)"
@@ -520,6 +577,36 @@ def detections_json(spark: SparkSession, d: str) -> DataFrame:
     return formats.parse_detections(texts, "keypoint").select("sheet_id", "category", *BOX, "kp_x", "kp_y", "confidence", "ord")
 
 
+@query(f"select sheet_id, category, {EDGES}, cast(null as double) as kp_x, cast(null as double) as kp_y, confidence, row_number() over (partition by sheet_id order by det_id) - 1 as ord from det")
+def detections_json_boxes(spark: SparkSession, d: str) -> DataFrame:
+    texts = formats.detections_json(load(spark, d, "det"), "box")
+    return formats.parse_detections(texts, "box").select("sheet_id", "category", *BOX, "kp_x", "kp_y", "confidence", "ord")
+
+
+def _new_folder(spark: SparkSession) -> str:
+    path = f"{shared_dir(spark)}/sheetwise-files-{uuid.uuid4().hex}"
+    forget(spark, path)
+    return path
+
+
+@query(f"select sheet_id, {_yolo_sql('%.6f')} as line from det")
+def yolo_files(spark: SparkSession, d: str) -> DataFrame:
+    """Lines written to a folder for each image, and read back."""
+    path = _new_folder(spark)
+    rows = formats.yolo_box_lines(_on_sheet(spark, d), load(spark, d, "classes"), 6)
+    formats.write_lines(rows.withColumn("image", F.col("sheet_id")), path)
+    return spark.read.text(path).select(F.col("image").cast("long").alias("sheet_id"), F.col("value").alias("line"))
+
+
+@query(f"select sheet_id, category, {EDGES}, kp_x, kp_y, confidence, row_number() over (partition by sheet_id order by det_id) - 1 as ord from det")
+def detections_files(spark: SparkSession, d: str) -> DataFrame:
+    """JSON files of detections written to a folder for each sheet, and read back."""
+    path = _new_folder(spark)
+    formats.write_detections_json(load(spark, d, "det"), path, "keypoint")
+    read = formats.read_detections_json(spark, f"{path}/*", "keypoint")
+    return read.select(F.regexp_extract("origin", "sheet_id=(\\d+)", 1).cast("long").alias("sheet_id"), "category", *BOX, "kp_x", "kp_y", "confidence", "ord")
+
+
 @query("select cast(sheet_id as varchar) as form, name, cx, cy from code_centroids cross join sheets")
 def read_centroids(spark: SparkSession, d: str) -> DataFrame:
     pairs = F.map_from_entries(F.collect_list(F.struct("name", F.array("cx", "cy"))))
@@ -550,6 +637,16 @@ def decode_boxes(spark: SparkSession, d: str) -> DataFrame:
     return decode.decode_boxes(load(spark, d, "raw_predictions"), load(spark, d, "vector_classes"), 0.3).select("anchor_id", "tile_id", "category", "confidence", *BOX)
 
 
+@query("select tile_id, row_number() over (partition by tile_id order by anchor_id) - 1 as pos, cx as r0, cy as r1, w as r2, h as r3, cast(scores[1] as double) as r4, cast(scores[2] as double) as r5 from raw_predictions")
+def anchors_from_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Raw output of a model, a matrix of rows for each tile, to a row for each anchor."""
+    values = [F.col(c).cast("double") for c in ("cx", "cy", "w", "h")] + [F.col("scores")[i].cast("double") for i in (0, 1)]
+    rows = F.array_sort(F.collect_list(F.struct("anchor_id", F.array(*values).alias("v"))))
+    matrix = F.array(*[F.expr(f"transform(rows, x -> x.v[{i}])") for i in range(6)])
+    tiles = load(spark, d, "raw_predictions").groupBy("tile_id").agg(rows.alias("rows")).select("tile_id", matrix.alias("output"))
+    return decode.anchors_from_matrix(tiles, 6, ("tile_id",)).withColumn("pos", F.col("pos").cast("long"))
+
+
 @query(f"""select anchor_id, 'class0' as category, cast(scores[1] as double) as confidence, cx - w / 2 as {L}, cy - h / 2 as {T}, cx + w / 2 as {R}, cy + h / 2 as {B}, kp_x, kp_y from (
  select *, cx + anchor_id % 9 * 4 - 16 as kp_x, cy + anchor_id % 5 * 4 - 8 as kp_y from raw_predictions) q where scores[1] >= 0.1 and abs(kp_x - cx) < w / 2 and abs(kp_y - cy) < h / 2""")
 def decode_keypoints(spark: SparkSession, d: str) -> DataFrame:
@@ -593,12 +690,18 @@ def bright_spots() -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-@query()
+#: Bright columns of each tile, and which of them suppression keeps: the first tile that shows a column.
+_SPOTS = """(select *, row_number() over (partition by sheet_id order by r, c, pos) - 1 as ord from (select *, row_number() over (partition by sheet_id, r, g order by c) as k from (
+ select sheet_id, r, c, x, 3 * c + x as g, row_number() over (partition by sheet_id, r, c order by x) - 1 as pos from (select sheet_id, cast(a.i as int) as r, cast(b.i as int) as c, cast(f.i as int) as x from sheets cross join n a cross join n b cross join n f where a.i < 3 and b.i < 4 and f.i < 5) p
+ where 3 * c + x < 12 and ((3 * c + x) % 3 = 2 or ((3 * c + x) % 3 = 1 and sheet_id % 256 = 255))) q) s where k = 1)"""
+
+
+@query(f"select sheet_id, cast(x % 10 as varchar) as category, cast(g as double) as {L}, cast(3 * r as double) as {T}, g + 1e0 as {R}, 3 * r + 4e0 as {B}, 0.9e0 as confidence, ord from {_SPOTS} t")
 def detect_with_tiling(spark: SparkSession, d: str) -> DataFrame:
     return decode.detect_with_tiling(_painted(spark, d), bright_spots).select("sheet_id", "category", *BOX, "confidence", "ord")
 
 
-@query()
+@query(f"select sheet_id, source, count(*) as n, sum(cast(g as double)) as sum_left from {_SPOTS} t cross join (values ('numbers'), ('checkboxes')) v(source) group by sheet_id, source")
 def score_side(spark: SparkSession, d: str) -> DataFrame:
     models = {"numbers": (bright_spots, False), "checkboxes": (bright_spots, False)}
     return assemble.score_side(_painted(spark, d), models).groupBy("sheet_id", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("left").alias("sum_left"))
@@ -608,7 +711,19 @@ def score_side(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select * from front_facts")
 def interpret_front(spark: SparkSession, d: str) -> DataFrame:
-    return assemble.interpret_front(load(spark, d, "front_det"), load(spark, d, "centroids"), load(spark, d, "template"))
+    return assemble.interpret_front(load(spark, d, "front_det"), load(spark, d, "centroids"), load(spark, d, "template"), "dbscan")
+
+
+def _interpret_front_by(method: str) -> None:
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return assemble.interpret_front(load(spark, d, "front_det"), load(spark, d, "centroids"), load(spark, d, "template"), method)
+
+    f.__name__ = f"interpret_front_{method}"
+    query("select * from front_facts")(f)
+
+
+_interpret_front_by("kmeans")
+_interpret_front_by("agglomerative")
 
 
 @query("select * from back_facts")
@@ -620,3 +735,73 @@ def interpret_back(spark: SparkSession, d: str) -> DataFrame:
 from ({O.record('front_facts')}) f full join ({O.record('back_facts')}) b using (sheet_id)""")
 def interpret_sheets(spark: SparkSession, d: str) -> DataFrame:
     return assemble.interpret_sheets(interpret_front(spark, d), interpret_back(spark, d))
+
+
+# Images to records -----------------------------------------------------------------------------------------------------------
+
+LINE = 120
+
+
+def written_detections(source: str, points: bool = False) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A stand-in for a source's model: reads the detections that stand as text in an image's pixels, a row of pixels for each."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in pdf.itertuples(index=False):
+            if row.tile_row == 0 and row.tile_col == 0:
+                text = bytes(row.data).decode()
+                for pos, i in enumerate(range(0, len(text), LINE)):
+                    of, category, *numbers = text[i : i + LINE].strip(" \x00").split("|")
+                    if of == source:
+                        out.append((row.sheet_id, 0, 0, pos, category, *map(float, numbers)))
+        frame = pd.DataFrame(out, columns=["sheet_id", "tile_row", "tile_col", "pos", "category", *BOX, "confidence"])
+        return frame.assign(kp_x=0.0, kp_y=0.0) if points else frame
+
+    return run
+
+
+def _photographed(spark: SparkSession, d: str, det: str) -> DataFrame:
+    """One-channel images whose pixels spell a side's corners, digits and the first mark of each checkbox."""
+    rows = load(spark, d, det).where("det_id >= 90000 or det_id between 10000 and 19999 or (det_id >= 70000 and det_id < 80000 and det_id % 4 = 0)")
+    line = F.rpad(F.concat_ws("|", "source", "category", *[F.col(c).cast("string") for c in (*BOX, "confidence")]), LINE, " ")
+    text = rows.groupBy("sheet_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("text"), F.count(F.lit(1)).cast("int").alias("height"))
+    half = F.lit(0.5)
+    return text.select("sheet_id", F.lit(LINE).alias("width"), "height", F.lit(1).alias("nChannels"), F.col("text").cast("binary").alias("data"), F.lit(LINE).alias("slice_w"), F.col("height").alias("slice_h"), half.alias("ov_x"), half.alias("ov_y"))
+
+
+def _factories(sources: tuple[str, ...]) -> dict[str, Callable]:
+    return {s: partial(written_detections, s, s in assemble.KEYPOINT_SOURCES) for s in sources}
+
+
+def _digitized(spark: SparkSession, d: str, nested: bool) -> DataFrame:
+    front, back = _factories(assemble.FRONT_SOURCES), _factories(assemble.BACK_SOURCES)
+    return assemble.digitize_sheets(_photographed(spark, d, "front_det"), _photographed(spark, d, "back_det"), front, back, load(spark, d, "centroids"), load(spark, d, "template"), nested, method="dbscan")
+
+
+_FIRST_MARKS = "(select * from box_marks where det_id % 4 = 0)"
+_OF_FRONT = "section in ('codes', 'ett_size') or (section = 'timing' and contains(key, '_'))"
+_DIGIT_FRONT = f"(select * from field_facts where {_OF_FRONT} union all {O.boxes(_FIRST_MARKS, 'front_checkboxes')}) ff"
+_DIGIT_BACK = f"(select * from field_facts where not ({_OF_FRONT}) union all {O.boxes(_FIRST_MARKS, 'back_checkboxes')}) bf"
+
+
+@query(f"""select sheet_id, concat('{{"intraoperative":', coalesce(f.record, '{{}}'), ',"preoperative_postoperative":', coalesce(b.record, '{{}}'), '}}') as record
+from ({O.record(_DIGIT_FRONT)}) f full join ({O.record(_DIGIT_BACK)}) b using (sheet_id)""")
+def digitize_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """Images of both sides to one record a sheet, nested by side."""
+    return _digitized(spark, d, True)
+
+
+@query(f"""select * from (with a as materialized (select * from {_DIGIT_FRONT}), b as materialized (select * from {_DIGIT_BACK})
+{O.record("(select * from b union all select * from a where (sheet_id, section) not in (select (sheet_id, section) from b)) m")}) flat""")
+def digitize_sheets_flat(spark: SparkSession, d: str) -> DataFrame:
+    """As digitize_sheets, in one level: a section that both sides have is the back's."""
+    return _digitized(spark, d, False)
+
+
+@query("""select sheet_id, side, source, count(*) as n from (
+ select sheet_id, 'intraoperative' as side, source from front_det where det_id >= 90000 or det_id between 10000 and 19999 or (det_id >= 70000 and det_id < 80000 and det_id % 4 = 0)
+ union all select sheet_id, 'preoperative_postoperative', source from back_det where det_id >= 90000 or det_id between 10000 and 19999 or (det_id >= 70000 and det_id < 80000 and det_id % 4 = 0)) q group by sheet_id, side, source""")
+def score_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """Both sets of models over both sides' images."""
+    found = assemble.score_sheets(_photographed(spark, d, "front_det"), _photographed(spark, d, "back_det"), _factories(assemble.FRONT_SOURCES), _factories(assemble.BACK_SOURCES))
+    return found.groupBy("sheet_id", "side", "source").agg(F.count(F.lit(1)).alias("n"))

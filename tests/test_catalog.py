@@ -1,24 +1,26 @@
-"""Registered queries against DuckDB on the smallest tables."""
+"""Every registered query that has SQL against DuckDB: on the smallest tables, and whole sheets on the middle ones."""
 
 import pytest
 
-NAMES = [
-    "center_and_area", "validate_boxes", "validate_keypoints", "replace_geometry", "tile_grid", "validate_tile_params", "annotations_in_tile", "tile_annotations", "untile",
-    "overlap_pairs", "suppress_by_class", "suppress", "suppress_reassembled", "nearest_per_target", "nearest_centroid", "digit_codes", "vitals", "lab_results", "checkboxes_front",
-    "cluster_boxes", "isolate_legend", "silhouette", "select_k", "cluster_kmeans", "cluster_agglomerative", "register_corners", "register_side", "read_yolo_keypoints", "read_coco",
-    "read_label_studio", "detections_json", "decode_boxes", "decode_keypoints", "drug_dosage_region", "interpret_sheets",
-]
+from sheetwise.plans import catalog
 
+WHOLE = [n for n in catalog.ORACLE if n.startswith("interpret_")]
 
-@pytest.mark.parametrize("name", NAMES)
+
+@pytest.mark.parametrize("name", [n for n in catalog.ORACLE if n not in WHOLE])
 def test_matches_sql(compare, name):
     compare(name)
 
 
-def test_every_query_is_registered_once():
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_sheets_match_sql(compare, name):
+    compare(name, "sf0.01")
+
+
+def test_every_query_has_sql():
     import __spark_entry__ as entry
 
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(catalog.QUERIES) == set(catalog.ORACLE)
 
 
 def test_entry_has_rows(spark):

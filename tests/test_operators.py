@@ -1,10 +1,11 @@
 """Small cases with known answers, and invariants."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sheetwise.functions import geometry as G
-from sheetwise.operators import boxes, fields, legend, nearest, registration, suppression, tiling
+from sheetwise.operators import assemble, boxes, fields, legend, nearest, registration, suppression, tiling
 from sheetwise.sources import formats
 
 COLS = "sheet_id long, det_id long, ord long, category string, left double, top double, right double, bottom double, confidence double"
@@ -179,3 +180,88 @@ def test_checkbox_winner(spark):
     with pytest.raises(ValueError):
         fields.checkboxes(marks, cents, F.lit(1.0), F.lit(1.0), "side")
     assert nearest.nearest_centroid(marks.where("false"), cents, F.lit(1.0), F.lit(1.0)).count() == 0
+
+
+def test_ties_of_registered_coordinates(spark):
+    """A digit exactly between two landmarks takes the upper one, before and after a projective map whose rounding errors would decide otherwise."""
+    template = spark.createDataFrame([("intraoperative", n, x - 20.0, y - 10.0, x + 20.0, y + 10.0) for n, x, y in (("anesthesia_start", 200, 200), ("units", 3100, 210), ("safety_checklist", 190, 2340), ("lateral", 3110, 2350))], "side string, category string, left double, top double, right double, bottom double")
+    rows = []
+    for sheet in range(40):
+        dx, dy = sheet * 13 % 97 - 48, sheet * 19 % 89 - 44
+        for i, r in enumerate(template.collect()):
+            rows.append((sheet, i, i, r.category, r.left + dx, r.top + dy, r.right + dx, r.bottom + dy, 0.9))
+        rows += [(sheet, 10 + i, 10 + i, c, 100.0 + dx, y + dy, 160.0 + dx, y + 16 + dy, 0.9) for i, (c, y) in enumerate((("fio2", 1912.0), ("tidal_volume", 2032.0), ("5", 1972.0)))]
+    det = spark.createDataFrame(rows, COLS)
+    names = registration.CORNERS["intraoperative"]
+    placed = registration.register(det, det.where(F.col("category").isin(names)), template, names)
+    for df in (det, placed):
+        marks = df.where("category in ('fio2', 'tidal_volume')").select("sheet_id", F.col("category").alias("indicator"), G.center_y().alias("at"))
+        got = nearest.nearest_label_1d(df.where("category = '5'"), marks, G.center_y(), "at", "indicator").collect()
+        assert len(got) == 40 and {r.indicator for r in got} == {"fio2"}
+    spots = spark.createDataFrame([("f", "b", 0.25, 0.5), ("f", "a", 0.75, 0.5)], "form string, name string, cx double, cy double")
+    middle = spark.createDataFrame([(1, 1, 1, "x", 49.0, 49.0, 51.0, 51.0, 1.0)], COLS).withColumn("form", F.lit("f"))
+    for most in (10, 1):
+        assert [r.name for r in nearest.nearest_centroid(middle, spots, F.lit(100.0), F.lit(100.0), most=most).collect()] == ["a"]
+        assert nearest.nearest_centroid(middle, spots, F.lit(100.0), F.lit(100.0), 0.2, most=most).count() == 0
+
+
+def test_density_peak_is_that_of_the_whole_grid():
+    rng = np.random.default_rng(4)
+    for n, extent in ((1, 100.0), (2, 100.0), (60, 2550.0), (200, 3300.0), (50, 30.0)):
+        for _ in range(5):
+            v = np.round(rng.choice([rng.normal(extent / 3, extent / 40, n), rng.uniform(0, extent, n)]))
+            width = 0.2 * v.std(ddof=1) if n > 1 else 0.0
+            grid = np.linspace(0, extent, legend.GRID)
+            want = grid[np.exp(-0.5 * ((grid[:, None] - v) / width) ** 2).sum(axis=1).argmax()] if width > 0 else v.mean()
+            assert abs(legend.highest(v, extent) - want) <= 1.5 * extent / legend.GRID
+    assert np.isnan(legend.highest(np.zeros(0), 10.0))
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_dbscan_in_one_task_and_in_rounds(spark, least):
+    rng = np.random.default_rng(6)
+    rows = [(s, 1000 * s + i, i, "a", float(x), float(y), float(x) + 2, float(y) + 2, 1.0) for s in range(4) for i, (x, y) in enumerate(rng.integers(0, 120, (60, 2)))]
+    det = spark.createDataFrame(rows, COLS)
+    every = [{(r.det_id, r.cluster) for r in legend.cluster_dbscan(det, 11.0, least, in_one_task=n).collect()} for n in (2000, 10)]
+    assert every[0] == every[1] and len(every[0]) == len(rows)
+    assert legend.cluster_dbscan(det.where("false"), 11.0).count() == 0
+
+
+def test_kmeans_finds_separate_groups():
+    rng = np.random.default_rng(7)
+    centres = np.stack(np.meshgrid(np.arange(6) * 60.0, np.arange(7) * 55.0), axis=-1).reshape(-1, 2)
+    own = np.repeat(np.arange(len(centres)), 3)
+    labels = legend._kmeans(centres[own] + rng.uniform(-8, 8, (len(own), 2)), len(centres))
+    assert len({(a, b) for a, b in zip(own.tolist(), labels.tolist())}) == len(centres) == len(set(labels.tolist()))
+    assert len(set(legend._kmeans(np.ones((5, 2)), 3).tolist())) >= 1
+
+
+def test_least_squares_map():
+    rng = np.random.default_rng(8)
+    h = np.array([[1.1, 0.02, 30], [-0.01, 0.95, 12], [1e-5, -2e-5, 1]])
+    x, y = rng.uniform(0, 3000, 12), rng.uniform(0, 2500, 12)
+    u, v, w = h @ np.stack((x, y, np.ones(12)))
+    assert np.allclose(registration.least_squares_map(x, y, u / w, v / w), h.ravel(), atol=1e-6)
+    noisy = registration.least_squares_map(x, y, u / w + rng.normal(0, 0.3, 12), v / w + rng.normal(0, 0.3, 12))
+    assert np.allclose(noisy.reshape(3, 3)[:2, :2], h[:2, :2], atol=1e-2)
+    assert registration.least_squares_map(x[:3], y[:3], u[:3], v[:3]) is None
+    assert registration.least_squares_map(np.arange(6.0), np.arange(6.0), np.arange(6.0), np.arange(6.0)) is None
+
+
+def test_model_sets_and_configuration(spark):
+    with pytest.raises(ValueError, match="no model for"):
+        assemble.score_back(spark.createDataFrame([], "sheet_id long"), {"landmarks": None})
+    images = spark.createDataFrame([(1, 12, 9, 1, bytearray(range(108)))], "sheet_id long, width int, height int, nChannels int, data binary")
+    config = spark.createDataFrame([("numbers", 0.5, 0.5, 0.25)], "source string, tile_size_proportion double, horz_overlap_proportion double, vert_overlap_proportion double")
+
+    def corner():
+        def run(pdf):
+            return pdf.assign(pos=0, category="1", left=0.0, top=0.0, right=1.0, bottom=1.0, confidence=0.9)
+
+        return run
+
+    got = assemble.score_side(images, {"numbers": (corner, False)}, config=config).collect()
+    # Tiles of 4 x 4 pixels, 2 apart across and 3 down.
+    assert {(r.left, r.top) for r in got} == {(2.0 * i, 3.0 * j) for i in range(6) for j in range(3)}
+    with pytest.raises(ValueError, match="no configuration"):
+        assemble.score_side(images, {"checkboxes": (corner, False)}, config=config)
