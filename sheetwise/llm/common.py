@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Bytes of text that an operator turns into arrays at once (one longer document makes a chunk of its own).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Rows of sorted groups that a task works on at once (or one larger group).
 ROWS = 1 << 15
 

@@ -51,7 +51,7 @@ SHARD_BYTES = 4 << 20
 #: Up to this many shards, their starts are broadcast when a store is read (24 bytes each).
 BROADCAST_SHARDS = 100_000
 #: Distinct pre-tokens whose ids a worker keeps; later ones are encoded again for each batch.
-CACHE = 400_000
+CACHE = 150_000
 HEAD = struct.Struct("<4sI32sQ")
 
 
