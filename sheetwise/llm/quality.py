@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import sums, text_chunks, token_hashes
+from sheetwise.llm.common import text_chunks, token_hashes
 from sheetwise.runtime import cut, ship
 
 DIMS, NONZERO, WINDOW = 32, 4, 2
