@@ -610,8 +610,7 @@ def detections_files(spark: SparkSession, d: str) -> DataFrame:
 @query("select cast(sheet_id as varchar) as form, name, cx, cy from code_centroids cross join sheets")
 def read_centroids(spark: SparkSession, d: str) -> DataFrame:
     pairs = F.map_from_entries(F.collect_list(F.struct("name", F.array("cx", "cy"))))
-    rows = load(spark, d, "code_centroids").withColumn("one", F.lit(1)).join(load(spark, d, "sheets").withColumn("one", F.lit(1)), "one")
-    return formats.parse_centroids(rows.groupBy(F.col("sheet_id").cast("string").alias("form")).agg(F.to_json(pairs).alias("json")))
+    return formats.parse_centroids(load(spark, d, "sheet_centroids").groupBy("form").agg(F.to_json(pairs).alias("json")))
 
 
 @query("select concat('model', sheet_id) as source, concat('net', sheet_id % 7) as name, cast(640 + sheet_id % 3 * 64 as int) as imgsz, 0.25e0 as tile_size_proportion, 0.5e0 as horz_overlap_proportion, 0.5e0 as vert_overlap_proportion from sheets")

@@ -68,6 +68,7 @@ from sheets s cross join (
     # Whole sheets, in the template's frame
     "field_centroids": f"select form, name, idx, x / 3300e0 as cx, y / 2550e0 as cy from ({_values(_field_centroids(), 'form, name, idx, x, y')}) a",
     "box_centroids": f"select form, name, idx, x / 3300e0 as cx, y / 2550e0 as cy from ({_values(BOXES, 'form, name, idx, x, y')}) a",
+    "sheet_centroids": "select cast(sheet_id as string) as form, name, cx, cy from sheets cross join code_centroids",
     "centroids": "select form, name, cx, cy from field_centroids union all select form, name, cx, cy from box_centroids",
     "field_digits": f'''select form, sheet_id, 10000 + idx as det_id, cast((sheet_id * 7 + idx * 3) % 10 as string) as category, {BOX.format(12, 15)}
 from (select form, sheet_id, idx, cx * 3300 + (sheet_id + idx) % 9 - 4 as x, cy * 2550 as y from sheets cross join field_centroids where (sheet_id * 31 + idx * 17) % 11 <> 0) q''',
