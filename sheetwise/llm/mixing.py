@@ -7,7 +7,7 @@ children only when all siblings are used up. Shares are rounded down to whole to
 
 A leaf takes its budget as whole epochs of all its documents, and of the next epoch a token-prefix: documents in the order
 of a seeded hash of epoch and id, up to the last that still fits. The place where a leaf's prefix ends is found from sums over
-hash buckets, so only the documents of one bucket of each leaf (1 in 65,536) are ever sorted, and rows are then
+256 hash buckets, then over the 256 within one of them, so only the documents of one bucket of each leaf (1 in 65,536) are ever sorted, and rows are then
 selected by comparing their own hash with that place, without a join on ids.
 
 Tokens are runs of characters other than space and \\t-\\r.
@@ -107,6 +107,14 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_LEAVES else df
 
 
+def first_beyond(rows: DataFrame, digits: int) -> DataFrame:
+    """``(domain, language, origin, bucket, before)``: of each leaf, the first hash bucket of so many digits with which ``before`` and the buckets' tokens exceed ``rest``; ``before`` then counts those ahead of it."""
+    by = rows.groupBy(*LEVELS, "rest", "before", F.substring("place", 1, digits).alias("bucket")).agg(F.sum("n_tokens").alias("n"))
+    running = F.col("before") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
+    beyond = by.withColumn("upto", running).where("upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("x"))
+    return beyond.select(*LEVELS, "x.bucket", "x.before")
+
+
 def mix_sources(docs: DataFrame, mix: Mix, domain: Column, language: Column, source: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Selected rows as ``_row`` (a struct of all input columns) with domain, language, origin, n_tokens and epoch.
 
@@ -123,14 +131,14 @@ def mix_sources(docs: DataFrame, mix: Mix, domain: Column, language: Column, sou
     plan = leaf_budgets(leaves, mix).withColumn("epochs", F.coalesce(F.expr("budget div nullif(tokens, 0)"), F.lit(0)).cast("int"))
     plan = cut(spark, plan.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")))
     place = turn(mix.seed, F.col("epochs"), F.col("_id"))
-    wanting = slim.join(_small(plan.where("rest > 0")), list(LEVELS)).withColumn("place", place).withColumn("bucket", F.substring("place", 1, 4))
-    in_bucket = wanting.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
-    running = Window.partitionBy(*LEVELS).orderBy("bucket")
-    last = in_bucket.withColumn("upto", F.sum("n").over(running)).where("upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("x"))
-    last = last.select(*LEVELS, F.col("x.bucket").alias("last_bucket"), F.col("x.before").alias("before"))
-    inside = wanting.join(_small(cut(spark, last)), list(LEVELS)).where("bucket = last_bucket")
+    wanting = slim.join(_small(plan.where("rest > 0")), list(LEVELS)).withColumns({"place": place, "before": F.lit(0).cast("long")})
+    coarse = cut(spark, first_beyond(wanting, 2))
+    near = wanting.drop("before").join(_small(coarse), list(LEVELS)).where(F.substring("place", 1, 2) == F.col("bucket")).drop("bucket")
+    last = cut(spark, first_beyond(near, 4))
+    inside = wanting.drop("before").join(_small(last), list(LEVELS)).where(F.substring("place", 1, 4) == F.col("bucket"))
     by_place = Window.partitionBy(*LEVELS).orderBy("place")
     fits = inside.withColumn("upto", F.col("before") + F.sum("n_tokens").over(by_place)).where("upto <= rest").groupBy(*LEVELS).agg(F.max("place").alias("fits"))
+    last = last.select(*LEVELS, F.col("bucket").alias("last_bucket"))
     ends = cut(spark, plan.join(last, list(LEVELS), "left").join(fits, list(LEVELS), "left").select(
         *LEVELS, "epochs", "rest",
         # Without a last bucket, all that is left fits; without a document that fits in it, the prefix ends before the bucket.
