@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = near_texts.near_duplicate_texts(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.join(kept.hint("merge"), docs["doc_id"] == kept["_kept"], "left_semi")
     # The join has dealt the rows by id already, so this adds no shuffle.
-    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where(docs["doc_id"].isNull()))
+    return named.dropDuplicates(["doc_id", "text"]).union(docs.where(docs["doc_id"].isNull()))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
