@@ -48,11 +48,13 @@ def prediction_rows_to_detections(boxes: DataFrame, classes: DataFrame, keypoint
     """Rows ``pos, left, top, right, bottom, confidence, class_id`` (and keypoints by position) to detections.
 
     Flavour ``pose`` drops rows whose keypoint is outside the box; ``box`` leaves keypoints out for a whole image if any is.
+    Each row of ``boxes`` gives one at most: of several keypoints at a position the first by x, then y, counts, and repeated boxes stay repeated.
     """
     named = boxes.join(small(classes.select("class_id", "category")), "class_id")
     if keypoints is None:
         return named.withColumns({"kp_x": F.lit(None).cast("double"), "kp_y": F.lit(None).cast("double")})
-    both = named.join(keypoints.select(*keys, "pos", "kp_x", "kp_y"), [*keys, "pos"], "left")
+    point = keypoints.groupBy(*keys, "pos").agg(F.min(F.struct("kp_x", "kp_y")).alias("_p")).select(*keys, "pos", "_p.kp_x", "_p.kp_y")
+    both = named.join(point, [*keys, "pos"], "left")
     if flavour == "pose":
         return both.where(G.keypoint_within())
     if flavour != "box":

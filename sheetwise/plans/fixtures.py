@@ -41,7 +41,7 @@ BOX = 'x - {0} as "left", y - {1} as "top", x + {0} as "right", y + {1} as "bott
 CTE: dict[str, str] = {
     "sheets": "select distinct cast(floor(l_orderkey / 40.0) as bigint) as sheet_id from lineitem",
     "det": '''select sheet_id, det_id, det_id as ord, category, l as "left", t as "top", l + w as "right", t + h as "bottom", l + floor(w / 2) as kp_x, t + floor(h / 2) as kp_y, confidence
-from (select cast(floor(l_orderkey / 40.0) as bigint) as sheet_id, ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey as det_id,
+from (select cast(floor(l_orderkey / 40.0) as bigint) as sheet_id, ((l_orderkey * 8 + l_linenumber) * 200000 + l_partkey) * 640000 + l_suppkey * 64 + cast(l_quantity as bigint) as det_id,
  cast((l_partkey + l_linenumber) % 10 as string) as category, cast((l_partkey * 37 + l_linenumber * 101 + l_orderkey * 7) % 3200 as double) as l,
  cast((l_suppkey * 53 + l_orderkey * 17) % 2450 as double) as t, cast(20 + l_partkey % 30 as double) as w, cast(24 + l_suppkey % 20 as double) as h,
  0.5e0 + cast(l_partkey % 256 as double) / 512e0 as confidence from lineitem) q''',

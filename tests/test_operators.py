@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheetwise.functions import geometry as G
-from sheetwise.operators import assemble, boxes, fields, legend, nearest, registration, suppression, tiling
+from sheetwise.operators import assemble, boxes, decode, fields, legend, nearest, registration, suppression, tiling
 from sheetwise.sources import formats
 
 COLS = "sheet_id long, det_id long, ord long, category string, left double, top double, right double, bottom double, confidence double"
@@ -265,3 +265,13 @@ def test_model_sets_and_configuration(spark):
     assert {(r.left, r.top) for r in got} == {(2.0 * i, 3.0 * j) for i in range(6) for j in range(3)}
     with pytest.raises(ValueError, match="no configuration"):
         assemble.score_side(images, {"checkboxes": (corner, False)}, config=config)
+
+
+def test_repeated_positions_of_predictions(spark):
+    """A box row gives one detection, however often its position is repeated among boxes and keypoints."""
+    box = spark.createDataFrame([(1, 0, 0.0, 0.0, 4.0, 4.0, 0.9, 0), (1, 0, 0.0, 0.0, 4.0, 4.0, 0.9, 0), (1, 1, 8.0, 8.0, 9.0, 9.0, 0.8, 0)], "image_id long, pos long, left double, top double, right double, bottom double, confidence double, class_id int")
+    points = spark.createDataFrame([(1, 0, 3.0, 1.0), (1, 0, 2.0, 2.0), (1, 0, 3.0, 1.0), (1, 1, 8.5, 8.5), (2, 0, 1.0, 1.0)], "image_id long, pos long, kp_x double, kp_y double")
+    classes = spark.createDataFrame([(0, "a")], "class_id int, category string")
+    for flavour in ("pose", "box"):
+        got = sorted((r.pos, r.kp_x, r.kp_y) for r in decode.prediction_rows_to_detections(box, classes, points, flavour).collect())
+        assert got == [(0, 2.0, 2.0), (0, 2.0, 2.0), (1, 8.5, 8.5)]
