@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm import compact_windows, digest_index, fm_index, lang_bloom, mixing, quality, simhash, token_store, toxicity, url_trie
+from sheetwise.llm import compact_windows, digest_index, fm_index, lang_bloom, mixing, prefix_trie, quality, simhash, token_counts, token_store, toxicity, url_trie, whitening
 from sheetwise.llm.common import id_remainder
 
 
@@ -106,9 +106,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), ["vec_id"]).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def word_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), word_tokenizer_path(), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_exact_dedup, op3_simhash, op4_mix_sources, op5_url_filter, op6_quality, op7_token_ids, op8_substring_dedup, op9_decontaminate, op10_toxicity)
+    for f in (op1_language_id, op2_exact_dedup, op3_simhash, op4_mix_sources, op5_url_filter, op6_quality, op7_token_ids, op8_substring_dedup, op9_decontaminate, op10_toxicity, op11_whitening, op12_prefix_trie, op13_token_counts)
 }
 
 
@@ -175,4 +193,19 @@ words as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(
 its as (select doc_id, count(x) as n_items, string_agg(x, ',' order by x) as s from (select distinct doc_id, cast(item_id as varchar) as x from hits) group by doc_id)
 select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from dw left join words using (doc_id) left join its using (doc_id)""",
+    # The crc32 of an id is reckoned bit by bit, as DuckDB has none. A node is (depth, smallest member); the nodes above it lie on its smallest member's path.
+    "op12_prefix_trie": """
+with t as materialized (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos from conversations where conv_id is not null),
+c as materialized (select conv_id, conv_id - conv_id % 100 as base, xor(list_reduce(list_prepend(4294967295::bigint, [ascii(x)::bigint for x in string_split(cast(conv_id as varchar), '')]),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295) % 6 as h from t group by conv_id),
+r as (select c.conv_id, 0 as part, pos, role, text from c join t on t.conv_id = base and pos <= h union all select c.conv_id, 1, pos, role, text from c join t on t.conv_id = c.conv_id and pos > h),
+p as (select conv_id, row_number() over w as d, text, list((role, text)) over w as path from r window w as (partition by conv_id order by part, pos)),
+s as materialized (select conv_id, d, len(text) as size, min(conv_id) over (partition by path) as node, count(*) over (partition by path) as n from p
+  union all select conv_id, 0, 0, min(conv_id) over (), count(*) over () from c),
+e as (select node as conv_id, d as depth, string_agg(cast(s.conv_id as varchar), ',' order by s.conv_id) as ends from s join (select conv_id, max(d) as d from s group by conv_id) using (conv_id, d) group by all),
+m as materialized (select s.d as depth, s.conv_id, u.node as parent_conv_id, s.n, (s.n - 1) * s.size as own from s left join s u on u.conv_id = s.conv_id and u.d = s.d - 1 where s.node = s.conv_id),
+k as (select depth - 1 as depth, parent_conv_id as conv_id, count(*) as n_children from m where depth > 0 group by all),
+f as materialized (select m.*, coalesce(n_children, 0) as n_children from m left join k using (depth, conv_id)),
+b as (select s.d as depth, s.node as conv_id, count(*) filter (where n_children = 0) as n_leaves, sum(own) as saved from f join s on s.conv_id = f.conv_id and s.d <= f.depth group by all)
+select conv_id, depth, parent_conv_id, n as n_convs, n_children, n_leaves, cast(saved as bigint) as saved_tokens, sha256(coalesce(ends, '')) as ends_sha256 from f join b using (depth, conv_id) left join e using (depth, conv_id)""",
 }
