@@ -3,31 +3,48 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions import geometry as G
-from sheetwise.runtime import cut_to, forget, remove, shared_dir
+from sheetwise.operators.components import components
+from sheetwise.operators.nearest import small
+from sheetwise.runtime import cut, cut_to, forget, remove, shared_dir, ship
 from sheetwise.schema import BOX, KEYS
 
 
 def overlap_pairs(det: DataFrame, metric: str | Callable[[str, str], Column], least: float, strict: bool = False, by: tuple[str, ...] = (), keys: tuple[str, ...] = KEYS, order: str = "ord", cell: float = 64.0) -> DataFrame:
     """Pairs ``(hi, lo)`` of ``order`` values, hi < lo, of boxes on a sheet whose metric reaches ``least``, with ``overlap``.
 
-    Boxes are dealt to the cells of a grid that they touch and meet in an equi-join on the cell; a pair counts only in the cell
-    where its overlap begins, so none comes twice. ``by`` names columns that must also be equal; ``strict`` asks for more than ``least``.
+    Grids have levels, each with cells twice as wide as the one before; the first has cells of ``cell``. A box belongs to the first level whose cells are no smaller than it, where it
+    touches four at most, and it visits the coarser levels that any box belongs to. Two boxes meet in an equi-join on the cell, at the coarser of their levels, and count in the cell where
+    their overlap begins, so no pair comes twice. ``by`` names columns that must also be equal; ``strict`` asks for more than ``least``.
     """
     measure = G.METRICS[metric] if isinstance(metric, str) else metric
-    spread = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    boxes = det.where(G.box_status() == "ok").select(*keys, *by, F.col(order).alias("o"), *BOX)
-    dealt = boxes.withColumn("cell_x", F.explode(spread("left", "right"))).withColumn("cell_y", F.explode(spread("top", "bottom")))
-    named = lambda p: dealt.select(*keys, *by, "cell_x", "cell_y", *[F.col(c).alias(p + c) for c in ("o", *BOX)])
-    pairs = named("a_").join(named("b_"), [*keys, *by, "cell_x", "cell_y"]).where("a_o < b_o")
-    here = (F.floor(F.greatest("a_left", "b_left") / cell) == F.col("cell_x")) & (F.floor(F.greatest("a_top", "b_top") / cell) == F.col("cell_y"))
-    value = measure("a_", "b_")
-    return pairs.where(here).withColumn("overlap", value).where(F.col("overlap") > least if strict else F.col("overlap") >= least).select(*keys, F.col("a_o").alias("hi"), F.col("b_o").alias("lo"), "overlap")
+    boxes = det.where(G.box_status() == "ok").select(*keys, *by, F.col(order).alias("o"), *BOX).withColumn("own", grid_level(cell))
+    levels = sorted(r.own for r in boxes.select("own").distinct().collect())
+    at = lambda edge, size: F.floor(edge / size)
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+
+    def dealt(rows: DataFrame, p: str) -> DataFrame:
+        rows = rows.withColumn("cell_x", F.explode(F.sequence(at(F.col("left"), size), at(F.col("right"), size)))).withColumn("cell_y", F.explode(F.sequence(at(F.col("top"), size), at(F.col("bottom"), size))))
+        return rows.select(*keys, *by, "level", "cell_x", "cell_y", *[F.col(c).alias(p + c) for c in ("o", "own", *BOX)])
+
+    coarser = boxes.withColumn("level", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= F.col("own")))) if len(levels) > 1 else boxes.withColumn("level", F.col("own"))
+    visitors, owners = dealt(coarser, "a_"), dealt(boxes.withColumn("level", F.col("own")), "b_")
+    pairs = visitors.join(owners, [*keys, *by, "level", "cell_x", "cell_y"]).where("a_own < b_own or a_o < b_o")
+    here = (at(F.greatest("a_left", "b_left"), size) == F.col("cell_x")) & (at(F.greatest("a_top", "b_top"), size) == F.col("cell_y"))
+    found = pairs.where(here).withColumn("overlap", measure("a_", "b_")).where(F.col("overlap") > least if strict else F.col("overlap") >= least)
+    return found.select(*keys, F.least("a_o", "b_o").alias("hi"), F.greatest("a_o", "b_o").alias("lo"), "overlap")
+
+
+def grid_level(cell: float) -> Column:
+    """The level of the grid that a box belongs to: 0 up to ``cell`` pixels, and one more for each doubling."""
+    left, top, right, bottom = G.edges()
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(right - left, bottom - top) / cell)).cast("int"))
 
 
 def rank_by_score(det: DataFrame, score: Column, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -35,11 +52,59 @@ def rank_by_score(det: DataFrame, score: Column, keys: tuple[str, ...] = KEYS) -
     return det.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(score.desc(), F.col("ord"))).cast("long"))
 
 
-def greedy(pairs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+#: Pairs of a sheet, or of a component of one, that one task goes through.
+IN_ONE_TASK = 1_000_000
+
+
+def greedy(pairs: DataFrame, keys: tuple[str, ...] = KEYS, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """``(keys, rank)`` that greedy suppression drops, from pairs (hi, lo) of ranks.
 
-    A round keeps every hi that is nobody's lo and drops what it suppresses. That is the order-dependent rule, carried out for all sheets at once;
-    the number of rounds is the length of the longest chain of suppressions. What the rounds drop is one growing table, so the result needs one join however many they are.
+    What a box drops depends only on boxes that it is linked to through overlaps. So sheets of up to ``in_one_task`` pairs are gone through by rank, each in one task. Larger ones fall into
+    connected components of overlapping boxes, each gone through in one task; only components that are larger themselves go in rounds over all tasks. The rows dropped are the same in all three ways.
+    """
+    spark = pairs.sparkSession
+    now = cut(spark, pairs.select(*keys, "hi", "lo"))
+    many = lambda df, by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > in_one_task).drop("_n")
+    large = cut(spark, many(now, keys))
+    if large.isEmpty():
+        return walk(now, keys)
+    wide = now.join(small(large), list(keys), "left_semi")
+    linked = components(wide.select(*keys, F.col("hi").alias("a"), F.col("lo").alias("b")), keys)
+    wide = cut(spark, wide.join(linked.withColumnRenamed("node", "hi"), [*keys, "hi"]))
+    by = (*keys, "component")
+    largest = cut(spark, many(wide, by))
+    out = walk(now.join(small(large), list(keys), "left_anti"), keys).unionByName(walk(wide.join(small(largest), list(by), "left_anti"), by).drop("component"))
+    return out if largest.isEmpty() else out.unionByName(in_rounds(wide.join(small(largest), list(by), "left_semi"), keys))
+
+
+def walk(pairs: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """What is dropped in each group: pairs are gone through by rank, and a hi that stands drops its lo. A task holds the ranks that one group has dropped so far."""
+    ship(pairs.sparkSession)
+    schema = pairs.select(*by, F.col("lo").alias("rank")).schema
+    n = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, dead = None, set()
+        for b in batches:
+            lost = []
+            groups = zip(*(b.column(i).to_pylist() for i in range(n)))
+            for i, (group, hi, lo) in enumerate(zip(groups, b.column(n).to_pylist(), b.column(n + 1).to_pylist())):
+                if group != now:
+                    now, dead = group, set()
+                if hi not in dead and lo not in dead:
+                    dead.add(lo)
+                    lost.append(i)
+            rows = b.take(pa.array(lost, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:n], rows.column(n + 1)], names=schema.names)
+
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select(*by, "hi", "lo").repartition(parts, *by).sortWithinPartitions(*by, "hi", "lo").mapInArrow(run, schema)
+
+
+def in_rounds(pairs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """As :func:`walk`, over all tasks: a round keeps every hi that is nobody's lo and drops what it suppresses.
+
+    The number of rounds is the length of the longest chain of suppressions. What the rounds drop is one growing table, so the result needs one join however many they are.
     """
     spark = pairs.sparkSession
     now, path = cut_to(spark, pairs.select(*keys, "hi", "lo"))
