@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions import geometry as G
-from sheetwise.operators import suppression, tiling
+from sheetwise.operators import session, suppression, tiling
 from sheetwise.operators.nearest import small
 from sheetwise.runtime import ship
 from sheetwise.schema import BOX, KEYS
@@ -63,22 +63,23 @@ def prediction_rows_to_detections(boxes: DataFrame, classes: DataFrame, keypoint
     return both.withColumn("_valid", valid).withColumns({c: F.when(F.col("_valid"), F.col(c)) for c in ("kp_x", "kp_y")}).drop("_valid")
 
 
-def score_tiles(tiles: DataFrame, model_factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], carry: tuple[str, ...], has_keypoints: bool = False) -> DataFrame:
+def score_tiles(tiles: DataFrame, model_factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], carry: tuple[str, ...], has_keypoints: bool = False, batch: int = session.BATCH) -> DataFrame:
     """Run a model over every tile.
 
-    ``model_factory`` is called once in each task and gives a function from a frame of tiles to a frame of detections: the tile's ``carry``
+    ``model_factory`` is called once in each Python worker, which keeps the model for all its tasks, and gives a function from a frame of up to ``batch`` tiles to a frame of detections: the tile's ``carry``
     columns, ``pos``, ``category``, box edges, ``confidence``, and keypoints if there are any.
     """
+    if batch < 1:
+        raise ValueError("batch must be over 0")
     ship(tiles.sparkSession)
     schema = tiles.select(*carry).schema.add("pos", "integer").add("category", "string")
     for c in (*BOX, "confidence", *(("kp_x", "kp_y") if has_keypoints else ())):
         schema = schema.add(c, "double")
-    names = schema.names
+    names, key = schema.names, session.session_key(model_factory)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = model_factory()
-        for pdf in frames:
-            yield model(pdf)[names]
+        for pdf in session.in_batches(frames, batch):
+            yield session.model(key, model_factory)(pdf)[names]
 
     return tiles.mapInPandas(run, schema)
 

@@ -5,11 +5,12 @@ Distances and places are compared at a stated precision (:func:`geometry.stated`
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions import geometry as G
 from sheetwise.operators.boxes import normalize_center
+from sheetwise.runtime import cut
 from sheetwise.schema import KEYS
 
 #: Largest distance between a digit and the box it fills, in normalised coordinates (a fixed value).
@@ -45,7 +46,7 @@ def nearest_per_target(det: DataFrame, centroids: DataFrame, width: Column, heig
 def nearest_centroid(det: DataFrame, centroids: DataFrame, width: Column, height: Column, max_dist: float | None = None, keys: tuple[str, ...] = KEYS, most: int = BROADCAST_ROWS) -> DataFrame:
     """For each detection the nearest centroid of its form, whatever the distance unless ``max_dist`` is given; of equally near ones the first by name.
 
-    Up to ``most`` centroids are broadcast as one list for each form, so that no row is multiplied; more are met by a join on the form.
+    Up to ``most`` centroids are broadcast as one list for each form, so that no row is multiplied; more are searched on a grid (:func:`nearest_on_grid`). Repeated detections stay repeated.
     """
     places, points = centroids.select("form", "name", "cx", "cy"), normalize_center(det, width, height)
     if places.limit(most + 1).count() <= most:
@@ -54,12 +55,61 @@ def nearest_centroid(det: DataFrame, centroids: DataFrame, width: Column, height
         near = F.array_min(F.transform("_places", lambda c: F.struct(G.stated(dist(c), 10).alias("d"), c["name"].alias("name"), dist(c).alias("dist"))))
         best = points.join(lists, "form").withColumn("n", near)
     else:
-        met = points.join(places, "form").withColumn("dist", _distance())
-        best = met.groupBy(*keys, "form", "det_id", "ord", "category").agg(F.min_by(F.struct("name", "dist"), F.struct(G.stated(F.col("dist"), 10).alias("d"), "name")).alias("n"))
+        spark = det.sparkSession
+        rows = cut(spark, points.select(*keys, "form", "det_id", "ord", "category", "nx", "ny").withColumn("_row", F.monotonically_increasing_id()))
+        best = rows.join(nearest_on_grid(rows, places), "_row")
     found = best.select(*keys, "form", "det_id", "ord", "category", "n.name", "n.dist")
     return found if max_dist is None else found.where(F.col("dist") < max_dist)
 
 
+#: Centroids that a cell of a form's finest grid has on average, and by how much distances of equal stated precision may differ.
+IN_CELL, SLACK = 2, 1e-9
+
+
+def nearest_on_grid(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """``(_row, n)``: the nearest place of each row's form, for any number of places; ``rows`` have ``_row, form, nx, ny``.
+
+    Each form has a square grid with about ``IN_CELL`` places a cell, and coarser ones of twice the side each, up to one cell. A row first meets the places of its cell and the eight around it; if the
+    best is nearer than any other cell can be, that is all. The others go down from the coarsest grid: of the cells with a place they keep those that are no farther than the place that some kept cell must hold,
+    then take their quarters. So a row meets few cells on each grid, wherever it lies and however the places are spread.
+    """
+    spark = rows.sparkSession
+    form = places.groupBy("form").agg(F.min("cx").alias("x0"), F.min("cy").alias("y0"), F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy")).alias("side"), F.count(F.lit(1)).alias("_n"))
+    levels = F.greatest(F.lit(0), F.ceil(F.log2(F.sqrt(F.col("_n") / IN_CELL)))).cast("int")
+    form = cut(spark, form.withColumns({"levels": levels, "side": F.when(F.col("side") > 0, F.col("side")).otherwise(1.0)}).withColumn("cell", F.col("side") / F.pow(F.lit(2.0), F.col("levels"))).drop("_n"))
+    last = F.pow(F.lit(2.0), F.col("levels")).cast("long") - 1
+    index = lambda c, c0: F.least(F.floor((F.col(c) - F.col(c0)) / F.col("cell")), last)
+    leaves = cut(spark, places.join(small(form), "form").select("form", "name", "cx", "cy", "levels", index("cx", "x0").alias("ix"), index("cy", "y0").alias("iy")))
+    at = rows.select("_row", "form", "nx", "ny").join(small(form), "form")
+    best = F.min_by(F.struct("name", "dist"), F.struct(G.stated(F.col("dist"), 10).alias("d"), "name")).alias("n")
+    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    around = at
+    for i, c, c0 in (("ix", "nx", "x0"), ("iy", "ny", "y0")):
+        own = F.floor((F.col(c) - F.col(c0)) / F.col("cell"))
+        around = around.withColumn(i, F.explode(F.filter(F.transform(near, lambda d: own + d), lambda v: v.between(0, last))))
+    first = around.join(leaves.select("form", "ix", "iy", "name", "cx", "cy"), ["form", "ix", "iy"]).withColumn("dist", _distance()).groupBy("_row").agg(best, F.first("cell").alias("cell"))
+    done = cut(spark, first.where(F.col("n.dist") < F.col("cell") - SLACK).select("_row", "n"))
+    # Cells with a place on every grid, by the cell of the coarser grid that holds them.
+    cells = leaves.select("form", F.explode(F.sequence(F.lit(0), F.col("levels"))).alias("level"), "levels", "ix", "iy")
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("levels") - F.col("level"))).cast("long")
+    cells = cut(spark, cells.select("form", "level", up("ix").alias("ix"), up("iy").alias("iy")).distinct())
+    deepest = form.agg(F.max("levels")).first()[0] or 0
+    kept = at.join(done, "_row", "left_anti").withColumns({"ix": F.lit(0).cast("long"), "iy": F.lit(0).cast("long")})
+    for level in range(1, deepest + 1):
+        deeper = cells.where(F.col("level") == level).select("form", F.expr("ix div 2").alias("ix"), F.expr("iy div 2").alias("iy"), F.col("ix").alias("jx"), F.col("iy").alias("jy"))
+        grown = kept.where(F.col("levels") >= level).join(deeper, ["form", "ix", "iy"])
+        size = F.col("side") / float(2**level)
+        low = {c: F.col(c0) + F.col(j) * size for c, c0, j in (("nx", "x0", "jx"), ("ny", "y0", "jy"))}
+        gap = lambda c: F.greatest(F.lit(0.0), low[c] - F.col(c), F.col(c) - low[c] - size)
+        far = lambda c: F.greatest(F.abs(low[c] - F.col(c)), F.abs(low[c] + size - F.col(c)))
+        span = lambda f: F.sqrt(F.pow(f("nx"), 2) + F.pow(f("ny"), 2))
+        grown = grown.withColumns({"_gap": span(gap), "_far": span(far)}).withColumn("_least", F.min("_far").over(Window.partitionBy("_row")))
+        fewer = grown.where(F.col("_gap") <= F.col("_least") + SLACK).drop("ix", "iy", "_gap", "_far", "_least").withColumnsRenamed({"jx": "ix", "jy": "iy"})
+        kept = cut(spark, fewer.unionByName(kept.where(F.col("levels") < level)))
+    rest = kept.join(leaves.select("form", "ix", "iy", "name", "cx", "cy"), ["form", "ix", "iy"]).withColumn("dist", _distance()).groupBy("_row").agg(best)
+    return done.unionByName(rest)
+
+
 def _labels(legend: DataFrame, place: str, label: str, keys: tuple[str, ...]) -> DataFrame:
     """The labels of each sheet as one array; a printed legend has some dozens."""
     return legend.groupBy(*keys).agg(F.collect_list(F.struct(F.col(place).alias("place"), F.col(label).alias("label"))).alias("_labels"))

@@ -1,11 +1,14 @@
 """Suppression, clustering and searches on groups that are too large for one task, against the one-task versions and brute force."""
 
+import os
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sheetwise.operators import components, suppression
+from sheetwise.operators import components, decode, nearest, session, suppression
 
 COLS = "sheet_id long, det_id long, ord long, category string, left double, top double, right double, bottom double, confidence double"
 
@@ -76,3 +79,96 @@ def test_components_of_chains_stars_and_rings(spark):
     links = [(k, *((a, b) if rng.random() < 0.5 else (b, a))) for a, b in links for k in (1, 2)]
     got = components.components(spark.createDataFrame(links, "k long, a long, b long"), ("k",)).collect()
     assert len(got) == 1800 and {(r.k, r.node): r.component for r in got} == {(k, x): min(g) for k in (1, 2) for g in (chain, star, ring) for x in g}
+
+
+# Models ----------------------------------------------------------------------------------------------------------------------
+
+def counting(folder):
+    """A model factory that leaves a file for each build, and whose model leaves its batch sizes."""
+
+    def build():
+        open(f"{folder}/build-{os.getpid()}-{len(os.listdir(folder))}-{random.random()}", "w").close()
+
+        def run(pdf):
+            open(f"{folder}/batch-{len(pdf)}-{random.random()}", "w").close()
+            return pd.DataFrame({"tile": pdf["tile"], "pos": 0, "category": "a", "left": pdf["tile"] * 1.0, "top": 0.0, "right": pdf["tile"] + 1.0, "bottom": 1.0, "confidence": 0.5})
+
+        return run
+
+    return build
+
+
+def test_one_model_for_each_worker(spark, tmp_path):
+    factory = counting(str(tmp_path))
+    tiles = spark.range(400).select(F.col("id").alias("tile")).repartition(40)
+    for _ in range(2):
+        assert decode.score_tiles(tiles, factory, ("tile",), batch=4).agg(F.sum("left")).first()[0] == 400 * 399 / 2
+    files = os.listdir(tmp_path)
+    builds = [f.split("-")[1] for f in files if f.startswith("build")]
+    assert len(builds) == len(set(builds)) and len(builds) <= 8 < 80  # 80 tasks, at most a worker for each core
+    sizes = [int(f.split("-")[1]) for f in files if f.startswith("batch")]
+    assert max(sizes) == 4 and sum(sizes) == 800
+    with pytest.raises(ValueError, match="batch"):
+        decode.score_tiles(tiles, factory, ("tile",), batch=0)
+
+
+def test_batches_keep_rows_in_order():
+    frames = [pd.DataFrame({"a": range(i, i + n)}) for i, n in ((0, 3), (3, 0), (3, 11), (14, 1))]
+    got = list(session.in_batches(iter(frames), 4))
+    assert [len(f) for f in got] == [4, 4, 4, 3] and pd.concat(got)["a"].tolist() == list(range(15))
+    assert list(session.in_batches(iter([]), 4)) == []
+
+
+def test_workers_forget_the_oldest_model():
+    for i in range(session.KEPT + 3):
+        assert session.model(f"m{i}", lambda i=i: i) == i
+    assert len(session._models) == session.KEPT and session.model(f"m{session.KEPT + 2}", lambda: -1) == session.KEPT + 2
+    assert session.model("m0", lambda: -1) == -1
+
+
+# Nearest centroids -----------------------------------------------------------------------------------------------------------
+
+def brute_nearest(points, places):
+    """(name, dist) by stated distance, then name."""
+    out = []
+    names = np.array([p[0] for p in places])
+    order = np.argsort(names, kind="stable")
+    xy = np.array([p[1:] for p in places])[order]
+    for x, y in points:
+        d = np.sqrt((xy[:, 0] - x) ** 2 + (xy[:, 1] - y) ** 2)
+        i = int(np.round(d, 10).argmin())
+        out.append((str(names[order][i]), round(float(d[i]), 9)))
+    return out
+
+
+def one_form(spark, places, points):
+    centroids = spark.createDataFrame([("f", *p) for p in places], "form string, name string, cx double, cy double")
+    det = spark.createDataFrame([(1, i, i, "a", "f", x * 1000 - 1, y * 1000 - 1, x * 1000 + 1, y * 1000 + 1) for i, (x, y) in enumerate(points)], "sheet_id long, det_id long, ord long, category string, form string, left double, top double, right double, bottom double")
+    return det, centroids
+
+
+@pytest.mark.parametrize("spread", ["even", "corners", "one line", "one place", "lattice"])
+def test_nearest_centroid_on_grids(spark, spread):
+    rng = random.Random(7)
+    u = rng.random
+    place = {
+        "even": lambda: (u(), u()), "corners": lambda: rng.choice([(u() / 500, u() / 500), (1 - u() / 500, 1 - u() / 500)]), "one line": lambda: (u(), 0.5), "one place": lambda: (0.25, 0.75), "lattice": lambda: (rng.randrange(20) / 16, rng.randrange(20) / 16)
+    }[spread]
+    places = [(f"p{i:04d}", *place()) for i in rng.sample(range(9999), 700)]
+    points = [(rng.uniform(-0.5, 1.5), rng.uniform(-0.5, 1.5)) for _ in range(150)] + [(rng.randrange(40) / 32, rng.randrange(40) / 32) for _ in range(60)] + [(30.0, -20.0)]
+    det, centroids = one_form(spark, places, points)
+    got = nearest.nearest_centroid(det, centroids, F.lit(1000.0), F.lit(1000.0), most=10).orderBy("det_id").collect()
+    at = [((x * 1000 - 1 + (x * 1000 + 1 - (x * 1000 - 1)) / 2) / 1000, (y * 1000 - 1 + (y * 1000 + 1 - (y * 1000 - 1)) / 2) / 1000) for x, y in points]
+    assert [(r.name, round(r.dist, 9)) for r in got] == brute_nearest(at, places)
+
+
+def test_many_centroids_do_not_meet_all_detections(spark):
+    """200,000 centroids of one form; forms without centroids have no rows, repeated detections stay."""
+    rng = np.random.default_rng(3)
+    xy = rng.random((200_000, 2))
+    points = [tuple(p) for p in rng.random((300, 2)).tolist()] * 2
+    centroids = spark.createDataFrame(pd.DataFrame({"form": "f", "name": [f"c{i:06d}" for i in range(len(xy))], "cx": xy[:, 0], "cy": xy[:, 1]})).repartition(4)
+    det, _ = one_form(spark, [("a", 0.0, 0.0)], points)
+    other = det.withColumn("form", F.lit("none"))
+    rows = nearest.nearest_centroid(det.unionByName(other), centroids, F.lit(1000.0), F.lit(1000.0)).orderBy("det_id").collect()
+    assert [(r.name, round(r.dist, 9)) for r in rows] == brute_nearest(points, [(f"c{i:06d}", *p) for i, p in enumerate(xy.tolist())])
