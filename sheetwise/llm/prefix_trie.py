@@ -9,7 +9,7 @@ The trie is cut into shards before: a node whose members have more than ``limit`
 the tops of light subtrees send is summed by Spark for each heavy node. Heavy nodes are cut into bands of ``BAND`` levels below one ancestor each; bands are worked on by themselves, then the totals of their roots are passed between
 the roots alone (a row for each band), and last the bands again with what their roots' children have sent. So neither a hot prefix, nor a group of copies, nor one endless conversation is one task's work.
 
-``ends_sha256`` is a hash over one sequence of ids, which no system can split; a task streams through the sorted ids of its nodes and holds one batch.
+``ends_sha256`` is a hash over one sequence of ids, which cannot be split: the ids are sorted and spelled out in many tasks, and one streams a node's pieces of text into the hash.
 
 Edge cases: null roles and texts count as empty, rows without conv_id are left out. Turns are ordered by turn (null first), ties by a digest of role and text; repeated rows are turns of their own. An empty
 table gives no rows. Very long texts are digested where they are read; only digests and lengths are shuffled. Extra columns are ignored.
@@ -111,35 +111,48 @@ def keyed_turns(rebuilt: DataFrame) -> DataFrame:
     return rows.select("conv_id", "length", "d", "size", key(F.col("d"), list(at.values())).alias("key"), F.when(F.col("d") > 0, before).alias("up"))
 
 
+def _runs(keys: list) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of equal keys."""
+    cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+    return zip(cuts, cuts[1:])
+
+
 def ends_hashes(slots: DataFrame) -> DataFrame:
-    """``key, ends_sha256`` of nodes at which conversations end: their ids, ascending, streamed."""
+    """``key, ends_sha256`` of nodes at which conversations end: their ids, ascending.
+
+    Ids are dealt by range, so those of a hot node are sorted and spelled out by many tasks; one task then streams the node's pieces of text, in their order, into the hash.
+    """
     ship(slots.sparkSession)
-    ends = slots.where("d = length").select("key", "conv_id")
-    ends = ends.repartition(partitions(slots), "key").sortWithinPartitions("key", "conv_id")
+    many = partitions(slots)
+    ends = slots.where("d = length").select("key", "conv_id").repartitionByRange(many, "key", "conv_id").sortWithinPartitions("key", "conv_id").withColumn("part", F.spark_partition_id())
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, b in enumerate(batches):
+            keys, ids, parts = (c.to_pylist() for c in b.columns)
+            runs = list(_runs(keys)) if keys else []
+            texts = [",".join(map(str, ids[s:e])) for s, e in runs]
+            yield pa.record_batch(
+                [pa.array([keys[s] for s, _ in runs], pa.binary()), pa.array([parts[s] for s, _ in runs], pa.int32()), pa.array([n] * len(runs), pa.int64()), pa.array(texts, pa.string())], names=["key", "part", "n", "text"]
+            )
+
+    pieces = ends.mapInArrow(spell, "key binary, part int, n long, text string").repartition(many, "key").sortWithinPartitions("key", "part", "n").select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, hashlib.sha256()
-        done: list[tuple[bytes, str]] = []
         for b in batches:
-            if not b.num_rows:
-                continue
-            keys, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
-            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            for s, e in zip(cuts, cuts[1:]):
-                text = ",".join(map(str, ids[s:e])).encode()
-                if keys[s] == now:
-                    state.update(b"," + text)
+            done = []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if key == now:
+                    state.update(b"," + text.encode())
                     continue
                 if now is not None:
                     done.append((now, state.hexdigest()))
-                now, state = keys[s], hashlib.sha256(text)
-            if done:
-                yield pa.record_batch([pa.array([k for k, _ in done], pa.binary()), pa.array([h for _, h in done])], names=["key", "ends_sha256"])
-                done = []
+                now, state = key, hashlib.sha256(text.encode())
+            yield pa.record_batch([pa.array([k for k, _ in done], pa.binary()), pa.array([h for _, h in done], pa.string())], names=["key", "ends_sha256"])
         if now is not None:
             yield pa.record_batch([pa.array([now], pa.binary()), pa.array([state.hexdigest()])], names=["key", "ends_sha256"])
 
-    return ends.mapInArrow(run, "key binary, ends_sha256 string")
+    return pieces.mapInArrow(run, "key binary, ends_sha256 string")
 
 
 class MessageQueue:
