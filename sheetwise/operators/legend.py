@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions import geometry as G
-from sheetwise.runtime import cut_to, remove, ship
+from sheetwise.operators import clusters_large
+from sheetwise.runtime import cut_to, ship
 from sheetwise.schema import KEYS
 
 DIGITS = [str(i) for i in range(10)]
@@ -34,7 +35,7 @@ def cluster_dbscan(points: DataFrame, eps: float, min_samples: int = 1, keys: tu
     """Adds ``cluster``: the smallest ``det_id`` of a density cluster's core points, or -1 for noise.
 
     Neighbours are at most ``eps`` apart, the point itself included. A group of up to ``in_one_task`` points is clustered by one Arrow call; the few larger ones
-    over all tasks, in rounds. The clusters are the same either way. A border point goes to its smallest neighbouring core's cluster.
+    over all tasks, by cells. The clusters are the same either way. A border point goes to its smallest neighbouring core's cluster.
     """
     if eps <= 0 or min_samples <= 0:
         raise ValueError("eps and min_samples must be over 0")
@@ -45,7 +46,7 @@ def cluster_dbscan(points: DataFrame, eps: float, min_samples: int = 1, keys: tu
     some = not large.isEmpty()
     found = _dbscan_groups(at.join(large, list(keys), "left_anti") if some else at, eps, min_samples, keys)
     if some:
-        found = found.unionByName(_dbscan_rounds(at.join(large, list(keys), "left_semi"), eps, min_samples, keys))
+        found = found.unionByName(clusters_large.dbscan_by_cells(at.join(large, list(keys), "left_semi"), eps, min_samples, keys))
     return points.join(found, [*keys, "det_id"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long")))
 
 
@@ -81,129 +82,128 @@ def _dbscan_groups(at: DataFrame, eps: float, min_samples: int, keys: tuple[str,
     return dealt(at, keys).groupBy(*keys).applyInArrow(run, schema)
 
 
-def _dbscan_rounds(at: DataFrame, eps: float, min_samples: int, keys: tuple[str, ...]) -> DataFrame:
-    """Neighbours from an equi-join on grid cells of side ``eps``; cores are joined by passing the smallest id on until nothing changes."""
-    spark = at.sparkSession
-    cell = lambda c: F.floor(F.col(c) / eps)
-    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    a = at.withColumn("cx", F.explode(F.transform(near, lambda i: cell("x") + i))).withColumn("cy", F.explode(F.transform(near, lambda i: cell("y") + i)))
-    b = at.select(*keys, F.col("det_id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), cell("x").alias("cx"), cell("y").alias("cy"))
-    dist = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-    links = cut_to(spark, a.join(b, [*keys, "cx", "cy"]).where(dist <= eps).select(*keys, "det_id", "other"))[0]
-    core = links.groupBy(*keys, "det_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select(*keys, "det_id")
-    between = links.join(core, [*keys, "det_id"], "left_semi").join(core.withColumnRenamed("det_id", "other"), [*keys, "other"], "left_semi")
-    between = cut_to(spark, between)[0]
-    now, path = cut_to(spark, core.withColumn("cluster", F.col("det_id")))
-    while True:
-        reached = between.join(now.withColumnRenamed("det_id", "other"), [*keys, "other"]).groupBy(*keys, "det_id").agg(F.min("cluster").alias("reached"))
-        # The smallest id's own cluster is taken on too, which halves the distance left in each round.
-        jumped = reached.join(now.select(*keys, F.col("det_id").alias("reached"), F.col("cluster").alias("beyond")), [*keys, "reached"]).select(*keys, "det_id", F.col("beyond").alias("cluster"))
-        new, new_path = cut_to(spark, jumped)
-        settled = new.join(now.withColumnRenamed("cluster", "before"), [*keys, "det_id"]).where("cluster <> before").isEmpty()
-        remove(spark, path)
-        now, path = new, new_path
-        if settled:
-            break
-    border = links.join(now.withColumnRenamed("det_id", "other"), [*keys, "other"]).groupBy(*keys, "det_id").agg(F.min_by("cluster", "other").alias("near"))
-    return border.join(now, [*keys, "det_id"], "left").select(*keys, "det_id", F.coalesce("cluster", "near").alias("cluster"))
-
-
-def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ centres: each next one by its squared distance to those so far, the best of some draws."""
-    chosen = [int(rng.integers(len(x)))]
+def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator, w: np.ndarray | None = None) -> np.ndarray:
+    """k-means++ centres of points with weights: each next one by its squared distance to those so far, the best of some draws."""
+    w = np.ones(len(x)) if w is None else w
+    draw = lambda p, n: np.searchsorted(np.cumsum(p), rng.random(n) * p.sum(), "right").clip(max=len(x) - 1)
+    chosen = [int(draw(w, 1)[0])]
     least = ((x - x[chosen[0]]) ** 2).sum(axis=1)
     draws = 2 + int(np.log(k))
     while len(chosen) < k:
-        total = least.sum()
-        if total <= 0:
+        if (least * w).sum() <= 0:
             chosen.append(int(rng.integers(len(x))))
             continue
-        tried = np.searchsorted(np.cumsum(least), rng.random(draws) * total).clip(max=len(x) - 1)
+        tried = draw(least * w, draws)
         after = np.minimum(least, ((x[tried, None] - x[None]) ** 2).sum(axis=2))
-        best = int(after.sum(axis=1).argmin())
+        best = int((after * w).sum(axis=1).argmin())
         chosen.append(int(tried[best]))
         least = after[best]
     return x[chosen].astype(float)
 
 
-def _lloyd(x: np.ndarray, centres: np.ndarray, rounds: int = 300, tolerance: float = 1e-4) -> tuple[float, np.ndarray]:
-    """(inertia, labels) of Lloyd's iterations, until the centres move by less than ``tolerance`` of the points' variance."""
+#: Lloyd's rounds at most, and the tolerance at which they end (fixed values).
+ROUNDS, TOLERANCE = 500, 1e-8
+
+
+def _lloyd(x: np.ndarray, centres: np.ndarray, w: np.ndarray | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[float, np.ndarray, np.ndarray]:
+    """(inertia, labels, centres) of Lloyd's iterations, until the centres move by less than ``tolerance`` of the points' variance."""
+    w = np.ones(len(x)) if w is None else w
     stop = tolerance * x.var(axis=0).mean()
+    square = lambda c: ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
     for _ in range(rounds):
-        labels = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-        n = np.bincount(labels, minlength=len(centres))
-        sums = np.stack([np.bincount(labels, x[:, d], len(centres)) for d in range(x.shape[1])], axis=1)
-        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        labels = square(centres).argmin(axis=1)
+        n = np.bincount(labels, w, len(centres))
+        sums = np.stack([np.bincount(labels, x[:, d] * w, len(centres)) for d in range(x.shape[1])], axis=1)
+        new = np.where(n[:, None] > 0, sums / np.where(n > 0, n, 1)[:, None], centres)
         moved = ((new - centres) ** 2).sum()
         centres = new
         if moved <= stop:
             break
-    dist = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
-    return float(dist.min(axis=1).sum()), dist.argmin(axis=1)
+    dist = square(centres)
+    return float((dist.min(axis=1) * w).sum()), dist.argmin(axis=1), centres
 
 
-def _kmeans(x: np.ndarray, k: int, starts: int = 20, seed: int = 0) -> np.ndarray:
-    """Labels of the start with the least inertia."""
+def _best_start(x: np.ndarray, k: int, w: np.ndarray | None = None, starts: int = 20, seed: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    runs = [_lloyd(x, _plus_plus(x, k, rng)) for _ in range(starts)]
-    return min(runs, key=lambda r: r[0])[1]
+    return min((_lloyd(x, _plus_plus(x, k, rng, w), w) for _ in range(starts)), key=lambda r: r[0])
+
+
+def _kmeans(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Labels of the start with the least inertia."""
+    return _best_start(x, k)[1]
+
 
+def _seed_centres(x: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    """k centres of weighted candidates."""
+    return _best_start(x, k, w)[2]
 
-def _single_linkage(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels after cutting the k - 1 longest edges of the minimum spanning tree."""
+
+def _single_linkage(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Labels after cutting the k - 1 longest edges of the minimum spanning tree; equally long ones by the ids of their ends. A cluster's label is its place by smallest id."""
     n = len(x)
-    dist, parent, inside, edges = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool), []
-    at = 0
-    for _ in range(n - 1):
-        inside[at] = True
-        d = np.sqrt(((x - x[at]) ** 2).sum(axis=1))
-        closer = ~inside & (d < dist)
-        dist[closer], parent[closer] = d[closer], at
-        at = int(np.where(inside, np.inf, dist).argmin())
-        edges.append((dist[at], at, parent[at]))
-    edges.sort()
+    edges = sorted(clusters_large.spanning_tree(np.arange(n), x[:, 0], x[:, 1]))
     root = list(range(n))
 
     def find(i: int) -> int:
         while root[i] != i:
+            root[i] = root[root[i]]
             i = root[i]
         return i
 
     for _, a, b in edges[: n - k]:
-        root[max(find(a), find(b))] = min(find(a), find(b))
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
     return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
 
-def _partition(points: DataFrame, ks: list[int], keys: tuple[str, ...], method: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
-    """``(keys, k, det_id, x, y, label)`` for every candidate k; a sheet with fewer points than k has none for it."""
+#: Points of a group that one task clusters.
+IN_ONE_CALL = {"kmeans": 20_000, "agglomerative": 4000}
+
+
+def _partition(points: DataFrame, ks: list[int], keys: tuple[str, ...], name: str, few: str = "drop", in_one_task: int | None = None) -> DataFrame:
+    """``(keys, k, det_id, x, y, label)`` for every candidate k; a sheet with fewer points than k has none for it.
+
+    With ``few`` = ``fail``, a sheet with fewer points than any of ``ks`` is an error. Groups of more than ``in_one_task`` points are clustered over all tasks.
+    """
     if not ks:
         raise ValueError("at least one k is needed")
-    ship(points.sparkSession)
-    at = points.select(*keys, "det_id", G.center_x().alias("x"), G.center_y().alias("y"))
+    if few not in ("drop", "fail"):
+        raise ValueError("few is drop or fail")
+    spark = points.sparkSession
+    ship(spark)
+    most = IN_ONE_CALL[name] if in_one_task is None else in_one_task
+    method = {"kmeans": _kmeans, "agglomerative": _single_linkage}[name]
+    at = points.select(*keys, F.col("det_id").cast("long").alias("det_id"), G.center_x().alias("x"), G.center_y().alias("y"))
+    large = cut_to(spark, at.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).drop("_n"))[0]
+    some = not large.isEmpty()
+    within = at.join(large, list(keys), "left_anti") if some else at
     schema = at.withColumns({"k": F.lit(0), "label": F.lit(0)}).schema
-    spread = at.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks]))).withColumn("label", F.lit(0))
+    spread = within.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks]))).withColumn("label", F.lit(0))
+    fewest, columns = max(ks), schema.names
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("det_id")
         k = int(pdf["k"].iloc[0])
+        if len(pdf) < fewest and few == "fail":
+            raise ValueError(f"{len(pdf)} points are too few for {fewest} clusters")
         if len(pdf) < k:
             return pdf.iloc[:0]
-        return pdf.assign(label=method(pdf[["x", "y"]].to_numpy(), k).astype("int32"))
+        return pdf.assign(label=method(pdf["det_id"].to_numpy(), pdf[["x", "y"]].to_numpy(), k).astype("int32"))
 
-    return dealt(spread, (*keys, "k")).groupBy(*keys, "k").applyInPandas(run, schema)
+    found = dealt(spread, (*keys, "k")).groupBy(*keys, "k").applyInPandas(run, schema)
+    if not some:
+        return found
+    rest = at.join(large, list(keys), "left_semi")
+    if name == "agglomerative":
+        return found.unionByName(clusters_large.linkage_over_tasks(rest, ks, keys).select(columns))
+    for k in ks:
+        found = found.unionByName(clusters_large.kmeans_over_tasks(rest, k, keys, _seed_centres, ROUNDS, TOLERANCE).select(columns))
+    return found
 
 
 def silhouette(labelled: DataFrame, keys: tuple[str, ...] = (*KEYS, "k")) -> DataFrame:
     """Mean silhouette (Euclidean) of each group of ``keys``: columns ``x, y, label, det_id``. A cluster of one counts 0."""
-    other = labelled.select(*keys, F.col("det_id").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("label").alias("_label"))
-    dist = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
-    by_cluster = labelled.join(other, list(keys)).groupBy(*keys, "det_id", "label", "_label").agg(F.sum(dist).alias("total"), F.count(F.lit(1)).alias("n"))
-    own = F.col("label") == F.col("_label")
-    each = by_cluster.groupBy(*keys, "det_id").agg(
-        F.max(F.when(own, F.try_divide(F.col("total"), F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"), F.max(F.when(own, F.col("n"))).alias("own")
-    )
-    s = F.when(F.col("own") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return each.groupBy(*keys).agg(F.avg(s).alias("silhouette"))
+    return clusters_large.silhouettes(labelled, keys).groupBy(*keys).agg(F.avg("s").alias("silhouette"))
 
 
 def select_k(scores: DataFrame, margin: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -213,21 +213,25 @@ def select_k(scores: DataFrame, margin: float, keys: tuple[str, ...] = KEYS) ->
     return best.select(*keys, F.when(wins, F.col("best.k")).otherwise(F.col("last.k")).alias("k"))
 
 
-def _by_silhouette(points: DataFrame, ks: list[int], name: str, method: Callable, keys: tuple[str, ...]) -> DataFrame:
+def _by_silhouette(points: DataFrame, ks: list[int], name: str, keys: tuple[str, ...], few: str, in_one_task: int | None) -> DataFrame:
     spark = points.sparkSession
-    every = cut_to(spark, _partition(points, ks, keys, method))[0]
-    chosen = every.join(select_k(silhouette(every, (*keys, "k")), BETTER[name], keys), [*keys, "k"])
+    every = cut_to(spark, _partition(points, ks, keys, name, few, in_one_task))[0]
+    # One candidate needs no comparison.
+    chosen = every if len(set(ks)) == 1 else every.join(select_k(silhouette(every, (*keys, "k")), BETTER[name], keys), [*keys, "k"])
     return points.join(chosen.select(*keys, "det_id", F.col("label").cast("long").alias("cluster")), [*keys, "det_id"])
 
 
-def cluster_kmeans(points: DataFrame, ks: list[int], keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Adds ``cluster`` by k-means on box centres (20 starts of k-means++, the least inertia counts), k chosen by silhouette. Labels are the same in every run."""
-    return _by_silhouette(points, ks, "kmeans", _kmeans, keys)
+def cluster_kmeans(points: DataFrame, ks: list[int], keys: tuple[str, ...] = KEYS, few: str = "drop", in_one_task: int | None = None) -> DataFrame:
+    """Adds ``cluster`` by k-means on box centres (20 starts of k-means++, the least inertia counts), k chosen by silhouette. Labels are the same in every run.
+
+    A sheet with fewer points than ``ks`` has no rows, or is an error if ``few`` is ``fail``. Groups of more than ``in_one_task`` points start from oversampled seeding, and all tasks share their rounds.
+    """
+    return _by_silhouette(points, ks, "kmeans", keys, few, in_one_task)
 
 
-def cluster_agglomerative(points: DataFrame, ks: list[int], keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Adds ``cluster`` by single linkage on box centres, k chosen by silhouette."""
-    return _by_silhouette(points, ks, "agglomerative", _single_linkage, keys)
+def cluster_agglomerative(points: DataFrame, ks: list[int], keys: tuple[str, ...] = KEYS, few: str = "drop", in_one_task: int | None = None) -> DataFrame:
+    """Adds ``cluster`` by single linkage on box centres, k chosen by silhouette; ``few`` and ``in_one_task`` as for :func:`cluster_kmeans`. Large groups have the labels that one task would give."""
+    return _by_silhouette(points, ks, "agglomerative", keys, few, in_one_task)
 
 
 # Labels and positions --------------------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sheetwise.operators import components, decode, nearest, session, suppression
+from sheetwise.operators import clusters_large, components, decode, legend, nearest, session, suppression
 
 COLS = "sheet_id long, det_id long, ord long, category string, left double, top double, right double, bottom double, confidence double"
 
@@ -172,3 +172,133 @@ def test_many_centroids_do_not_meet_all_detections(spark):
     other = det.withColumn("form", F.lit("none"))
     rows = nearest.nearest_centroid(det.unionByName(other), centroids, F.lit(1000.0), F.lit(1000.0)).orderBy("det_id").collect()
     assert [(r.name, round(r.dist, 9)) for r in rows] == brute_nearest(points, [(f"c{i:06d}", *p) for i, p in enumerate(xy.tolist())])
+
+
+# Clusters --------------------------------------------------------------------------------------------------------------------
+
+def points_of(spark, xy, sheet=None):
+    """Boxes of two pixels around points; ids go up with an offset between sheets."""
+    frame = pd.DataFrame({"sheet_id": [1] * len(xy) if sheet is None else sheet, "det_id": range(len(xy)), "x": [p[0] for p in xy], "y": [p[1] for p in xy]})
+    df = spark.createDataFrame(frame).select("sheet_id", "det_id", F.lit("a").alias("category"), (F.col("x") - 1).alias("left"), (F.col("y") - 1).alias("top"), (F.col("x") + 1).alias("right"), (F.col("y") + 1).alias("bottom"))
+    return df.repartition(3)
+
+
+def clouds(seed=1, n=260):
+    """Two sheets: clouds of different density, a lattice with ties, loners and equal points."""
+    rng = random.Random(seed)
+    xy, sheet = [], []
+    for s in (1, 2):
+        for i in range(n):
+            kind = i % 5
+            p = {0: (rng.gauss(100, 4), rng.gauss(100, 4)), 1: (rng.gauss(160, 15), rng.gauss(120, 15)), 2: (300.0 + i % 12 * 4, 40.0 + i // 12 % 9 * 4), 3: (rng.uniform(0, 400), rng.uniform(0, 300)), 4: (120.0, 240.0 + i % 3)}[kind]
+            xy.append(p)
+            sheet.append(s)
+    return xy, sheet
+
+
+@pytest.mark.parametrize("eps, least", [(4.0, 1), (4.0, 3), (9.0, 5), (25.0, 12), (1000.0, 4)])
+def test_density_clusters_by_cells(spark, eps, least):
+    df = points_of(spark, *clouds())
+    got = lambda most: {r.det_id: r.cluster for r in legend.cluster_dbscan(df, eps, least, in_one_task=most).collect()}
+    assert got(10_000) == got(5)
+
+
+def test_one_dense_cloud_without_all_pairs(spark):
+    """50,000 points within one eps, and a second cloud just beyond it."""
+    rng = np.random.default_rng(1)
+    turn, far = rng.random(50_000) * 2 * np.pi, np.sqrt(rng.random(50_000)) * 4.9
+    xy = np.stack([far * np.cos(turn) + 50, far * np.sin(turn) + 50], axis=1)
+    xy = np.concatenate([xy, [[54.9 + 10.5 + i * 1e-3, 50.0] for i in range(40)]])
+    got = {r.cluster: r.n for r in legend.cluster_dbscan(points_of(spark, xy), 10.0, 3).groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+    assert got == {0: 50_000, 50_000: 40}
+
+
+@pytest.mark.parametrize("k", [1, 2, 7, 40])
+def test_single_linkage_over_all_tasks(spark, k):
+    xy, sheet = clouds(3, 150)
+    df = points_of(spark, xy, sheet)
+    at = df.select("sheet_id", "det_id", (F.col("left") + 1).alias("x"), (F.col("top") + 1).alias("y"))
+    want = {(r.sheet_id, r.det_id): r.label for r in legend._partition(df, [k], ("sheet_id",), "agglomerative").collect()}
+    got = clusters_large.linkage_over_tasks(at, [k], ("sheet_id",), block=30).collect()
+    assert len(got) == len(want) and {(r.sheet_id, r.det_id): r.label for r in got} == want
+
+
+def test_spanning_tree_has_one_answer():
+    """On a lattice all edges tie; the tree is that of the ordered edges."""
+    at = [(float(i % 4), float(i // 4)) for i in range(12)]
+    root = list(range(12))
+    want = []
+    for d, a, b in sorted((np.hypot(at[a][0] - at[b][0], at[a][1] - at[b][1]), a, b) for a in range(12) for b in range(a + 1, 12)):
+        if root[a] != root[b]:
+            want.append((d, a, b))
+            root = [root[a] if r == root[b] else r for r in root]
+    x, y = np.array(at).T
+    for order in (np.arange(12), np.arange(12)[::-1]):
+        assert sorted(clusters_large.spanning_tree(order, x[order], y[order])) == want
+
+
+def test_single_linkage_of_a_large_group(spark):
+    """100,000 points: three wide bands that chain up, and a loner."""
+    rng = np.random.default_rng(2)
+    n = 100_000
+    band = rng.integers(0, 3, n - 1)
+    xy = np.stack([rng.random(n - 1) * 3000, band * 200 + rng.random(n - 1) * 90], axis=1)
+    xy = np.concatenate([xy, [[1500.0, 900.0]]])
+    rows = legend.cluster_agglomerative(points_of(spark, xy), [4]).groupBy("cluster").agg(F.count("*").alias("n"), F.min("det_id").alias("d")).collect()
+    first = {b: int(np.flatnonzero(band == b)[0]) for b in range(3)} | {3: n - 1}
+    size = {**{b: int((band == b).sum()) for b in range(3)}, 3: 1}
+    assert {(r.d, r.n) for r in rows} == {(first[b], size[b]) for b in range(4)}
+
+
+@pytest.mark.parametrize("held", [2000, 7])
+def test_silhouette_against_brute_force(spark, held):
+    rng = random.Random(5)
+    rows = [(s, i, rng.gauss(0, 9), rng.gauss(0, 9), rng.choice([0, 0, 1, 2, 30]) if s < 3 else 1) for s in (1, 2, 3) for i in range(40)] + [(4, 0, 1.0, 1.0, 5), (5, 0, 0.0, 0.0, 1), (5, 1, 0.0, 0.0, 2)]
+    got = {(r.g, r.det_id): r.s for r in clusters_large.silhouettes(spark.createDataFrame(rows, "g int, det_id long, x double, y double, label int"), ("g",), held).collect()}
+    for g, i, x, y, label in rows:
+        mean = {}
+        for h, j, x2, y2, other in rows:
+            if h == g and (j != i):
+                mean.setdefault(other, []).append(((x - x2) ** 2 + (y - y2) ** 2) ** 0.5)
+        own, others = mean.pop(label, None), [sum(v) / len(v) for v in mean.values()]
+        a = sum(own) / len(own) if own else None
+        want = 0.0 if a is None or not others or max(a, min(others)) == 0 else (min(others) - a) / max(a, min(others))
+        assert abs(got[g, i] - want) < 1e-9
+    plan = clusters_large.silhouettes(spark.createDataFrame(rows, "g int, det_id long, x double, y double, label int"), ("g",))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan.replace("SortMergeJoin [g", "") or plan.count("Join") <= 1
+
+
+def same_groups(a, b):
+    """Whether two labellings of the same points have the same clusters."""
+    return len({(a[i], b[i]) for i in a}) == len(set(a.values())) == len(set(b.values()))
+
+
+def test_kmeans_over_all_tasks_as_in_one_call(spark):
+    """Sheets of well-separated digits: oversampled seeding and shared rounds find the clusters of the one-call version."""
+    rng = random.Random(8)
+    xy, sheet = [], []
+    for s in (1, 2, 3):
+        for c in range(20):
+            for i in range(2 + c % 3):
+                xy.append((100 + 60 * (c % 5) + 3.0 * i, 100 + 50 * (c // 5) + rng.random()))
+                sheet.append(s)
+    df = points_of(spark, xy, sheet)
+    got = [{r.det_id: (r.sheet_id, r.cluster) for r in legend.cluster_kmeans(df, [18, 19, 20], in_one_task=most).collect()} for most in (20_000, 5)]
+    assert len(got[0]) == len(xy) and same_groups(*got)
+
+
+def test_kmeans_of_a_million_points(spark):
+    at = spark.range(1_000_000).select(F.lit(1).cast("long").alias("sheet_id"), F.col("id").alias("det_id"), (F.col("id") % 7 * 100 + F.rand(1) * 20).alias("left"), (F.col("id") % 3 * 90 + F.rand(2) * 20).alias("top"))
+    df = at.withColumns({"right": F.col("left") + 2, "bottom": F.col("top") + 2, "category": F.lit("a")})
+    found = legend.cluster_kmeans(df, [21]).groupBy("cluster").agg(F.count("*").alias("n"), F.countDistinct(F.col("det_id") % 21).alias("m")).collect()
+    assert len(found) == 21 and all(r.m == 1 for r in found)
+
+
+def test_too_few_points_for_the_clusters(spark):
+    df = points_of(spark, [(1.0, 1.0), (5.0, 5.0), (9.0, 9.0)])
+    assert legend.cluster_kmeans(df, [4]).count() == 0 and legend.cluster_kmeans(df, [3, 4]).count() == 3
+    for cluster in (legend.cluster_kmeans, legend.cluster_agglomerative):
+        with pytest.raises(Exception, match="3 points are too few for 4 clusters"):
+            cluster(df, [3, 4], few="fail").count()
+    with pytest.raises(ValueError, match="drop or fail"):
+        legend.cluster_kmeans(df, [1], few="maybe")

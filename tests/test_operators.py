@@ -218,7 +218,7 @@ def test_density_peak_is_that_of_the_whole_grid():
 
 
 @pytest.mark.parametrize("least", [1, 3])
-def test_dbscan_in_one_task_and_in_rounds(spark, least):
+def test_dbscan_in_one_task_and_by_cells(spark, least):
     rng = np.random.default_rng(6)
     rows = [(s, 1000 * s + i, i, "a", float(x), float(y), float(x) + 2, float(y) + 2, 1.0) for s in range(4) for i, (x, y) in enumerate(rng.integers(0, 120, (60, 2)))]
     det = spark.createDataFrame(rows, COLS)
@@ -231,9 +231,9 @@ def test_kmeans_finds_separate_groups():
     rng = np.random.default_rng(7)
     centres = np.stack(np.meshgrid(np.arange(6) * 60.0, np.arange(7) * 55.0), axis=-1).reshape(-1, 2)
     own = np.repeat(np.arange(len(centres)), 3)
-    labels = legend._kmeans(centres[own] + rng.uniform(-8, 8, (len(own), 2)), len(centres))
+    labels = legend._kmeans(own, centres[own] + rng.uniform(-8, 8, (len(own), 2)), len(centres))
     assert len({(a, b) for a, b in zip(own.tolist(), labels.tolist())}) == len(centres) == len(set(labels.tolist()))
-    assert len(set(legend._kmeans(np.ones((5, 2)), 3).tolist())) >= 1
+    assert len(set(legend._kmeans(np.arange(5), np.ones((5, 2)), 3).tolist())) >= 1
 
 
 def test_least_squares_map():
