@@ -82,11 +82,11 @@ def _dbscan_groups(at: DataFrame, eps: float, min_samples: int, keys: tuple[str,
     return dealt(at, keys).groupBy(*keys).applyInArrow(run, schema)
 
 
-def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator, w: np.ndarray | None = None) -> np.ndarray:
+def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator, weights: np.ndarray | None = None) -> np.ndarray:
     """k-means++ centres of points with weights: each next one by its squared distance to those so far, the best of some draws."""
-    w = np.ones(len(x)) if w is None else w
-    draw = lambda p, n: np.searchsorted(np.cumsum(p), rng.random(n) * p.sum(), "right").clip(max=len(x) - 1)
-    chosen = [int(draw(w, 1)[0])]
+    w = np.ones(len(x)) if weights is None else weights
+    draw = lambda p, n: np.searchsorted(np.cumsum(p), rng.random(n) * p.sum()).clip(max=len(x) - 1)
+    chosen = [int(rng.integers(len(x))) if weights is None else int(draw(w, 1)[0])]
     least = ((x - x[chosen[0]]) ** 2).sum(axis=1)
     draws = 2 + int(np.log(k))
     while len(chosen) < k:
