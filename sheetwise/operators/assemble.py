@@ -39,19 +39,29 @@ def merge_sections(*facts: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame
     return every.withColumn("_top", top).where("_priority = _top").select(*keys, *FACT)
 
 
-def legend_clusters(landmarks: DataFrame, method: str = "kmeans", eps: float = 20.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Clusters of both legends' digits with labels and positions."""
+#: A method of clustering: boxes of one axis, candidate numbers of clusters and keys to the boxes with a column ``cluster``.
+Clustering = Callable[[DataFrame, list[int], tuple[str, ...]], DataFrame]
+
+
+def legend_clusters(landmarks: DataFrame, method: str | Clustering = "kmeans", eps: float = 20.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Clusters of both legends' digits with labels and positions. ``method`` is ``kmeans``, ``agglomerative``, ``dbscan`` (with ``eps``) or a :data:`Clustering` of one's own."""
     digits = cut(landmarks.sparkSession, legend.isolate_legend(landmarks, WIDTH, HEIGHT, keys))
     if method == "dbscan":  # both axes at once
         both = cut(landmarks.sparkSession, legend.cluster_dbscan(digits, eps, 1, (*keys, "axis")))
         parts = {u: both.where(F.col("axis") == u) for u in legend.UNITS}
     else:
-        cluster = {"kmeans": legend.cluster_kmeans, "agglomerative": legend.cluster_agglomerative}[method]
+        named = {"kmeans": legend.cluster_kmeans, "agglomerative": legend.cluster_agglomerative}
+        if not callable(method) and method not in named:
+            raise ValueError(f"method is dbscan, one of {sorted(named)} or a function")
+        cluster = method if callable(method) else named[method]
         parts = {u: cluster(digits.where(F.col("axis") == u), ks, keys) for u, ks in (("mins", TIME_KS), ("mmhg", VALUE_KS))}
+        for found in parts.values():
+            if "cluster" not in found.columns:
+                raise ValueError("a clustering method adds the column cluster")
     return _union([legend.cluster_boxes(df, u, keys) for u, df in parts.items()])
 
 
-def interpret_front(det: DataFrame, centroids: DataFrame, template: DataFrame, method: str = "kmeans", keys: tuple[str, ...] = KEYS) -> DataFrame:
+def interpret_front(det: DataFrame, centroids: DataFrame, template: DataFrame, method: str | Clustering = "kmeans", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Facts of the front of every sheet from its detections (``source`` says which model found a row)."""
     spark = det.sparkSession
     placed = cut(spark, registration.register_side(det, template, "intraoperative", keys))
@@ -174,7 +184,7 @@ def score_sheets(front_images: DataFrame, back_images: DataFrame, front: dict[st
 
 def digitize_sheets(
     front_images: DataFrame, back_images: DataFrame, front_models: dict[str, Callable], back_models: dict[str, Callable], centroids: DataFrame, template: DataFrame,
-    nested: bool = True, config: DataFrame | None = None, method: str = "kmeans", keys: tuple[str, ...] = KEYS,
+    nested: bool = True, config: DataFrame | None = None, method: str | Clustering = "kmeans", keys: tuple[str, ...] = KEYS,
 ) -> DataFrame:
     """Images of both sides to records, with a model factory for each source. Not nested, a section that both sides have is the back's."""
     spark = front_images.sparkSession

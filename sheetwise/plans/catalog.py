@@ -18,7 +18,7 @@ from sheetwise.plans.fixtures import duckdb_sql, load
 from sheetwise.plans.oracles import CX, CY, B, L, R, T
 from sheetwise.runtime import cut, forget, shared_dir
 from sheetwise.schema import BOX, COCO, LABEL_STUDIO
-from sheetwise.sources import formats
+from sheetwise.sources import files, formats, quarantine
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -607,6 +607,72 @@ def detections_files(spark: SparkSession, d: str) -> DataFrame:
     return read.select(F.regexp_extract("origin", "sheet_id=(\\d+)", 1).cast("long").alias("sheet_id"), "category", *BOX, "kp_x", "kp_y", "confidence", "ord")
 
 
+@query(f"select concat(sheet_id, '.txt') as name, string_agg({_yolo_sql('%.6f')}, chr(10) order by det_id) as content from det group by sheet_id")
+def yolo_image_files(spark: SparkSession, d: str) -> DataFrame:
+    """A file of lines for each image, read back whole with its name."""
+    path = _new_folder(spark)
+    rows = formats.yolo_box_lines(_on_sheet(spark, d), load(spark, d, "classes"), 6)
+    files.write_yolo_files(rows.withColumn("image", F.col("sheet_id")), path)
+    return spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").select(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("name"), F.col("value").alias("content"))
+
+
+@query(f"select sheet_id, category, {EDGES}, kp_x, kp_y, confidence, row_number() over (partition by sheet_id order by det_id) - 1 as ord from det")
+def detection_image_files(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON file of detections for each sheet, read back."""
+    path = _new_folder(spark)
+    files.write_detection_files(load(spark, d, "det"), path, "keypoint")
+    return files.read_named_detections(spark, path, "keypoint").select("sheet_id", "category", *BOX, "kp_x", "kp_y", "confidence", "ord")
+
+
+#: Lines of which some lack a field, name an unknown class or hold a word for a number; by the detection's number.
+_SPOILED = f"(select *, det_id % 7 as fault, {_yolo_sql('%.9f')} as plain from det)"
+_SPOIL = {0: "regexp_replace(plain, ' [^ ]*$', '')", 1: "concat('99', substr(plain, 2))", 2: "concat(plain, 'x')"}
+_SPOILED_LINE = "case " + " ".join(f"when fault = {k} then {v}" for k, v in _SPOIL.items()) + " else plain end"
+
+
+def _spoiled(spark: SparkSession, d: str) -> DataFrame:
+    lines = formats.yolo_box_lines(_on_sheet(spark, d), load(spark, d, "classes"), 9).withColumnRenamed("line", "plain").withColumn("fault", F.col("det_id") % 7)
+    return lines.select("det_id", F.concat(F.lit("sheet"), F.col("sheet_id").cast("string")).alias("origin"), "width", "height", F.expr(_SPOILED_LINE).alias("line"))
+
+
+@query(f"select det_id, origin, category, {EDGES} from (select *, concat('sheet', sheet_id) as origin from {_SPOILED}) q where fault > 2")
+def yolo_accepted(spark: SparkSession, d: str) -> DataFrame:
+    """Good lines among bad ones."""
+    good = quarantine.check_yolo(_spoiled(spark, d), load(spark, d, "classes")).good
+    return good.select("det_id", "origin", "category", *[F.round(c, 3).alias(c) for c in BOX])
+
+
+@query(f"select {_SPOILED_LINE} as line, concat('sheet', sheet_id) as origin, case fault when 0 then 'fields' when 1 then 'class' else 'number' end as reason from {_SPOILED} q where fault <= 2")
+def yolo_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """What is set aside of the same lines."""
+    return quarantine.check_yolo(_spoiled(spark, d), load(spark, d, "classes")).rejects
+
+
+def _spoiled_coco(spark: SparkSession, d: str) -> DataFrame:
+    """A COCO document for each sheet; every fifth annotation has an unknown category, another fifth three numbers; every tenth document is cut short."""
+    c = F.col
+    names = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct(i.alias("id"), i.cast("string").alias("name")))
+    box = F.array(c("left"), c("top"), c("right") - c("left"), c("bottom") - c("top"))
+    ann = F.struct(
+        c("det_id").alias("id"), c("sheet_id").alias("image_id"), F.when(c("det_id") % 5 == 1, 77).otherwise(c("category").cast("int")).alias("category_id"), F.when(c("det_id") % 5 == 2, F.slice(box, 1, 3)).otherwise(box).alias("bbox")
+    )
+    texts = load(spark, d, "det").groupBy("sheet_id").agg(F.to_json(F.struct(F.collect_list(ann).alias("annotations"), names.alias("categories"))).alias("json"))
+    return texts.select("sheet_id", F.concat(F.lit("doc"), c("sheet_id").cast("string")).alias("origin"), F.when(c("sheet_id") % 10 == 3, F.substring("json", 1, 40)).otherwise(c("json")).alias("json"))
+
+
+@query(f"select sheet_id, det_id as ann_id, category, {EDGES} from det where det_id % 5 not in (1, 2) and sheet_id % 10 <> 3")
+def coco_accepted(spark: SparkSession, d: str) -> DataFrame:
+    """Good annotations of COCO documents with bad ones."""
+    return quarantine.check_coco(_spoiled_coco(spark, d)).good.select("sheet_id", "ann_id", "category", *BOX)
+
+
+@query("""select origin, reason, count(*) as n from (select concat('doc', sheet_id) as origin, case when det_id % 5 = 1 then 'category' else 'box' end as reason from det where det_id % 5 in (1, 2) and sheet_id % 10 <> 3
+ union all select concat('doc', sheet_id), 'document' from (select distinct sheet_id from det) s where sheet_id % 10 = 3) q group by origin, reason""")
+def coco_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """How many annotations and documents are set aside, and why."""
+    return quarantine.check_coco(_spoiled_coco(spark, d)).rejects.groupBy("origin", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("select cast(sheet_id as varchar) as form, name, cx, cy from code_centroids cross join sheets")
 def read_centroids(spark: SparkSession, d: str) -> DataFrame:
     pairs = F.map_from_entries(F.collect_list(F.struct("name", F.array("cx", "cy"))))
