@@ -24,10 +24,11 @@ def overlap_pairs(det: DataFrame, metric: str | Callable[[str, str], Column], le
     their overlap begins, so no pair comes twice. ``by`` names columns that must also be equal; ``strict`` asks for more than ``least``.
     """
     measure = G.METRICS[metric] if isinstance(metric, str) else metric
-    boxes = det.where(G.box_status() == "ok").select(*keys, *by, F.col(order).alias("o"), *BOX).withColumn("own", grid_level(cell))
+    # Written, as both sides and the levels read it; Spark would estimate the exploded sides too low, hence the hint.
+    boxes = cut(det.sparkSession, det.where(G.box_status() == "ok").select(*keys, *by, F.col(order).alias("o"), *BOX).withColumn("own", grid_level(cell)))
     levels = sorted(r.own for r in boxes.select("own").distinct().collect())
     at = lambda edge, size: F.floor(edge / size)
-    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+    size = F.lit(cell) * F.expr("shiftleft(1L, level)")
 
     def dealt(rows: DataFrame, p: str) -> DataFrame:
         rows = rows.withColumn("cell_x", F.explode(F.sequence(at(F.col("left"), size), at(F.col("right"), size)))).withColumn("cell_y", F.explode(F.sequence(at(F.col("top"), size), at(F.col("bottom"), size))))
@@ -35,7 +36,7 @@ def overlap_pairs(det: DataFrame, metric: str | Callable[[str, str], Column], le
 
     coarser = boxes.withColumn("level", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= F.col("own")))) if len(levels) > 1 else boxes.withColumn("level", F.col("own"))
     visitors, owners = dealt(coarser, "a_"), dealt(boxes.withColumn("level", F.col("own")), "b_")
-    pairs = visitors.join(owners, [*keys, *by, "level", "cell_x", "cell_y"]).where("a_own < b_own or a_o < b_o")
+    pairs = visitors.join(owners.hint("merge"), [*keys, *by, "level", "cell_x", "cell_y"]).where("a_own < b_own or a_o < b_o")
     here = (at(F.greatest("a_left", "b_left"), size) == F.col("cell_x")) & (at(F.greatest("a_top", "b_top"), size) == F.col("cell_y"))
     found = pairs.where(here).withColumn("overlap", measure("a_", "b_")).where(F.col("overlap") > least if strict else F.col("overlap") >= least)
     return found.select(*keys, F.least("a_o", "b_o").alias("hi"), F.greatest("a_o", "b_o").alias("lo"), "overlap")
@@ -134,14 +135,14 @@ def suppress(det: DataFrame, least: float = 0.5, metric: str | Callable[[str, st
 
     ``ord`` becomes the place by score, from 0.
     """
-    ranked = rank_by_score(det, F.col("confidence") if score is None else score, keys)
+    ranked = cut(det.sparkSession, rank_by_score(det, F.col("confidence") if score is None else score, keys))
     kept = _without(ranked, greedy(overlap_pairs(ranked, metric, least, keys=keys, order="rank", cell=cell), keys), keys)
     return kept.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("rank")).cast("long") - 1).drop("rank")
 
 
 def suppress_by_class(det: DataFrame, least: float = 0.1, keys: tuple[str, ...] = KEYS, cell: float = 64.0) -> DataFrame:
     """Greedy suppression within a category: drops what overlaps a kept, more confident row by IoU over ``least``. ``ord`` stays."""
-    ranked = rank_by_score(det, F.col("confidence"), keys)
+    ranked = cut(det.sparkSession, rank_by_score(det, F.col("confidence"), keys))
     return _without(ranked, greedy(overlap_pairs(ranked, "iou", least, True, ("category",), keys, "rank", cell), keys), keys).drop("rank")
 
 
