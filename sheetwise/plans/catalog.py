@@ -766,10 +766,10 @@ def detect_with_tiling(spark: SparkSession, d: str) -> DataFrame:
     return decode.detect_with_tiling(_painted(spark, d), bright_spots).select("sheet_id", "category", *BOX, "confidence", "ord")
 
 
-@query(f"select sheet_id, source, count(*) as n, sum(cast(g as double)) as sum_left from {_SPOTS} t cross join (values ('numbers'), ('checkboxes')) v(source) group by sheet_id, source")
+@query(f"select sheet_id, source, cast(x % 10 as varchar) as category, cast(g as double) as {L}, cast(3 * r as double) as {T}, g + 1e0 as {R}, 3 * r + 4e0 as {B}, 0.9e0 as confidence, ord from {_SPOTS} t cross join (values ('numbers'), ('checkboxes')) v(source)")
 def score_side(spark: SparkSession, d: str) -> DataFrame:
     models = {"numbers": (bright_spots, False), "checkboxes": (bright_spots, False)}
-    return assemble.score_side(_painted(spark, d), models).groupBy("sheet_id", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("left").alias("sum_left"))
+    return assemble.score_side(_painted(spark, d), models).select("sheet_id", "source", "category", *BOX, "confidence", "ord")
 
 
 # Whole sheets ----------------------------------------------------------------------------------------------------------------
@@ -804,34 +804,49 @@ def interpret_sheets(spark: SparkSession, d: str) -> DataFrame:
 
 # Images to records -----------------------------------------------------------------------------------------------------------
 
-LINE = 120
+#: Pixels of a spelled detection, detections in a row of pixels, and rows of a tile.
+LINE, IN_ROW, TILE_ROWS = 160, 2, 16
 
 
 def written_detections(source: str, points: bool = False) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A stand-in for a source's model: reads the detections that stand as text in an image's pixels, a row of pixels for each."""
+    """A stand-in for a source's model: reads the detections that stand as text in a tile's pixels.
+
+    What a text says is relative to the pixel where it begins, so a detection's place in the image follows from the tile it was found in; one that several tiles show is found in each.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in pdf.itertuples(index=False):
-            if row.tile_row == 0 and row.tile_col == 0:
-                text = bytes(row.data).decode()
-                for pos, i in enumerate(range(0, len(text), LINE)):
-                    of, category, *numbers = text[i : i + LINE].strip(" \x00").split("|")
-                    if of == source:
-                        out.append((row.sheet_id, 0, 0, pos, category, *map(float, numbers)))
-        frame = pd.DataFrame(out, columns=["sheet_id", "tile_row", "tile_col", "pos", "category", *BOX, "confidence"])
-        return frame.assign(kp_x=0.0, kp_y=0.0) if points else frame
+            tile = np.frombuffer(row.data, np.uint8).reshape(row.slice_h, row.slice_w)
+            for y in range(row.slice_h):
+                for x in range(0, row.slice_w, LINE):
+                    text = tile[y, x : x + LINE].tobytes().strip(b" \x00").decode()
+                    if text.startswith(f"{source}|"):
+                        _, category, confidence, *offsets = text.split("|")
+                        at = [float(v) + (x, y)[i % 2] if v else None for i, v in enumerate(offsets)]
+                        out.append((row.sheet_id, row.tile_row, row.tile_col, y * IN_ROW + x // LINE, category, *at[:4], float(confidence), *at[4:]))
+        frame = pd.DataFrame(out, columns=["sheet_id", "tile_row", "tile_col", "pos", "category", *BOX, "confidence", "kp_x", "kp_y"])
+        return frame.astype({"kp_x": float, "kp_y": float}) if points else frame.drop(columns=["kp_x", "kp_y"])
 
     return run
 
 
+#: All detections but the second marks of checkboxes, which a model's suppression of duplicates would drop.
+_SHOWN = "(det_id not between 70000 and 79999 or det_id % 4 = 0)"
+
+
 def _photographed(spark: SparkSession, d: str, det: str) -> DataFrame:
-    """One-channel images whose pixels spell a side's corners, digits and the first mark of each checkbox."""
-    rows = load(spark, d, det).where("det_id >= 90000 or det_id between 10000 and 19999 or (det_id >= 70000 and det_id < 80000 and det_id % 4 = 0)")
-    line = F.rpad(F.concat_ws("|", "source", "category", *[F.col(c).cast("string") for c in (*BOX, "confidence")]), LINE, " ")
-    text = rows.groupBy("sheet_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("text"), F.count(F.lit(1)).cast("int").alias("height"))
-    half = F.lit(0.5)
-    return text.select("sheet_id", F.lit(LINE).alias("width"), "height", F.lit(1).alias("nChannels"), F.col("text").cast("binary").alias("data"), F.lit(LINE).alias("slice_w"), F.col("height").alias("slice_h"), half.alias("ov_x"), half.alias("ov_y"))
+    """One-channel images whose pixels spell all detections of a side, two in a row; tiles overlap by half in both directions."""
+    rows = load(spark, d, det).where(_SHOWN)
+    placed = rows.withColumn("_i", F.row_number().over(Window.partitionBy("sheet_id").orderBy("det_id", "source")) - 1)
+    x, y = F.col("_i") % IN_ROW * LINE, F.floor(F.col("_i") / IN_ROW)
+    offset = lambda c, o: F.coalesce((F.col(c) - o).cast("string"), F.lit(""))
+    offsets = [offset(c, o) for c, o in (("left", x), ("top", y), ("right", x), ("bottom", y), ("kp_x", x), ("kp_y", y))]
+    line = F.rpad(F.concat_ws("|", "source", "category", F.col("confidence").cast("string"), *offsets), LINE, " ")
+    text = placed.groupBy("sheet_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", line.alias("line")))), lambda z: z["line"]), "").alias("text"), F.count(F.lit(1)).alias("n"))
+    height = F.greatest(F.ceil(F.col("n") / IN_ROW).cast("int"), F.lit(TILE_ROWS))
+    half, width = F.lit(0.5), F.lit(IN_ROW * LINE)
+    return text.select("sheet_id", width.alias("width"), height.alias("height"), F.lit(1).alias("nChannels"), F.rpad("text", height * width, " ").cast("binary").alias("data"), width.alias("slice_w"), F.lit(TILE_ROWS).alias("slice_h"), half.alias("ov_x"), half.alias("ov_y"))
 
 
 def _factories(sources: tuple[str, ...]) -> dict[str, Callable]:
@@ -845,7 +860,7 @@ def _digitized(spark: SparkSession, d: str, nested: bool) -> DataFrame:
 
 _FIRST_MARKS = "(select * from box_marks where det_id % 4 = 0)"
 _OF_FRONT = "section in ('codes', 'ett_size') or (section = 'timing' and contains(key, '_'))"
-_DIGIT_FRONT = f"(select * from field_facts where {_OF_FRONT} union all {O.boxes(_FIRST_MARKS, 'front_checkboxes')}) ff"
+_DIGIT_FRONT = f"(select * from front_facts where section <> 'checkboxes' union all {O.boxes(_FIRST_MARKS, 'front_checkboxes')}) ff"
 _DIGIT_BACK = f"(select * from field_facts where not ({_OF_FRONT}) union all {O.boxes(_FIRST_MARKS, 'back_checkboxes')}) bf"
 
 
@@ -863,10 +878,12 @@ def digitize_sheets_flat(spark: SparkSession, d: str) -> DataFrame:
     return _digitized(spark, d, False)
 
 
-@query("""select sheet_id, side, source, count(*) as n from (
- select sheet_id, 'intraoperative' as side, source from front_det where det_id >= 90000 or det_id between 10000 and 19999 or (det_id >= 70000 and det_id < 80000 and det_id % 4 = 0)
- union all select sheet_id, 'preoperative_postoperative', source from back_det where det_id >= 90000 or det_id between 10000 and 19999 or (det_id >= 70000 and det_id < 80000 and det_id % 4 = 0)) q group by sheet_id, side, source""")
+_POINTS = ", ".join(f"case when source in ({O.members(list(assemble.KEYPOINT_SOURCES))}) then {c} end as {c}" for c in ("kp_x", "kp_y"))
+
+
+@query(f"""select sheet_id, 'intraoperative' as side, source, category, {EDGES}, {_POINTS}, confidence from front_det where {_SHOWN}
+union all select sheet_id, 'preoperative_postoperative', source, category, {EDGES}, {_POINTS}, confidence from back_det where {_SHOWN}""")
 def score_sheets(spark: SparkSession, d: str) -> DataFrame:
-    """Both sets of models over both sides' images."""
+    """Both sets of models over both sides' images: every detection once, at its place in the image."""
     found = assemble.score_sheets(_photographed(spark, d, "front_det"), _photographed(spark, d, "back_det"), _factories(assemble.FRONT_SOURCES), _factories(assemble.BACK_SOURCES))
-    return found.groupBy("sheet_id", "side", "source").agg(F.count(F.lit(1)).alias("n"))
+    return found.select("sheet_id", "side", "source", "category", *BOX, "kp_x", "kp_y", "confidence")
