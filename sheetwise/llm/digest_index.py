@@ -3,7 +3,8 @@
 The index is a Parquet table ``(digest, keep_id)`` clustered and sorted by digest. New documents are grouped by
 the SHA-256 of their normalised text, a sort-merge anti-join finds the digests that the index lacks, and those are
 appended. The index side of that join needs no shuffle, as its buckets are the join's partitions. An append that
-is lost with its driver can be repeated: what was committed is found again by the anti-join.
+is lost with its driver can be repeated: what was committed is found again by the anti-join. Each append adds a sorted file to every bucket; :meth:`DigestIndex.compact` makes them
+one file each again, so that a bucket is sorted as a whole.
 
 Edge cases: null text counts as empty; a very long text is hashed whole. Bytes that are no UTF-8 are hashed as they are. No two ids can tie: of equal ids, all
 rows are kept. Rows with a null id are grouped too; a group of null ids only has a null
@@ -30,7 +31,7 @@ def text_digest(text: Column) -> Column:
 class DigestIndex:
     """A digest index in table ``name``; with ``path``, the table is external and outlives the session's catalog.
 
-    ``buckets`` must be the same each time an existing index is opened.
+    ``buckets`` must be the same each time an existing index is opened; another number is an error.
     """
 
     def __init__(self, spark: SparkSession, name: str, buckets: int = 64, path: str | None = None):
@@ -40,6 +41,9 @@ class DigestIndex:
             f"CREATE TABLE IF NOT EXISTS {name} (digest STRING, keep_id BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS {where}"
         )
+        has = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}.get("Num Buckets")
+        if has != str(int(buckets)):
+            raise ValueError(f"index {name} has {has} buckets, not {buckets}")
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -48,6 +52,11 @@ class DigestIndex:
         """Forget the index; with a ``path`` its files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
+    def compact(self) -> None:
+        """Rewrite each bucket as one sorted file, from a copy in the shared folder that stays until the application ends."""
+        held = cut(self.spark, self.rows())
+        held.select("digest", "keep_id").repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name, overwrite=True)
+
     def append_new(self, groups: DataFrame) -> None:
         """Append the rows of ``groups`` (digest, keep_id; each digest once) whose digest the index lacks."""
         fresh = groups.select("digest", "keep_id").join(self.rows().hint("merge"), "digest", "left_anti")
@@ -67,3 +76,14 @@ class DigestIndex:
         return rows.join(known.hint("merge"), "digest").select(
             "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256")
         )
+
+    @staticmethod
+    def over_batches(*found: DataFrame) -> DataFrame:
+        """Results of several batches of one corpus as if they had been one: the smallest id of all a group's rows stays, and ``group_size`` counts them all."""
+        every = found[0]
+        for f in found[1:]:
+            every = every.unionByName(f)
+        every = cut(every.sparkSession, every.select("doc_id", "text_sha256"))
+        groups = cut(every.sparkSession, every.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+        kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
+        return every.join(groups.hint("merge"), "text_sha256").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")

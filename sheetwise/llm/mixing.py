@@ -6,15 +6,17 @@ their weights. As a node is never given more than its subtree can supply, a shor
 children only when all siblings are used up. Shares are rounded down to whole tokens.
 
 A leaf takes its budget as whole epochs of all its documents, and of the next epoch a token-prefix: documents in the order
-of a seeded hash of epoch and id, up to the last that still fits. The place where a leaf's prefix ends is found from sums over
-256 hash buckets, then over the 256 within one of them, so only the documents of one bucket of each leaf (1 in 65,536) are ever sorted, and rows are then
-selected by comparing their own hash with that place, without a join on ids.
+of a seeded hash of epoch, id and text, up to the last that still fits. The place where a leaf's prefix ends is found from sums over
+256 hash buckets, then over the 256 within one of them, so only the places of one bucket of each leaf (1 in 65,536) are ever sorted, and rows are then
+selected by comparing their own hash with that place, without a join on ids. Rows with equal id and text share a place and are summed before sorting. Where
+the prefix ends within such a place, as many of its rows are taken as fit, in the order of a hash of the whole row; rows that are equal in all columns are interchangeable there, so one stands for them with
+the number that is taken, and none has to be numbered.
 
 Tokens are runs of characters other than space and \\t-\\r.
 
 Edge cases: a null text has no tokens, and a document without tokens is taken with the prefix it falls in. A null language or source
-is the leaf ``und``. Rows with the same id are one document for the order: all are taken or none. A null id sorts as
-the text ``null``; a very long text is counted whole. Ties in the order of an epoch cannot be, as it ends with the id; siblings with equal
+is the leaf ``und``. Rows with the same id or without one are documents of their own; a null id sorts as
+the text ``null`` and a null text as an empty one; a very long text is counted and hashed whole. Siblings with equal
 capacity per weight are taken by name. Weights are whole numbers from 0; names without one have the default 1; a node of weight 0 gets nothing. An
 empty table gives an empty one. Columns of the input never clash with the operator's.
 """
@@ -61,10 +63,10 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
-def turn(seed: int, epoch: Column, doc_id: Column) -> Column:
-    """Place of a document in an epoch's order: a hash, then the id."""
+def turn(seed: int, epoch: Column, doc_id: Column, text_md5: Column) -> Column:
+    """Place of a document in an epoch's order: a hash of its id and text, then the id."""
     name = F.coalesce(doc_id.cast("string"), F.lit("null"))
-    return F.concat_ws("-", F.md5(F.concat_ws("-", F.lit(str(seed)), epoch.cast("string"), name)), name)
+    return F.concat_ws("-", F.md5(F.concat_ws("-", F.lit(str(seed)), epoch.cast("string"), name, text_md5)), name)
 
 
 def share_out(nodes: DataFrame, parent: list[str], budget: str = "budget", capacity: str = "capacity", weight: str = "weight") -> DataFrame:
@@ -124,27 +126,39 @@ def mix_sources(docs: DataFrame, mix: Mix, domain: Column, language: Column, sou
     tagged = docs.select(
         F.struct("*").alias("_row"),
         F.coalesce(domain, F.lit("und")).alias("domain"), F.coalesce(language, F.lit("und")).alias("language"), F.coalesce(source, F.lit("und")).alias("origin"),
-        token_count(F.col(text)).alias("n_tokens"), F.col(doc_id).alias("_id"),
+        token_count(F.col(text)).alias("n_tokens"), F.col(doc_id).alias("_id"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_text"),
     )
     slim = cut(spark, tagged.drop("_row"))
     leaves = slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     plan = leaf_budgets(leaves, mix).withColumn("epochs", F.coalesce(F.expr("budget div nullif(tokens, 0)"), F.lit(0)).cast("int"))
     plan = cut(spark, plan.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")))
-    place = turn(mix.seed, F.col("epochs"), F.col("_id"))
+    place = turn(mix.seed, F.col("epochs"), F.col("_id"), F.col("_text"))
     wanting = slim.join(_small(plan.where("rest > 0")), list(LEVELS)).withColumns({"place": place, "before": F.lit(0).cast("long")})
     coarse = cut(spark, first_beyond(wanting, 2))
     near = wanting.drop("before").join(_small(coarse), list(LEVELS)).where(F.substring("place", 1, 2) == F.col("bucket")).drop("bucket")
     last = cut(spark, first_beyond(near, 4))
     inside = wanting.drop("before").join(_small(last), list(LEVELS)).where(F.substring("place", 1, 4) == F.col("bucket"))
-    by_place = Window.partitionBy(*LEVELS).orderBy("place")
-    fits = inside.withColumn("upto", F.col("before") + F.sum("n_tokens").over(by_place)).where("upto <= rest").groupBy(*LEVELS).agg(F.max("place").alias("fits"))
+    # Rows that share a place are one row here: its tokens, and how many rows.
+    places = inside.groupBy(*LEVELS, "rest", "before", "place").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("each"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("place"))
+    found = places.withColumn("upto", upto).groupBy(*LEVELS).agg(
+        F.max(F.when(F.col("upto") <= F.col("rest"), F.col("place"))).alias("fits"),
+        F.min(F.when(F.col("upto") > F.col("rest"), F.struct("place", F.expr("(rest - upto + n) div each").alias("room")))).alias("next"),
+    )
     last = last.select(*LEVELS, F.col("bucket").alias("last_bucket"))
-    ends = cut(spark, plan.join(last, list(LEVELS), "left").join(fits, list(LEVELS), "left").select(
+    ends = cut(spark, plan.join(last, list(LEVELS), "left").join(found, list(LEVELS), "left").select(
         *LEVELS, "epochs", "rest",
         # Without a last bucket, all that is left fits; without a document that fits in it, the prefix ends before the bucket.
-        F.when(F.col("last_bucket").isNull(), F.lit("g")).otherwise(F.coalesce("fits", "last_bucket")).alias("ends"),
+        F.when(F.col("last_bucket").isNull(), F.lit("g")).otherwise(F.coalesce("fits", "last_bucket")).alias("ends"), F.when(F.col("next.room") > 0, F.col("next.place")).alias("within"), F.col("next.room").alias("room"),
     ))
-    row = tagged.join(_small(ends), list(LEVELS))
-    partial = (F.col("rest") > 0) & (turn(mix.seed, F.col("epochs"), F.col("_id")) <= F.col("ends"))
+    row = tagged.join(_small(ends), list(LEVELS)).withColumn("_place", place)
+    partial = (F.col("rest") > 0) & (F.col("_place") <= F.col("ends"))
     times = F.col("epochs") + F.when(partial, 1).otherwise(0)
-    return row.where(times > 0).select("_row", *LEVELS, "n_tokens", F.explode(F.sequence(F.lit(0), times - 1)).alias("epoch"))
+    taken = row.where(times > 0).select("_row", *LEVELS, "n_tokens", F.explode(F.sequence(F.lit(0), times - 1)).alias("epoch"))
+    if ends.where("within is not null").isEmpty():
+        return taken
+    # Of the rows that share the place where a prefix ends, those that fit: equal rows are counted, the others ordered by a hash of all they hold.
+    same = row.where(F.col("_place") == F.col("within")).groupBy(*LEVELS, "n_tokens", "epochs", "room", F.sha2(F.to_json("_row"), 256).alias("_hash")).agg(F.first("_row").alias("_row"), F.count(F.lit(1)).alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy(*LEVELS).orderBy("_hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    some = same.withColumn("_take", F.least("_n", F.col("room") - ahead)).where("_take > 0")
+    return taken.unionByName(some.select("_row", *LEVELS, "n_tokens", F.col("epochs").alias("epoch"), F.explode(F.sequence(F.lit(1).cast("long"), "_take")).alias("_i")).drop("_i"))

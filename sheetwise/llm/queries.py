@@ -30,8 +30,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index is filled with one half of the documents, the other half is deduplicated against it, and groups are reduced over both."""
+    docs = table(spark, sf_dir, "documents")
     index = digest_index.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = index.deduplicate(table(spark, sf_dir, "documents"))
+    late = F.coalesce(id_remainder("doc_id", 2) == 1, F.lit(False))
+    batches = [index.deduplicate(docs.where(part)) for part in (~late, late)]
+    found = index.over_batches(*batches)
     index.drop()  # the query's own; the result no longer reads it
     return found
 
@@ -162,9 +166,10 @@ top as (select least(cast(coalesce(sum(tokens), 0) as bigint) * {mix.numerator}
 {_level_sql('lev2', levels[:2], 'lev1', mix.languages)},
 {_level_sql('lev3', levels, 'lev2', mix.sources)},
 plan as (select domain, language, origin, cast(coalesce(budget // nullif(tokens, 0), 0) as integer) as epochs, budget - coalesce(budget // nullif(tokens, 0), 0) * tokens as rest from leaves join lev3 using (domain, language, origin)),
-placed as (select *, concat_ws('-', md5(concat_ws('-', '{mix.seed}', cast(epochs as varchar), coalesce(cast(doc_id as varchar), 'null'))), coalesce(cast(doc_id as varchar), 'null')) as place from d join plan using (domain, language, origin)),
-ordered as (select *, sum(n_tokens) over (partition by domain, language, origin order by place) as upto from placed),
-taken as (select *, epochs + case when rest > 0 and upto <= rest then 1 else 0 end as times from ordered)"""
+placed as (select *, concat_ws('-', md5(concat_ws('-', '{mix.seed}', cast(epochs as varchar), coalesce(cast(doc_id as varchar), 'null'), md5(coalesce(text, '')))), coalesce(cast(doc_id as varchar), 'null')) as place from d join plan using (domain, language, origin)),
+ordered as (select *, sum(n_tokens) over (partition by domain, language, origin order by place) as upto, count(*) over (partition by domain, language, origin, place) as same,
+  row_number() over (partition by domain, language, origin, place order by doc_id) as nth from placed),
+taken as (select *, epochs + case when rest > 0 and (upto <= rest or upto - (same - nth) * n_tokens <= rest) then 1 else 0 end as times from ordered)"""
 
 
 ORACLE: dict[str, str] = {

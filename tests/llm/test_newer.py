@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sheetwise.llm import prefix_trie, queries, token_counts, whitening
+from sheetwise.llm import digest_index, mixing, prefix_trie, queries, token_counts, whitening
 from test_queries import SF, SMALL, table
 
 
@@ -239,3 +239,55 @@ def test_newer_queries_are_registered():
     import __spark_entry__ as entry
 
     assert {"op11_whitening", "op12_prefix_trie", "op13_token_counts"} <= set(entry.queries()) and "op12_prefix_trie" in entry.oracle_sql()
+
+
+# Ties in mixing, and the digest index over batches ---------------------------------------------------------------------------
+
+@pytest.mark.parametrize("hot, same, seeds", [(None, 400, 20), (7, 1000, 2), (None, 1000, 2), (None, 0, 1)])
+def test_mixing_meets_its_budget_whatever_the_ids(spark, hot, same, seeds):
+    """1,000 equal rows of one leaf, some or all of them without an id or with one id: whole rows up to the budget."""
+    rows = [(hot if i < same else i, "a b c d e f g h i j", i % 2 if hot else 1) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part int").repartition(4)
+    for seed in range(seeds):
+        mix = mixing.Mix(numerator=3005, denominator=10_000, seed=seed)
+        got = mixing.mix_sources(df, mix, F.lit("d"), F.lit("l"), F.lit("s")).agg(F.sum("n_tokens").alias("n"), F.max("epoch").alias("e")).first()
+        assert (got.n, got.e) == (3000, 0)
+
+
+def test_mixing_takes_rows_of_one_place_as_the_sql_does(spark):
+    """Repeated rows over two epochs: as many rows of each id as the SQL takes."""
+    import duckdb
+
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice(["a b", "a b c", "", None]), rng.choice(["en", "de"]), "src0", 1) for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    for seed in range(6):
+        mix = mixing.Mix({}, {"en": 3}, {}, 11, 10, 2, seed)
+        got = queries.mixed(df, mix).groupBy("_row.doc_id", "_row.text", "language", "epoch").count().collect()
+        c = duckdb.connect()
+        c.register("documents", df.toArrow())
+        want = c.sql(f"with {queries.mix_ctes(mix, 'documents')} select doc_id, text, language, epoch, count(*) from (select *, unnest(range(times)) as epoch from taken) group by all").fetchall()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and want
+
+
+def test_digest_index_over_batches_compacted(spark):
+    name = "batches_index"
+    index = digest_index.DigestIndex(spark, name, 3)
+    rows = [(i, f"text  {i % 17}" if i % 2 else f"text {i % 17}", "x") for i in range(100)] + [(None, "text 3", "x"), (None, None, "x"), (55, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    files = lambda: len([r for r in index.rows().select(F.input_file_name().alias("f")).distinct().collect()])
+    parts = [index.deduplicate(df.where(F.coalesce(F.col("doc_id") % 3, F.lit(0)) == k)) for k in (2, 1, 0)]
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in index.over_batches(*parts).collect()}
+    groups = {}
+    for i, t, _ in rows:
+        groups.setdefault(" ".join((t or "").split(" ")).replace("  ", " "), []).append(i)
+    want = {(i, min((x for x in g if x is not None), default=None), len(g), i is not None and i == min(x for x in g if x is not None)) for g in groups.values() for i in g}
+    assert got == want
+    held, before = sorted(map(tuple, index.rows().collect())), files()
+    index.compact()
+    assert sorted(map(tuple, index.rows().collect())) == held and files() <= 3 < before
+    again = index.deduplicate(df)
+    assert again.where("kept").count() <= 18 and index.rows().count() == len(held)
+    with pytest.raises(ValueError, match="3 buckets"):
+        digest_index.DigestIndex(spark, name, 4)
+    index.drop()
