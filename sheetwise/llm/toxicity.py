@@ -6,6 +6,10 @@ Embeddings and softmax are trained together, so a misspelling that was never see
 In the mean a bucket counts by its rarity among the training texts, and not at all if fewer than ``LEAST`` of them have it. All embeddings share one
 step size: with a step of its own for each bucket, as in plain Adam, buckets of one or two texts learn those texts by heart.
 
+A text is judged by its windows of ``WORDS`` words, all of them: the largest score counts, so that a few toxic lines of a long text are not averaged away. Training sees each text twice, whole and
+as the window that a first model scores highest. How far scores must be moved for 0.7 to part the classes best (a false alarm weighs as ``ALARM`` misses) is read from the learning rows alone: two models,
+each trained on one half of them, score the other half.
+
 Training takes at most ``sample`` labelled rows of each class and a stated number of bytes of their bags, in the order of a hash. As everything after the mean
 is linear, scoring needs one number for each bucket: its embedding times the difference of the two softmax rows.
 
@@ -31,6 +35,8 @@ from sheetwise.runtime import scratch, ship
 BITS, SIZES, DIMS, PAD, LEAST = 17, (3, 4, 5, 6), 4, 3000, 8
 #: Means are over thousands of subwords; this factor brings them near 1.
 SCALE = 100.0
+#: Words of a window; the score that parts the classes; misses that weigh as much as one false alarm.
+WORDS, PARTS_AT, ALARM = 200, 0.7, 10
 #: Bytes as parts of words in lower case, all else as a space; and which bytes are parts of words.
 FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)], np.uint8)
 WORD = (np.arange(256) != 0x20).astype(np.uint8)
@@ -60,6 +66,24 @@ def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return text, bounds
 
 
+def windows(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of all texts' windows of so many words, and the place of each text's first window; a text without words is one window."""
+    n = len(offsets) - 1
+    word = WORD[FOLD[data]].astype(bool)
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    inner = offsets[:-1]
+    inner = inner[inner < len(data)]
+    begins[inner] = word[inner]
+    start = np.flatnonzero(begins)
+    text = np.searchsorted(offsets, start, "right") - 1
+    place = np.arange(len(start)) - np.searchsorted(start, offsets)[text]
+    cut = (place % words == 0) & (place > 0)
+    own, at = np.concatenate((np.arange(n), text[cut])), np.concatenate((offsets[:-1], start[cut]))
+    order = np.lexsort((at, own))
+    return np.concatenate((at[order], offsets[-1:])), np.concatenate(([0], np.cumsum(np.bincount(own, minlength=n))))
+
+
 def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """(number of subwords of each text, for each size the buckets and their offsets by text)."""
     n = len(offsets) - 1
@@ -92,12 +116,22 @@ class Model:
     weight: np.ndarray
     bias: float
 
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         count, parts = subwords(data, offsets)
         total = np.zeros(len(count))
         for b, where in parts:
             total += sums(self.weight[b], where, np.float64)
-        return 1 / (1 + np.exp(-np.clip(self.bias + SCALE * total / count, -50, 50)))
+        return self.bias + SCALE * total / count
+
+    def highest(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The largest logit of each text's windows."""
+        if len(offsets) < 2:
+            return np.zeros(0)
+        fine, at = windows(data, offsets)
+        return np.maximum.reduceat(self.logits(data, fine), at[:-1])
+
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.highest(data, offsets), -50, 50)))
 
 
 def bags(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
@@ -108,6 +142,28 @@ def bags(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, bytes]]
         yield own.astype(np.int32).tobytes(), (times / n).astype(np.float32).tobytes()
 
 
+def window_bags(model: Model, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+    """:func:`bags` of the window of each text that a model scores highest, the first of equals."""
+    fine, at = windows(data, offsets)
+    logit = model.logits(data, fine)
+    best = {a + int(logit[a:b].argmax()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())}
+    for i, bag in enumerate(bags(data, fine)):
+        if i in best:
+            yield bag
+
+
+def parting(logit: np.ndarray, y: np.ndarray) -> float:
+    """The logit from which on texts are called toxic with the least cost; the middle of the best gap."""
+    order = np.argsort(logit)
+    z, toxic = logit[order], y[order] == 1
+    # Calling the first i texts clean misses the toxic ones among them, and alarms at the clean ones after.
+    cost = np.concatenate(([0], np.cumsum(toxic))) + ALARM * (np.sum(~toxic) - np.concatenate(([0], np.cumsum(~toxic))))
+    best = np.flatnonzero(cost == cost.min())
+    low, high = int(best[0]), int(best[-1])
+    edges = np.concatenate((z[:1] - 1, z, z[-1:] + 1))
+    return float((edges[low] + edges[high + 1]) / 2)
+
+
 def rarity(index: list[np.ndarray]) -> np.ndarray:
     """Weight of each bucket, 0 to 1: the log of its inverse share of the texts, over the log of their number."""
     seen = np.zeros(1 << BITS, np.int64)
@@ -157,9 +213,9 @@ def train(index: list[np.ndarray], share: list[np.ndarray], y: np.ndarray, epoch
 
 
 def learn_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 2500, max_bytes: int = 96 << 20
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 2500, max_bytes: int = 64 << 20
 ) -> Model:
-    """Train on at most ``sample`` rows of each class of ``labels`` (id, 0/1) and at most ``max_bytes`` of their bags.
+    """Train on at most ``sample`` rows of each class of ``labels`` (id, 0/1) and at most ``max_bytes`` of their bags, and as many of their windows' bags.
 
     Rows are taken in the order of a hash of id and text, so that each run takes the same ones.
     """
@@ -169,21 +225,11 @@ def learn_toxicity(
     turn = F.xxhash64(F.lit(9), "doc_id")
     ids = [marked.where(F.col("y") == y).orderBy(turn, "doc_id").limit(sample) for y in (0, 1)]
     chosen = ids[0].unionByName(ids[1])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made: list[tuple[bytes, bytes]] = []
-            for _, _, data, offsets in text_chunks(b.column(2)):
-                made += bags(data, offsets)
-            yield pa.record_batch(
-                [b.column(0), b.column(1), b.column(3), pa.array([len(x) + len(z) for x, z in made], pa.int64()), pa.array([x for x, _ in made], pa.binary()), pa.array([z for _, z in made], pa.binary())],
-                names=["doc_id", "y", "turn", "size", "ids", "shares"],
-            )
-
     # At most 2 * sample ids are broadcast. An id that many rows have gives many texts: these are bounded again, by rows of a class and by bytes.
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.select("y", F.xxhash64(F.lit(9), "doc_id", "text").alias("turn"), "text")
     with scratch(spark) as cut:
-        rows = cut(texts.select("doc_id", "y", "text", F.xxhash64(F.lit(9), "doc_id", "text").alias("turn")).mapInArrow(run, "doc_id long, y int, turn long, size long, ids binary, shares binary"))
+        rows = cut(_with_bags(texts, bags))
         first = [rows.where(F.col("y") == y).select("y", "turn", "size").orderBy("turn", "size").limit(sample) for y in (0, 1)]
         # 2 * sample rows of three numbers, classes taken in turn.
         order = Window.orderBy("place", "y")
@@ -191,11 +237,78 @@ def learn_toxicity(
         fit = ranked.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= max_bytes)
         last = {r.y: (r.n, r.turn) for r in fit.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("turn")).collect()}
         taken = [rows.where((F.col("y") == y) & (F.col("turn") <= turn)).orderBy("turn", "size").limit(n) for y, (n, turn) in sorted(last.items())]
-        got = [t.select("y", "ids", "shares").toArrow() for t in taken]
-    table = pa.concat_tables(got) if got else pa.table({"y": pa.array([], pa.int32()), "ids": pa.array([], pa.binary()), "shares": pa.array([], pa.binary())})
-    # Views of the Arrow buffers, not copies.
-    views = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
-    return train(views("ids", np.int32), views("shares", np.float32), np.asarray(table["y"], dtype=np.int64))
+        if not taken:
+            return train([], [], np.zeros(0, np.int64))
+        held = cut(taken[0].unionByName(taken[1]) if len(taken) > 1 else taken[0])
+        whole = _Learned(held.toArrow(), max_bytes)
+        if len(np.unique(whole.y)) < 2:
+            return whole.train()
+        near = _Learned(_with_bags(held.select("y", "turn", "text"), window_bags, spark.sparkContext.broadcast(whole.train(epochs=10))).toArrow(), max_bytes)
+        halves = [_Learned.both(whole.half(k), near.half(k)) for k in (0, 1)]
+        found = []
+        for k in (0, 1):
+            if len(np.unique(halves[1 - k].y)) == 2:
+                found.append(_highest(held.where(F.col("turn").bitwiseAND(1) == k).select("y", "text"), spark.sparkContext.broadcast(halves[1 - k].train(epochs=10))))
+    model = _Learned.both(whole, near).train()
+    table = pa.concat_tables(found) if found else None
+    if table is None or len(table["y"].unique()) < 2:
+        return model
+    at = parting(np.asarray(table["logit"]), np.asarray(table["y"]))
+    return Model(model.weight, model.bias - at + float(np.log(PARTS_AT / (1 - PARTS_AT))))
+
+
+class _Learned:
+    """Labelled bags as views of Arrow buffers, in the order of their hash."""
+
+    def __init__(self, table: pa.Table, max_bytes: int):
+        table = table.select(["y", "turn", "size", "ids", "shares"]).sort_by([("turn", "ascending"), ("y", "ascending"), ("size", "ascending")])
+        fits = int(np.searchsorted(np.cumsum(np.asarray(table["size"])), max_bytes, "right"))
+        table = table.slice(0, fits)
+        view = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
+        self.y, self.turn, self.index, self.share = np.asarray(table["y"], dtype=np.int64), np.asarray(table["turn"], dtype=np.int64), view("ids", np.int32), view("shares", np.float32)
+
+    @classmethod
+    def of(cls, y: np.ndarray, turn: np.ndarray, index: list, share: list) -> _Learned:
+        made = cls.__new__(cls)
+        made.y, made.turn, made.index, made.share = y, turn, index, share
+        return made
+
+    @classmethod
+    def both(cls, a: _Learned, b: _Learned) -> _Learned:
+        return cls.of(np.concatenate((a.y, b.y)), np.concatenate((a.turn, b.turn)), a.index + b.index, a.share + b.share)
+
+    def half(self, k: int) -> _Learned:
+        """Rows whose hash is even or odd; equal texts of one id are in the same half."""
+        own = np.flatnonzero((self.turn & 1) == k)
+        return self.of(self.y[own], self.turn[own], [self.index[i] for i in own], [self.share[i] for i in own])
+
+    def train(self, epochs: int = 20) -> Model:
+        return train(self.index, self.share, self.y, epochs)
+
+
+def _with_bags(texts: DataFrame, how, model=None) -> DataFrame:
+    """Rows ``y, turn, text`` with their bags (of whole texts, or of what a broadcast model finds in them) and the bags' size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made: list[tuple[bytes, bytes]] = []
+            for _, _, data, offsets in text_chunks(b.column(2)):
+                made += how(data, offsets) if model is None else how(model.value, data, offsets)
+            parts = [pa.array([len(x) + len(z) for x, z in made], pa.int64()), pa.array([x for x, _ in made], pa.binary()), pa.array([z for _, z in made], pa.binary())]
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), *parts], names=["y", "turn", "text", "size", "ids", "shares"])
+
+    return texts.mapInArrow(run, "y int, turn long, text string, size long, ids binary, shares binary")
+
+
+def _highest(texts: DataFrame, model) -> pa.Table:
+    """(y, largest logit) of labelled rows that a broadcast model has not learned from; as many as were learned from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, last, data, offsets in text_chunks(b.column(1)):
+                yield pa.record_batch([b.column(0).slice(first, last - first), pa.array(model.value.highest(data, offsets))], names=["y", "logit"])
+
+    return texts.mapInArrow(run, "y int, logit double").toArrow()
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

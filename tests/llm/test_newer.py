@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sheetwise.llm import digest_index, mixing, prefix_trie, queries, token_counts, whitening
+from sheetwise.llm import digest_index, mixing, prefix_trie, queries, token_counts, toxicity, whitening
 from test_queries import SF, SMALL, table
 
 
@@ -291,3 +291,46 @@ def test_digest_index_over_batches_compacted(spark):
     with pytest.raises(ValueError, match="3 buckets"):
         digest_index.DigestIndex(spark, name, 4)
     index.drop()
+
+
+# Windows and the parting score of toxicity -----------------------------------------------------------------------------------
+
+def test_toxicity_windows_by_brute_force():
+    rng = random.Random(9)
+    texts = ["", "one", " two  words ", "", *(" ".join(rng.choice(["ab", "c-d", "é", "x1"]) for _ in range(rng.randrange(0, 60))) for _ in range(30)), "tail"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    fine, at = toxicity.windows(data, offsets, 7)
+    assert len(at) == len(texts) + 1 and at[-1] == len(fine) - 1
+    for i, text in enumerate(texts):
+        words = "".join(chr(b) if b < 128 and chr(b).isalnum() or b >= 128 else " " for b in raw[i]).split()
+        got = [bytes(data[a:b]) for a, b in zip(fine[at[i] : at[i + 1]], fine[at[i] + 1 : at[i + 1] + 1])]
+        assert b"".join(got) == raw[i] and len(got) == max(1, -(-len(words) // 7))
+        own = [len("".join(chr(b) if b < 128 and chr(b).isalnum() or b >= 128 else " " for b in g).split()) for g in got]
+        assert sum(own) == len(words) and all(n == 7 for n in own[:-1])
+
+
+def test_toxic_lines_in_a_long_text_count_as_their_window():
+    weight = np.zeros(1 << toxicity.BITS, np.float32)
+    count, parts = toxicity.subwords(np.frombuffer(b"vile", np.uint8), np.array([0, 4]))
+    for b, _ in parts:
+        weight[b] = 50.0
+    model = toxicity.Model(weight, -1.0)
+    clean = " ".join(f"word{i % 40}" for i in range(3000))
+    texts = [clean, clean + " vile", "vile " + clean, ""]
+    raw = [t.encode() for t in texts]
+    score = model.score(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert score[1] > 2 * score[0] and score[2] > 2 * score[0] and abs(score[3] - 1 / (1 + np.e)) < 1e-9
+    assert len(model.score(np.zeros(0, np.uint8), np.zeros(1, np.int64))) == 0
+
+
+def test_parting_costs_least():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n = int(rng.integers(2, 40))
+        y = rng.integers(0, 2, n)
+        z = np.round(rng.normal(0, 1, n) + y, 3) + np.arange(n) * 1e-6
+        cost = lambda at: int(((y == 1) & (z < at)).sum() + toxicity.ALARM * ((y == 0) & (z >= at)).sum())  # noqa: E731, B023
+        tried = np.concatenate((z - 1e-7, z + 1e-7, [z.min() - 1, z.max() + 1]))
+        assert cost(toxicity.parting(z, y)) >= min(map(cost, tried))
+    assert toxicity.parting(np.array([0.0, 1.0, 4.0, 5.0]), np.array([0, 0, 1, 1])) == 2.5

@@ -71,7 +71,11 @@ def test_simhash_brute_force(spark):
 def test_quality_held_out(spark):
     good = {r["doc_id"]: r["quality"] for r in table(SF, "labels")}
     rows = [r for r in queries.op6_quality(spark, SF).collect() if r.held_out and r.doc_id in good]
-    assert np.mean([r.predicted == good[r.doc_id] for r in rows]) > 0.85
+    # Both classes, as a constant answer is right for most rows.
+    right = {k: np.mean([r.predicted == k for r in rows if good[r.doc_id] == k]) for k in (0, 1)}
+    assert right[1] > 0.95 and right[0] > 0.5
+    low, high = (np.array([r.score for r in rows if good[r.doc_id] == k]) for k in (0, 1))
+    assert np.mean(high[:, None] > low[None]) > 0.9
 
 
 def test_toxicity_ranks_held_out(spark):
@@ -81,8 +85,11 @@ def test_toxicity_ranks_held_out(spark):
     rows = [r for r in queries.op10_toxicity(spark, sf).collect() if r.held_out and r.doc_id in toxic]
     bad, fine = (np.array([r.score for r in rows if toxic[r.doc_id] == k]) for k in (1, 0))
     assert np.mean(bad[:, None] > fine[None]) > 0.95
-    assert np.mean(bad >= 0.7) > 0.8
+    assert np.mean(bad >= 0.7) > 0.85
     assert np.mean(fine >= 0.7) < 0.01
+    words = {d["doc_id"]: len((d["text"] or "").split()) for d in table(sf, "documents")}
+    long = [r.score for r in rows if toxic[r.doc_id] and words[r.doc_id] > 1000]
+    assert len(long) >= 10 and np.mean(np.array(long) >= 0.7) > 0.8
     assert all(0 <= r.score <= 1 for r in rows)
 
 
