@@ -14,7 +14,8 @@ are the dictionary, or none.
 
 Tokenisation: pre-tokens of a byte-level BPE do not influence each other, so the tokenizers library encodes each distinct one
 once for a task, and texts are put together from those ids. A text that holds the string of an added token is encoded
-whole, and code points are classed as the tokenizer itself does. The tests compare this with encoding whole texts.
+whole, and code points are classed as the tokenizer itself does. The tests compare this with encoding whole texts. A tokenizer whose description says otherwise (a normaliser,
+another pre-tokeniser, a prefix space, dropout) encodes every text whole.
 
 Edge cases: a null or empty text has the end id only. A very long text is encoded whole, as a chunk of its own, and has one frame. Bytes that are no UTF-8
 are encoded as U+FFFD. Null ids come first. Rows with equal ids are ordered by a hash of their frames; repeated rows are each stored. An empty table makes
@@ -24,6 +25,7 @@ an empty store. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import sys
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sheetwise.llm.common import code_points, text_chunks, whole_text
-from sheetwise.runtime import cut, scratch, shared_dir, ship
+from sheetwise.runtime import cut, forget, scratch, shared_dir, ship
 
 MAGIC, VERSION = b"SWTK", 1
 DICT_BYTES, DICT_DOCS, DICT_CHARS = 64 << 10, 2000, 20_000
@@ -97,12 +99,23 @@ def piece_starts(points: np.ndarray, texts: np.ndarray, table: np.ndarray | None
     return np.flatnonzero(start[:n])
 
 
+def splits_as_bytes(description: dict) -> bool:
+    """Whether a tokenizer's description is that of a byte-level BPE whose pre-tokens :func:`piece_starts` finds."""
+    split, model = description.get("pre_tokenizer") or {}, description.get("model") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    return bool(plain) and not description.get("normalizer") and not description.get("truncation") and model.get("type") == "BPE" and not model.get("dropout")
+
+
 class Encoder:
     """Whole texts to little-endian uint32 ids, through the tokenizers library."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.by_pieces = splits_as_bytes(json.load(f))
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.end = struct.pack("<I", end_id)
         self.known: dict[str, bytes] = {}
@@ -136,6 +149,9 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Ids of each text, with the end id, of UTF-8 bytes and the texts' offsets."""
+        if not self.by_pieces:
+            texts = [data[a:b].tobytes().decode("utf-8") for a, b in zip(offsets[:-1], offsets[1:])]
+            return [array("I", e.ids).tobytes() + self.end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         points, texts = code_points(data, offsets)
         self._check(points)
         starts = piece_starts(points, texts, self.kinds) if len(points) else np.zeros(0, np.int64)
@@ -315,5 +331,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def new_store_path(spark: SparkSession) -> str:
-    """A path in the shared folder for a store of its own."""
-    return f"{shared_dir(spark)}/sheetwise-tokens-{uuid.uuid4().hex}"
+    """A path in the shared folder for a store of its own, which goes with the application."""
+    path = f"{shared_dir(spark)}/sheetwise-tokens-{uuid.uuid4().hex}"
+    forget(spark, path)
+    return path
