@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.llm.common import no_clash, whole_text
-from sheetwise.runtime import ship
+from sheetwise.runtime import cut, ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VERDICTS = ("allow", "block")
@@ -137,7 +137,7 @@ def filter_urls(
     for r in rules:
         block.append(r)
         if len(block) == max_rules:
-            rows, block = passed(rows, block), []
+            rows, block = cut(spark, passed(rows, block)), []  # written, so that a task holds one block's trie
     if block:
         rows = passed(rows, block)
     return rows.drop("_labels", "_length")
