@@ -62,28 +62,37 @@ class DigestIndex:
         fresh = groups.select("digest", "keep_id").join(self.rows().hint("merge"), "digest", "left_anti")
         fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
 
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Append the digests of ``docs`` that the index lacks; returns ``(doc_id, digest)`` of each row, written."""
+        rows = cut(self.spark, docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest")))
+        # Written, as Spark would else join before it groups, and all rows of a hot digest would meet in one task.
+        self.append_new(cut(self.spark, rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))))
+        return rows
+
     def deduplicate(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Add ``docs`` to the index; returns a row per document.
 
         Columns: ``doc_id, keep_id, group_size, kept, text_sha256``. ``keep_id`` is the id that the index holds for the
         text: that of an earlier batch, else the smallest of this one. ``group_size`` counts the rows of this batch.
         """
-        rows = cut(self.spark, docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest")))
-        groups = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        self.append_new(groups)
+        rows = self.add(docs, id_col, text_col)
+        groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
         # Written, so that Spark shuffles both sides of the last join and can split a digest with a large part of all rows.
         known = cut(self.spark, groups.select("digest", "group_size").join(self.rows().hint("merge"), "digest"))
         return rows.join(known.hint("merge"), "digest").select(
             "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256")
         )
 
-    @staticmethod
-    def over_batches(*found: DataFrame) -> DataFrame:
-        """Results of several batches of one corpus as if they had been one: the smallest id of all a group's rows stays, and ``group_size`` counts them all."""
-        every = found[0]
-        for f in found[1:]:
-            every = every.unionByName(f)
-        every = cut(every.sparkSession, every.select("doc_id", "text_sha256"))
-        groups = cut(every.sparkSession, every.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    def over_batches(self, *added: DataFrame) -> DataFrame:
+        """As :meth:`deduplicate`, for what :meth:`add` returned for several batches of one corpus, as if they had been one.
+
+        The smallest id of all of a group's rows and of the index stays, and ``group_size`` counts all rows.
+        """
+        every = added[0]
+        for rows in added[1:]:
+            every = every.unionByName(rows)
+        groups = every.groupBy("digest").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("group_size"))
+        known = groups.join(self.rows().hint("merge"), "digest").select("digest", "group_size", F.least("keep_id", "_least").alias("keep_id"))
+        known = cut(self.spark, known)
         kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
-        return every.join(groups.hint("merge"), "text_sha256").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+        return every.join(known.hint("merge"), "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))

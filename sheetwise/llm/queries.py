@@ -34,7 +34,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = digest_index.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
     late = F.coalesce(id_remainder("doc_id", 2) == 1, F.lit(False))
-    batches = [index.deduplicate(docs.where(part)) for part in (~late, late)]
+    batches = [index.add(docs.where(part)) for part in (~late, late)]
     found = index.over_batches(*batches)
     index.drop()  # the query's own; the result no longer reads it
     return found

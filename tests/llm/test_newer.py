@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sheetwise.llm import digest_index, mixing, prefix_trie, queries, token_counts, toxicity, whitening
+from sheetwise.llm import digest_index, mixing, prefix_trie, queries, token_counts, token_store, toxicity, whitening
 from test_queries import SF, SMALL, table
 
 
@@ -276,7 +276,7 @@ def test_digest_index_over_batches_compacted(spark):
     rows = [(i, f"text  {i % 17}" if i % 2 else f"text {i % 17}", "x") for i in range(100)] + [(None, "text 3", "x"), (None, None, "x"), (55, "", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
     files = lambda: len([r for r in index.rows().select(F.input_file_name().alias("f")).distinct().collect()])
-    parts = [index.deduplicate(df.where(F.coalesce(F.col("doc_id") % 3, F.lit(0)) == k)) for k in (2, 1, 0)]
+    parts = [index.add(df.where(F.coalesce(F.col("doc_id") % 3, F.lit(0)) == k)) for k in (2, 1, 0)]
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in index.over_batches(*parts).collect()}
     groups = {}
     for i, t, _ in rows:
@@ -334,3 +334,17 @@ def test_parting_costs_least():
         tried = np.concatenate((z - 1e-7, z + 1e-7, [z.min() - 1, z.max() + 1]))
         assert cost(toxicity.parting(z, y)) >= min(map(cost, tried))
     assert toxicity.parting(np.array([0.0, 1.0, 4.0, 5.0]), np.array([0, 0, 1, 1])) == 2.5
+
+
+# Token ids by tokenizers of another kind -------------------------------------------------------------------------------------
+
+def test_token_store_encodes_whole_texts_for_other_tokenizers(spark, library):
+    path = queries.word_tokenizer_path()
+    assert not token_store.Encoder(path, 2).by_pieces and token_store.Encoder(queries.tokenizer_path(), 2).by_pieces
+    texts = ["It's A  Test", None, "<|endoftext|> e\u0301"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    store = token_store.new_store_path(spark)
+    token_store.write_tokens(df, store, path)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_store.read_tokens(spark, store).collect()}
+    ids = [np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for t in texts]
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)}
