@@ -93,6 +93,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each ``values[starts[i]:ends[i]]``, none of them empty."""
+    up, down = _power(len(values))
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts])
+
+
 def token_hashes(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = KINDS) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each token, token offsets of the texts); a token is a run of bytes of one kind but 0."""
     n = len(data)
@@ -106,10 +114,7 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = KIND
     starts, ends = cuts[:-1], cuts[1:]
     token = kind[starts] != 0
     starts, ends = starts[token], ends[token]
-    up, down = _power(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts]), np.searchsorted(starts, offsets)
+    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sheetwise.llm.common import code_points, text_chunks, whole_text
+from sheetwise.llm.common import code_points, span_hashes, text_chunks, whole_text
 from sheetwise.runtime import cut, forget, scratch, shared_dir, ship
 
 MAGIC, VERSION = b"SWTK", 1
@@ -99,6 +99,21 @@ def piece_starts(points: np.ndarray, texts: np.ndarray, table: np.ndarray | None
     return np.flatnonzero(start[:n])
 
 
+def equal_spans(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one span of each kind, the kind of each span) of spans that cover ``points``: those of a kind are equal.
+
+    Spans meet by their hash and are compared with the first of it; if any two differ under one hash, each is a kind of its own.
+    """
+    _, first, code = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    same = size == size[first][code]
+    if same.all():
+        same = points == points[np.repeat(starts[first][code] - starts, size) + np.arange(len(points))]
+    if not same.all():
+        first = code = np.arange(len(starts))
+    return first, code
+
+
 def splits_as_bytes(description: dict) -> bool:
     """Whether a tokenizer's description is that of a byte-level BPE whose pre-tokens :func:`piece_starts` finds."""
     split, model = description.get("pre_tokenizer") or {}, description.get("model") or {}
@@ -118,7 +133,12 @@ class Encoder:
             self.by_pieces = splits_as_bytes(json.load(f))
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.end = struct.pack("<I", end_id)
-        self.known: dict[str, bytes] = {}
+        # A character of a byte-level token stands for a byte.
+        vocabulary = self.tokenizer.get_vocab()
+        self.id_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.id_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.known: dict[str, int] = {}
+        self.ids, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
         self.kinds, self.checked = kinds().copy(), np.zeros(sys.maxunicode + 1, bool)
 
     def _check(self, points: np.ndarray) -> None:
@@ -141,11 +161,31 @@ class Encoder:
                 at = raw.find(content, int(offsets[i + 1]) if inside else at + 1)
         return sorted(out)
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        ids = {p: array("I", e.ids).tobytes() for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False))}
-        if len(self.known) + len(ids) <= CACHE:
-            self.known.update(ids)
-        return ids
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of pre-tokens, how many each has): the library takes them as one pretokenised text, and the bytes of each id say where a pre-token ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(p.encode()) for p in pieces])
+        upto = np.cumsum(self.id_bytes[ids])
+        last = np.searchsorted(upto, ends)
+        if len(upto) and upto[-1] == ends[-1] and (upto[last] == ends).all():
+            return ids, np.diff(last, prepend=-1)
+        own = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([i for x in own for i in x], "<u4"), np.array([len(x) for x in own], np.int64)
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all pre-tokens on hand, how many each has, which of them the given distinct ones are)."""
+        at = np.array([self.known.get(p, -1) for p in pieces], np.int64)
+        new = np.flatnonzero(at < 0)
+        if not len(new):
+            return self.ids, self.sizes, at
+        strings = [pieces[i] for i in new.tolist()]
+        made, counts = self._encode(strings)
+        ids, sizes = np.concatenate((self.ids, made)), np.concatenate((self.sizes, counts))
+        at[new] = np.arange(len(self.sizes), len(sizes))
+        if len(sizes) <= CACHE:
+            self.known.update(zip(strings, at[new].tolist()))
+            self.ids, self.sizes = ids, sizes
+        return ids, sizes, at
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Ids of each text, with the end id, of UTF-8 bytes and the texts' offsets."""
@@ -153,22 +193,23 @@ class Encoder:
             texts = [data[a:b].tobytes().decode("utf-8") for a, b in zip(offsets[:-1], offsets[1:])]
             return [array("I", e.ids).tobytes() + self.end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         points, texts = code_points(data, offsets)
+        if not len(points):
+            return [self.end] * (len(offsets) - 1)
         self._check(points)
-        starts = piece_starts(points, texts, self.kinds) if len(points) else np.zeros(0, np.int64)
+        starts = piece_starts(points, texts, self.kinds)
+        ends = np.append(starts[1:], len(points))
+        first, code = equal_spans(points, starts, ends)
         raw = data.tobytes()
-        whole, at = raw.decode("utf-8"), [*starts.tolist(), len(points)]
-        pieces = [whole[s:e] for s, e in zip(at, at[1:])]
-        found = list(map(self.known.get, pieces))
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            ids = self._learn(sorted({pieces[i] for i in missing}))
-            for i in missing:
-                found[i] = ids[pieces[i]]
-        cuts = np.searchsorted(starts, texts).tolist()
-        out = [b"".join(found[s:e]) + self.end for s, e in zip(cuts, cuts[1:])]
+        whole = raw.decode("utf-8")
+        known, sizes, at = self._ids([whole[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())])
+        at = at[code]
+        past = np.concatenate(([0], np.cumsum(sizes[at])))
+        ids = known[np.repeat((np.cumsum(sizes) - sizes)[at] - past[:-1], sizes[at]) + np.arange(past[-1])].tobytes()
+        cuts = (4 * past[np.searchsorted(starts, texts)]).tolist()
+        out = [ids[s:e] + self.end for s, e in zip(cuts, cuts[1:])]
         for i in self._holding_added(raw, offsets):
-            ids = self.tokenizer.encode(raw[offsets[i] : offsets[i + 1]].decode("utf-8"), add_special_tokens=False).ids
-            out[i] = array("I", ids).tobytes() + self.end
+            own = self.tokenizer.encode(raw[offsets[i] : offsets[i + 1]].decode("utf-8"), add_special_tokens=False).ids
+            out[i] = array("I", own).tobytes() + self.end
         return out
 
 

@@ -153,6 +153,18 @@ def test_pieces_equal_whole_texts():
         assert g == np.array([*x.ids, 2], "<u4").tobytes()
 
 
+def test_pieces_under_one_hash(monkeypatch):
+    """Pre-tokens that differ under one hash, or whose ids do not end where they do, are encoded one by one."""
+    texts = ["a bb a, bb", "", "  é a", "bb bb\n"]
+    raw = [t.encode() for t in texts]
+    args = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    want = token_store.Encoder(tokenizer_path(), 2).encode(*args)
+    monkeypatch.setattr(token_store, "span_hashes", lambda values, starts, ends: np.zeros(len(starts), np.uint64))
+    e = token_store.Encoder(tokenizer_path(), 2)
+    e.id_bytes[:] = 1
+    assert e.encode(*args) == want
+
+
 def test_pieces_equal_a_plain_tokenizer():
     """Strings of added tokens, and code points that Unicode versions class differently, against a tokenizer as it is loaded."""
     from tokenizers import Tokenizer
