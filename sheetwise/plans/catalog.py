@@ -416,11 +416,11 @@ def isolate_legend(spark: SparkSession, d: str) -> DataFrame:
     return legend.isolate_legend(load(spark, d, "legend_digits").drop("axis"), 3300.0, 2550.0).select("sheet_id", "det_id", "axis")
 
 
-@query(f"""select sheet_id, round(max_by(g, s), 3) as peak from (select sheet_id, i, i * 2550e0 / 9999 as g, round(sum(exp(-0.5 * ((i * 2550e0 / 9999 - v) / w) * ((i * 2550e0 / 9999 - v) / w))), 9) - i * 1e-12 as s from (
- select sheet_id, {T} as v, 0.2 * stddev_samp({T}) over (partition by sheet_id) as w from legend_digits where axis = 'mmhg') a cross join (select range as i from range(10000)) b group by sheet_id, i) c group by sheet_id""")
+@query(f"""select sheet_id, axis, round(max_by(g, s), 3) as peak from (select sheet_id, axis, i, i * 2550e0 / 9999 as g, round(sum(exp(-0.5 * ((i * 2550e0 / 9999 - v) / w) * ((i * 2550e0 / 9999 - v) / w))), 9) - i * 1e-12 as s from (
+ select sheet_id, axis, {T} as v, 0.2 * stddev_samp({T}) over (partition by sheet_id, axis) as w from legend_digits) a cross join (select range as i from range(10000)) b group by sheet_id, axis, i) c group by sheet_id, axis""")
 def density_peak(spark: SparkSession, d: str) -> DataFrame:
-    tops = load(spark, d, "legend_digits").where("axis = 'mmhg'").select("sheet_id", F.col("top").alias("v"))
-    return legend.density_peak(tops, 2550.0).select("sheet_id", F.round("peak", 3).alias("peak"))
+    tops = load(spark, d, "legend_digits").select("sheet_id", "axis", F.col("top").alias("v"))
+    return legend.density_peak(tops, 2550.0, ("sheet_id", "axis")).select("sheet_id", "axis", F.round("peak", 3).alias("peak"))
 
 
 @query(f"select sheet_id, det_id from (select *, quantile_cont({L}, 0.25) over (partition by sheet_id) as q1, quantile_cont({L}, 0.75) over (partition by sheet_id) as q3 from legend_digits) q where {L} between q1 - 0.5 * (q3 - q1) and q3 + 0.5 * (q3 - q1)")
@@ -429,39 +429,41 @@ def iqr_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "legend_digits").where("axis = 'mmhg'")
-    return rows.select("sheet_id", "det_id", G.center_x().alias("x"), G.center_y().alias("y"), F.explode(F.array(*[F.lit(k) for k in (2, 3, 5)])).alias("k")).withColumn("label", (F.col("det_id") % F.col("k")).cast("int"))
+    rows = load(spark, d, "legend_digits")
+    return rows.select("sheet_id", "axis", "det_id", G.center_x().alias("x"), G.center_y().alias("y"), F.explode(F.array(*[F.lit(k) for k in (2, 3, 5)])).alias("k")).withColumn("label", (F.col("det_id") % F.col("k")).cast("int"))
 
 
-_SIL = f"""(with p as (select sheet_id, det_id, {CX} as x, {CY} as y, k, det_id % k as label from legend_digits cross join (values (2), (3), (5)) ks(k) where axis = 'mmhg'),
- m as (select a.sheet_id, a.k, a.det_id, a.label, b.label as other, sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) as t, count(*) as n from p a join p b using (sheet_id, k) group by all),
- e as (select sheet_id, k, det_id, max(t / nullif(n - 1, 0)) filter (where label = other) as a, min(t / n) filter (where label <> other) as b, max(n) filter (where label = other) as own from m group by all)
- select sheet_id, k, avg(case when own = 1 then 0 else (b - a) / greatest(a, b) end) as s from e group by all)"""
+_SIL = f"""(with p as (select sheet_id, axis, det_id, {CX} as x, {CY} as y, k, det_id % k as label from legend_digits cross join (values (2), (3), (5)) ks(k)),
+ m as (select a.sheet_id, a.axis, a.k, a.det_id, a.label, b.label as other, sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) as t, count(*) as n from p a join p b using (sheet_id, axis, k) group by all),
+ e as (select sheet_id, axis, k, det_id, max(t / nullif(n - 1, 0)) filter (where label = other) as a, min(t / n) filter (where label <> other) as b, max(n) filter (where label = other) as own from m group by all)
+ select sheet_id, axis, k, avg(case when own = 1 then 0 else (b - a) / greatest(a, b) end) as s from e group by all)"""
 
 
-@query(f"select sheet_id, k, round(s, 6) as silhouette from {_SIL} q")
+@query(f"select sheet_id, axis, k, round(s, 6) as silhouette from {_SIL} q")
 def silhouette(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(legend.silhouette(_labelled(spark, d), ("sheet_id", "k")), "silhouette")
+    return rounded(legend.silhouette(_labelled(spark, d), ("sheet_id", "axis", "k")), "silhouette")
 
 
-@query(f"select sheet_id, case when max(s) - max_by(s, k) >= 0.005 then min(k) filter (where s = best) else max(k) end as k from (select *, max(s) over (partition by sheet_id) as best from {_SIL} q) r group by sheet_id")
+@query(f"select sheet_id, axis, case when max(s) - max_by(s, k) >= 0.005 then min(k) filter (where s = best) else max(k) end as k from (select *, max(s) over (partition by sheet_id, axis) as best from {_SIL} q) r group by sheet_id, axis")
 def select_k(spark: SparkSession, d: str) -> DataFrame:
-    return legend.select_k(legend.silhouette(_labelled(spark, d), ("sheet_id", "k")), legend.BETTER["kmeans"])
+    return legend.select_k(legend.silhouette(_labelled(spark, d), ("sheet_id", "axis", "k")), legend.BETTER["kmeans"], ("sheet_id", "axis"))
 
 
-def _members(df: DataFrame) -> DataFrame:
-    """Each box with its cluster, named after the cluster's smallest box."""
-    return df.select("sheet_id", "det_id", F.min("det_id").over(Window.partitionBy("sheet_id", "cluster")).cast("long").alias("cluster"))
+def _by_axis(spark: SparkSession, d: str, cluster: Callable[[DataFrame, list[int]], DataFrame]) -> DataFrame:
+    """Each box of both axes with its cluster, named after the cluster's smallest box."""
+    digits, name = load(spark, d, "legend_digits"), F.min("det_id").over(Window.partitionBy("sheet_id", "cluster")).cast("long")
+    parts = [cluster(digits.where(F.col("axis") == axis), ks).select("sheet_id", "det_id", name.alias("cluster")) for axis, ks in (("mins", assemble.TIME_KS), ("mmhg", assemble.VALUE_KS))]
+    return parts[0].unionByName(parts[1])
 
 
-@query("select sheet_id, det_id, cast(cluster as bigint) as cluster from legend_members where axis = 'mmhg'")
+@query("select sheet_id, det_id, cast(cluster as bigint) as cluster from legend_members")
 def cluster_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    return _members(legend.cluster_kmeans(load(spark, d, "legend_digits").where("axis = 'mmhg'"), assemble.VALUE_KS))
+    return _by_axis(spark, d, legend.cluster_kmeans)
 
 
-@query("select sheet_id, det_id, cast(cluster as bigint) as cluster from legend_members where axis = 'mins'")
+@query("select sheet_id, det_id, cast(cluster as bigint) as cluster from legend_members")
 def cluster_agglomerative(spark: SparkSession, d: str) -> DataFrame:
-    return _members(legend.cluster_agglomerative(load(spark, d, "legend_digits").where("axis = 'mins'"), assemble.TIME_KS))
+    return _by_axis(spark, d, legend.cluster_agglomerative)
 
 
 # Registration ----------------------------------------------------------------------------------------------------------------
@@ -694,6 +696,24 @@ def read_classes(spark: SparkSession, d: str) -> DataFrame:
     return formats.parse_classes(texts)
 
 
+@query("""select s.sheet_id, 4 + s.sheet_id % 3 as height, 8 as width, 3 as n_channels, string_agg(printf('%02X', cast((s.sheet_id * 7 + y.i * 31 + x.i * 11) % 256 as int)), '' order by y.i, x.i) as pixels
+from sheets s join n y on y.i < 4 + s.sheet_id % 3 join n x on x.i < 24 group by s.sheet_id""")
+def read_images(spark: SparkSession, d: str) -> DataFrame:
+    """A picture file for each sheet, written by the sink and read through Spark's image source."""
+    path = _new_folder(spark)
+    files.write_files(_pictures(load(spark, d, "sheets").selectExpr("sheet_id", "4 + sheet_id % 3 as height", "8 as width"), "(sheet_id * 7 + y * 31 + i * 11) % 256"), path)
+    sheet = F.regexp_extract("origin", r"([0-9]+)\.bmp$", 1).cast("long").alias("sheet_id")
+    return formats.read_images(spark, f"{path}/*.bmp").select(sheet, "height", "width", F.col("nChannels").alias("n_channels"), F.hex("data").alias("pixels"))
+
+
+def _pictures(sheets: DataFrame, value: str) -> DataFrame:
+    """Bitmap files ``name, content`` of rows ``sheet_id, height, width`` (a multiple of 4); ``value`` is byte ``i`` of row ``y``, three for each pixel."""
+    number = lambda c: f"hex(reverse(unhex(lpad(hex({c}), 8, '0'))))"
+    pixels = f"array_join(transform(sequence(height - 1, 0, -1), y -> array_join(transform(sequence(0, 3 * width - 1), i -> lpad(hex({value}), 2, '0')), '')), '')"
+    head = ["'424D'", number("54 + 3 * width * height"), "'00000000'", number("54"), number("40"), number("width"), number("height"), "'01001800'", "'00000000'", number("3 * width * height"), f"'{'0' * 32}'"]
+    return sheets.selectExpr("concat(sheet_id, '.bmp') as name", f"unhex(concat({', '.join(head)}, {pixels})) as content")
+
+
 # Model output ----------------------------------------------------------------------------------------------------------------
 
 @query(f"""select anchor_id, tile_id, concat('class', list_position(scores, list_max(scores)) - 1) as category, cast(list_max(scores) as double) as confidence,
@@ -702,20 +722,24 @@ def decode_boxes(spark: SparkSession, d: str) -> DataFrame:
     return decode.decode_boxes(load(spark, d, "raw_predictions"), load(spark, d, "vector_classes"), 0.3).select("anchor_id", "tile_id", "category", "confidence", *BOX)
 
 
-@query("select tile_id, row_number() over (partition by tile_id order by anchor_id) - 1 as pos, cx as r0, cy as r1, w as r2, h as r3, cast(scores[1] as double) as r4, cast(scores[2] as double) as r5 from raw_predictions")
+#: Scores of an anchor.
+_SCORES = 64
+
+
+@query("select tile_id, row_number() over (partition by tile_id order by anchor_id) - 1 as pos, cx as r0, cy as r1, w as r2, h as r3, " + ", ".join(f"cast(scores[{i + 1}] as double) as r{i + 4}" for i in range(_SCORES)) + " from raw_predictions")
 def anchors_from_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Raw output of a model, a matrix of rows for each tile, to a row for each anchor."""
-    values = [F.col(c).cast("double") for c in ("cx", "cy", "w", "h")] + [F.col("scores")[i].cast("double") for i in (0, 1)]
-    rows = F.array_sort(F.collect_list(F.struct("anchor_id", F.array(*values).alias("v"))))
-    matrix = F.array(*[F.expr(f"transform(rows, x -> x.v[{i}])") for i in range(6)])
+    values = F.concat(F.array(*[F.col(c).cast("double") for c in ("cx", "cy", "w", "h")]), F.col("scores").cast("array<double>"))
+    rows = F.array_sort(F.collect_list(F.struct("anchor_id", values.alias("v"))))
+    matrix = F.expr(f"transform(sequence(0, {_SCORES + 3}), i -> transform(rows, x -> x.v[i]))")
     tiles = load(spark, d, "raw_predictions").groupBy("tile_id").agg(rows.alias("rows")).select("tile_id", matrix.alias("output"))
-    return decode.anchors_from_matrix(tiles, 6, ("tile_id",)).withColumn("pos", F.col("pos").cast("long"))
+    return decode.anchors_from_matrix(tiles, _SCORES + 4, ("tile_id",)).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(f"""select anchor_id, 'class0' as category, cast(scores[1] as double) as confidence, cx - w / 2 as {L}, cy - h / 2 as {T}, cx + w / 2 as {R}, cy + h / 2 as {B}, kp_x, kp_y from (
- select *, cx + anchor_id % 9 * 4 - 16 as kp_x, cy + anchor_id % 5 * 4 - 8 as kp_y from raw_predictions) q where scores[1] >= 0.1 and abs(kp_x - cx) < w / 2 and abs(kp_y - cy) < h / 2""")
+@query(f"""select anchor_id, 'class0' as category, cast(list_max(scores) as double) as confidence, cx - w / 2 as {L}, cy - h / 2 as {T}, cx + w / 2 as {R}, cy + h / 2 as {B}, kp_x, kp_y from (
+ select *, cx + anchor_id % 9 * 4 - 16 as kp_x, cy + anchor_id % 5 * 4 - 8 as kp_y from raw_predictions) q where list_max(scores) >= 0.1 and abs(kp_x - cx) < w / 2 and abs(kp_y - cy) < h / 2""")
 def decode_keypoints(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "raw_predictions").withColumns({"score": F.col("scores")[0], "kp_x": F.col("cx") + F.col("anchor_id") % 9 * 4 - 16, "kp_y": F.col("cy") + F.col("anchor_id") % 5 * 4 - 8}).drop("scores")
+    rows = load(spark, d, "raw_predictions").withColumns({"score": F.array_max("scores"), "kp_x": F.col("cx") + F.col("anchor_id") % 9 * 4 - 16, "kp_y": F.col("cy") + F.col("anchor_id") % 5 * 4 - 8}).drop("scores")
     return decode.decode_keypoints(rows, load(spark, d, "vector_classes"), 0.1).select("anchor_id", "category", "confidence", *BOX, "kp_x", "kp_y")
 
 

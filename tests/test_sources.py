@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from sheetwise.functions import geometry as G
-from sheetwise.operators import assemble
+from sheetwise.operators import assemble, decode
+from sheetwise.plans import catalog
 from sheetwise.plans.fixtures import load
 from sheetwise.sources import files, formats, quarantine
 
@@ -126,3 +127,16 @@ def test_a_clustering_method_of_ones_own(spark):
         assemble.legend_clusters(digits, lambda boxes, ks, keys: boxes)
     with pytest.raises(ValueError, match="or a function"):
         assemble.legend_clusters(digits, "guess")
+
+
+def test_photographs_are_read_and_searched(spark, tmp_path):
+    """From picture files through the image source, tiles and a model to boxes; what is no picture has no row."""
+    sheets = spark.createDataFrame([(1, 40, 64), (2, 20, 32)], "sheet_id long, height int, width int")
+    files.write_files(catalog._pictures(sheets, "if(i in (30, 150), 255, 10)"), str(tmp_path))
+    (tmp_path / "broken.bmp").write_bytes(b"BM")
+    images = formats.read_images(spark, f"{tmp_path}/*.bmp").where("height > 0")
+    assert sorted((r.origin.rsplit("/", 1)[1], r.height, r.width, r.nChannels, bytes(r.data).count(255)) for r in images.collect()) == [("1.bmp", 40, 64, 3, 80), ("2.bmp", 20, 32, 3, 20)]
+    named = images.withColumn("sheet_id", F.regexp_extract("origin", r"([0-9]+)\.bmp$", 1).cast("long"))
+    tiled = named.withColumns({"slice_w": F.lit(32), "slice_h": F.lit(20), "ov_x": F.lit(0.5), "ov_y": F.lit(0.5)})
+    found = decode.detect_with_tiling(tiled, catalog.bright_spots).collect()
+    assert {(r.sheet_id, r.left) for r in found} == {(1, 10.0), (1, 50.0), (2, 10.0)}
