@@ -275,3 +275,28 @@ def test_repeated_positions_of_predictions(spark):
     for flavour in ("pose", "box"):
         got = sorted((r.pos, r.kp_x, r.kp_y) for r in decode.prediction_rows_to_detections(box, classes, points, flavour).collect())
         assert got == [(0, 2.0, 2.0), (0, 2.0, 2.0), (1, 8.5, 8.5)]
+
+
+def test_rows_of_sheets_are_made_in_many_tasks(spark):
+    """The few rows go to the sheets' tasks; all sheets used to go to the tasks of a range of numbers, of which three had rows."""
+    from pyspark.sql import functions as F
+
+    from sheetwise.plans import fixtures
+
+    rows = fixtures.load(spark, "/root/testdata/sf0.01", "legend_digits")
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == 8
+    for name in fixtures.FEW:
+        plan = fixtures.load(spark, "/root/testdata/sf0.01", name)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoopJoin BuildLeft" not in plan, name
+
+
+def test_groups_that_span_batches():
+    import pyarrow as pa
+
+    from sheetwise.operators import groups
+
+    key = [1, 1, 2, 2, 2, 2, 2, None, None, 3]
+    for size in (1, 2, 3, 10):
+        batches = [pa.record_batch([pa.array(key[i : i + size], pa.int64()), pa.array(range(i, min(i + size, 10)))], names=["k", "v"]) for i in range(0, 10, size)]
+        found = [(t.column("k")[a].as_py(), t.column("v")[a:b].to_pylist()) for t, bounds in groups.whole(iter(batches), 1) for a, b in zip(bounds, bounds[1:])]
+        assert found == [(1, [0, 1]), (2, [2, 3, 4, 5, 6]), (None, [7, 8]), (3, [9])], size
