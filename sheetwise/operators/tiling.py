@@ -48,23 +48,28 @@ def tile_grid(images: DataFrame) -> DataFrame:
 def annotations_in_tile(ann: DataFrame, images: DataFrame, keys: tuple[str, ...] = KEYS, touching: bool = True) -> DataFrame:
     """Each annotation with each tile it overlaps.
 
-    The tiles that a box can reach follow from its edges, so boxes are dealt to tile indexes and meet the tiles in an equi-join; the
-    exact test follows.
+    The tiles that a box can reach follow from its edges and the image's parameters, so a box meets its image once, and no table of tiles; the
+    exact test follows. An image has one row.
     """
-    dims = images.select(*keys, *TILE)
-    near = ann.join(dims, list(keys))
-    for lo, hi, s, o, out in (("top", "bottom", "slice_h", "ov_y", "tile_row"), ("left", "right", "slice_w", "ov_x", "tile_col")):
+    dims = images.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("width", "height", *TILE)])
+    cols = [c for c in ann.columns if c not in keys]
+    # A hash of the few images of a task: annotations need not be sorted.
+    near = ann.join(dims.hint("shuffle_hash"), list(keys))
+    exists = F.lit(True)
+    for lo, hi, s, o, size, out in (("top", "bottom", "_slice_h", "_ov_y", "_height", "tile_row"), ("left", "right", "_slice_w", "_ov_x", "_width", "tile_col")):
         step = stride(F.col(s), F.col(o))
         first = F.greatest(F.lit(0), F.floor((F.col(lo) - F.col(s)) / step)).cast("int")
-        last = F.floor(F.col(hi) / step).cast("int")
-        near = near.withColumn(out, F.explode(F.when(first <= last, F.sequence(first, last))))
-    tiles = tile_grid(images).select(*keys, "tile_row", "tile_col", "t_left", "t_top", "t_right", "t_bottom")
+        last = F.least(F.floor(F.col(hi) / step), F.ceil(F.col(size) / (F.col(s) * (1 - F.col(o)))) - 1).cast("int")
+        near = near.withColumn(f"_{out}", F.explode(F.when(first <= last, F.sequence(first, last))))
+        near = near.withColumns({f"_{lo}": F.col(f"_{out}") * step}).withColumn(f"_{hi}", F.col(f"_{lo}") + F.col(s))
+        exists = exists & ((F.col(f"_{out}") == 0) | ((F.col(f"_{out}") - 1) * step + F.col(s) <= F.col(size)))
     left, top, right, bottom = G.edges()
     if touching:
-        meets = (left <= F.col("t_right")) & (right >= F.col("t_left")) & (top <= F.col("t_bottom")) & (bottom >= F.col("t_top"))
+        meets = (left <= F.col("_right")) & (right >= F.col("_left")) & (top <= F.col("_bottom")) & (bottom >= F.col("_top"))
     else:
-        meets = (left < F.col("t_right")) & (right > F.col("t_left")) & (top < F.col("t_bottom")) & (bottom > F.col("t_top"))
-    return near.drop(*TILE).join(tiles, [*keys, "tile_row", "tile_col"]).where(meets)
+        meets = (left < F.col("_right")) & (right > F.col("_left")) & (top < F.col("_bottom")) & (bottom > F.col("_top"))
+    places = [F.col(f"_{c}").alias(c) for c in ("tile_row", "tile_col")]
+    return near.where(exists & meets).select(*keys, *places, *cols, *[F.col(f"_{c}").alias(f"t_{c}") for c in ("left", "top", "right", "bottom")])
 
 
 def shift_coords(df: DataFrame, dx: Column, dy: Column, direction: str) -> DataFrame:
