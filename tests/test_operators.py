@@ -300,3 +300,45 @@ def test_groups_that_span_batches():
         batches = [pa.record_batch([pa.array(key[i : i + size], pa.int64()), pa.array(range(i, min(i + size, 10)))], names=["k", "v"]) for i in range(0, 10, size)]
         found = [(t.column("k")[a].as_py(), t.column("v")[a:b].to_pylist()) for t, bounds in groups.whole(iter(batches), 1) for a, b in zip(bounds, bounds[1:])]
         assert found == [(1, [0, 1]), (2, [2, 3, 4, 5, 6]), (None, [7, 8]), (3, [9])], size
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boxes_meet_their_image_once(spark):
+    """Boxes on tiles are not shuffled again to meet a table of tiles."""
+    from sheetwise.plans import catalog
+
+    for name in ("annotations_in_tile", "tile_annotations"):
+        assert plan_of(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")).count("Join") - plan_of(catalog.load(spark, "/root/testdata/sf0.001", "sheet_images")).count("Join") == 1
+
+
+def test_many_groups_have_the_clusters_of_one(spark):
+    from sheetwise.operators import clusters_large
+
+    rng = np.random.default_rng(7)
+    x = np.floor(rng.random((5, 30, 2)) * 90)
+    x[4] = x[4, 0]  # fewer different points than clusters
+    ids = np.tile(np.arange(30), (5, 1))
+    for k in (2, 17):
+        assert (legend._kmeans_of_many(ids, x, k) == np.stack([legend._kmeans(i, one, k) for i, one in zip(ids, x)])).all()
+    trees = clusters_large.spanning_trees(x[..., 0], x[..., 1])
+    assert trees == [sorted(clusters_large.spanning_tree(np.arange(30), one[:, 0], one[:, 1])) for one in x]
+
+
+def test_clusters_need_no_join(spark):
+    """Nothing that grows with the sheets is sent to the driver, or joined to the boxes again."""
+    rows = [(s, i, "1", 10.0 * i, 5.0 * s, 10.0 * i + 4, 5.0 * s + 4) for s in range(3) for i in range(6)]
+    boxes_ = spark.createDataFrame(rows, "sheet_id long, det_id long, category string, left double, top double, right double, bottom double")
+    for cluster in (legend.cluster_kmeans, legend.cluster_agglomerative):
+        found = cluster(boxes_, [2, 3])
+        assert "Join" not in plan_of(found) and found.columns == ["sheet_id", "det_id", "category", "left", "top", "right", "bottom", "cluster"] and found.count() == 18
+    assert "Join" not in plan_of(legend.cluster_dbscan(boxes_, 11.0))
+
+
+def test_tasks_grow_in_number_not_in_size(spark):
+    from sheetwise.operators import groups
+
+    df = spark.range(10)
+    assert groups.dealt(df, ("id",), 10).rdd.getNumPartitions() == 8 and groups.dealt(df, ("id",), 40 * groups.ROWS).rdd.getNumPartitions() == 40
