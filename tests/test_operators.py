@@ -342,3 +342,17 @@ def test_tasks_grow_in_number_not_in_size(spark):
 
     df = spark.range(10)
     assert groups.dealt(df, ("id",), 10).rdd.getNumPartitions() == 8 and groups.dealt(df, ("id",), 40 * groups.ROWS).rdd.getNumPartitions() == 40
+
+
+def test_models_share_tiles(spark):
+    """Pixels meet their tiles in their own row, and the tiles of an image are made once for all its models."""
+    from sheetwise.operators import decode, tiling
+    from sheetwise.plans import catalog
+
+    images = catalog._painted(spark, "/root/testdata/sf0.001").limit(3)
+    assert plan_of(tiling.tile_images(images)).count("Join") == plan_of(images).count("Join")
+    models = {f"m{i}": (catalog.bright_spots, False) for i in range(3)}
+    found = decode.placed_by_sources(images, models)
+    assert plan_of(found).count("MapInPandas") == 2
+    one = decode.placed_detections(images, catalog.bright_spots).count()
+    assert one > 0 and {(r.source, r["count"]) for r in found.groupBy("source").count().collect()} == {(s, one) for s in models} and found.where("kp_x is not null or isnan(kp_y)").isEmpty()
