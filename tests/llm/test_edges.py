@@ -586,3 +586,27 @@ def test_other_stages_edge_cases(spark, docs, none):
     assert corpus_pipeline.mix(spark, twice, sf).columns == twice.columns
     assert corpus_pipeline.near_dedup(spark, twice, sf).columns == twice.columns
     assert corpus_pipeline.tokens(spark, twice, sf).count() == 9
+
+
+def test_memory_of_pairs_with_very_many_diagonals():
+    """Two texts with one line 100 times each: the diagonals, 1.4 million places, are gone through in parts, with the same runs as all at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    a, b = (np.concatenate([np.concatenate((np.arange(30), rng.integers(100, 1 << 30, 40))) for _ in range(100)]).astype(np.uint32) for _ in range(2))
+    b[3000:3100] = a[3000:3100]
+    at = np.arange(100) * 70
+    x, y = (z.ravel() for z in np.meshgrid(at, at))
+    edges = np.concatenate([np.stack((np.full(len(x), f), np.maximum(x - 40, 0), x + f, np.minimum(x + 100, len(a) - 1), np.maximum(y - 40, 0), y + f, np.minimum(y + 100, len(b) - 1)), axis=1) for f in range(2)])
+    tracemalloc.start()
+    found = compact_windows.verify(a, b, edges, 46, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    assert any(s <= 3000 and e >= 3099 and s2 <= 3000 and e2 >= 3099 for s, e, s2, e2 in found)
+    every = compact_windows.PLACES
+    try:
+        compact_windows.PLACES = 1 << 30
+        assert compact_windows.verify(a, b, edges, 46, 0.8) == found
+    finally:
+        compact_windows.PLACES = every
