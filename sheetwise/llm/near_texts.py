@@ -4,8 +4,10 @@ A text is the set of its five-word shingles (A-Z count as a-z). Its fingerprint
 Texts are dealt to groups by ``BANDS`` keys of ``MINS`` min-hashes each; of two texts with similarity 0.8, all keys differ in 0.3 % of cases. Within a group,
 fingerprints are compared as bit planes (:func:`simhash.near_pairs`), and each text is paired with the nearest within ``RADIUS`` bits before and after it, never with
 all. At similarity 0.8 two fingerprints differ in 39 bits on average and in more than the radius in 0.2 % of cases. Pairs are then confirmed by the Jaccard similarity of their
-shingles, and components are those of confirmed pairs. A text whose nearest one in each group is not similar enough, though a further one is, can be missed; the tests
-measure all this against brute force.
+shingles.
+
+What that leaves out, a prefix join finds without exception (:func:`others`): two texts of that similarity have a shingle in common among the first fifth of each, in any order of all shingles. Here the order is the
+rare ones first, and only pairs that no confirmed pairs connect yet are looked at. Components are those of all confirmed pairs, and the tests hold them against brute force.
 
 Texts with the same words are one before all this. A group of more than ``LARGE`` texts is dealt to cells; each pair of cells is compared in a task of its own, and the
 nearest of all tasks counts, so the result does not depend on the size of a group.
@@ -156,6 +158,119 @@ def _confirm(similarity: float):
     return run
 
 
+#: One in so many texts is read to learn which shingles are frequent, and so often a shingle occurs in these. That orders shingles and deals large groups; it leaves no pair out.
+PART, OFTEN = 16, 8
+#: Shingles at most whose frequencies are sent to all tasks.
+FREQUENT = 1 << 16
+#: Pairs of a group that are looked at in one step.
+STEP = 1 << 17
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
+    for b in batches:
+        for _, _, data, offsets in text_chunks(b.column(0)):
+            items, bounds, key = shingle_sets(data, offsets)
+            new = np.array([not (k in seen or seen.add(k)) for k in key.tolist()], bool)
+            h, n = np.unique(items[np.repeat(new, np.diff(bounds))].view(np.int64), return_counts=True)
+            yield pa.record_batch([pa.array(h), pa.array(n)], names=["h", "n"])
+
+
+def _prefixes(similarity: float, often: np.ndarray, times: np.ndarray, large: int):
+    """Texts to (k, size, keys): a key for each shingle of which a similar text must have one in common, rare ones first; ``often`` is sorted.
+
+    The shingles of a large group are dealt to pairs of cells, with a key for each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            for _, _, data, offsets in text_chunks(b.column(0)):
+                items, bounds, key = shingle_sets(data, offsets)
+                place = np.minimum(np.searchsorted(often, items.view(np.int64)), max(len(often) - 1, 0))
+                count = np.where(often[place] == items.view(np.int64), times[place], 0) if len(often) else np.zeros(len(items), np.int64)
+                ks, sizes, keys, at = [], [], [], []
+                for k, x, y in zip(key.view(np.int64).tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    if y == x or k in seen:
+                        continue
+                    seen.add(k)
+                    n = y - x
+                    first = np.lexsort((mix(items[x:y]), count[x:y]))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                    h, many, pos = items[x:y][first], -(-count[x:y][first] * PART // large), np.arange(len(first))
+                    for i in np.flatnonzero(many > 1).tolist():
+                        cells = int(many[i])
+                        own, to = k % cells, np.arange(cells)
+                        dealt = mix(h[i] + mix((np.minimum(own, to) * cells + np.maximum(own, to) + 1).astype(np.uint64)))
+                        h, pos = np.concatenate((h, dealt)), np.concatenate((pos, np.full(cells, pos[i])))
+                    use = np.concatenate((many <= 1, np.ones(len(h) - len(many), bool)))
+                    ks.append(k)
+                    sizes.append(n)
+                    keys.append(h[use].tobytes())
+                    at.append(pos[use].astype(np.int32).tobytes())
+                yield pa.record_batch([pa.array(ks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(at, pa.binary())], names=["k", "size", "keys", "at"])
+
+    return run
+
+
+def _dealt_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, component, size, keys, at) to (v, c, k, at), a row for each key; ``at`` holds size and place."""
+    for whole in batches:
+        for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+            keys = [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
+            many = [len(x) for x in keys]
+            k, c, size = (np.repeat(np.asarray(b.column(i)), many) for i in range(3))
+            at = np.concatenate([np.frombuffer(x, np.int32) for x in b.column(4).to_pylist()]).astype(np.int64)
+            yield pa.record_batch([pa.array(x) for x in (np.concatenate(keys), c, k, size << 32 | at)], names=["v", "c", "k", "at"])
+
+
+def _unlinked(similarity: float):
+    """Rows (v, c, k, at) sorted by v and at to the pairs (a, b) of different components whose sizes and places leave enough in common, with the number of keys that they must share at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 1):
+            v, c, k, at = (np.asarray(t.column(i)) for i in range(4))
+            start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+            sizes = np.diff(np.append(start, len(v)))
+            mixed = np.repeat(np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start), sizes)
+            group = np.repeat(np.arange(len(start)), sizes)[mixed]
+            c, k, at = c[mixed], k[mixed], at[mixed]
+            n, rest = at >> 32, (at >> 32) - (at & 0xFFFFFFFF)
+            last = np.searchsorted(group << 33 | n, group << 33 | np.floor(n / similarity + 1e-9).astype(np.int64), "right")
+            many = last - np.arange(len(n)) - 1
+            upto = np.cumsum(many)
+            i = 0
+            while i < len(n):
+                stop = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + STEP, "right")))
+                one = np.repeat(np.arange(i, stop), many[i:stop])
+                two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(many[i:stop]) - many[i:stop], many[i:stop])
+                # Of the shingles in common this is the first, or an earlier one leads to the same pair.
+                use = (c[one] != c[two]) & (np.minimum(rest[one], rest[two]) >= similarity / (1 + similarity) * (n[one] + n[two]) - 1e-6)
+                one, two = one[use], two[use]
+                if len(one):
+                    # All that two texts have in common is seen here, but for what lies behind the keys of the one whose keys end first.
+                    behind = np.maximum(np.ceil(similarity * n[one] - 1e-9), np.ceil(similarity * n[two] - 1e-9)) - 1
+                    need = np.ceil(similarity / (1 + similarity) * (n[one] + n[two]) - behind - 1e-6).astype(np.int64)
+                    yield pa.record_batch([pa.array(x) for x in (np.minimum(k[one], k[two]), np.maximum(k[one], k[two]), need)], names=["a", "b", "need"])
+                i = stop
+
+    return run
+
+
+def others(source: DataFrame, member: DataFrame, similarity: float, large: int = LARGE) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, among which is each pair of distinct texts that are similar and that ``member`` (``node, component``) has in different components."""
+    part = source.select("text").where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0).mapInArrow(_counts, "h long, n long")
+    found = part.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    often, times = np.asarray(found["h"], dtype=np.int64), np.asarray(found["n"], dtype=np.int64)
+    order = np.argsort(often)
+    prefixes = source.select("text").mapInArrow(_prefixes(similarity, often[order], times[order], large), "k long, size long, keys binary, at binary")
+    once = prefixes.groupBy("k").agg(F.any_value("size").alias("size"), F.any_value(F.struct("keys", "at")).alias("x"))
+    of = once.join(member.select(F.col("node").alias("k"), "component").hint("merge"), "k", "left").select("k", F.coalesce("component", "k").alias("c"), "size", "x.keys", "x.at")
+    rows = of.mapInArrow(_dealt_keys, "v long, c long, k long, at long")
+    met = rows.repartition("v").sortWithinPartitions("v", "at").mapInArrow(_unlinked(similarity), "a long, b long, need long")
+    # A shingle that is dealt to cells may count more than once, which leaves out none.
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
+
+
 def near_duplicate_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, large: int = LARGE) -> DataFrame:
     """``(doc_id, component_id)`` of every row: the smallest id that links reach, itself included.
 
@@ -167,11 +282,18 @@ def near_duplicate_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = cut(spark, source.mapInArrow(_sketch, "doc_id long, k long, fp binary, groups array<long>"))
     with scratch(spark) as own:
         texts = own(rows.groupBy("k").agg(F.min("doc_id").alias("least"), F.any_value("fp").alias("fp"), F.any_value("groups").alias("groups")))
-        pairs = own(candidates(texts, large))
-        items = own(needed_items(spark, source, pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), _sets))
-        met = pairs.join(items.select(F.col("k").alias("a"), F.col("items").alias("x")).hint("merge"), "a").join(items.select(F.col("k").alias("b"), F.col("items").alias("y")).hint("merge"), "b")
-        links = own(met.select("a", "b", "x", "y").mapInArrow(_confirm(similarity), "a long, b long"))
+
+        def confirmed(pairs: DataFrame) -> DataFrame:
+            items = own(needed_items(spark, source, pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), _sets))
+            met = pairs.join(items.select(F.col("k").alias("a"), F.col("items").alias("x")).hint("merge"), "a").join(items.select(F.col("k").alias("b"), F.col("items").alias("y")).hint("merge"), "b")
+            return own(met.select("a", "b", "x", "y").mapInArrow(_confirm(similarity), "a long, b long"))
+
+        links = confirmed(own(candidates(texts, large)))
         member = own(connected_components(links))
+        left = own(others(source, member, similarity, large))
+        more = None if left.isEmpty() else confirmed(left)
+        if more is not None and not more.isEmpty():
+            member = own(connected_components(links.unionByName(more)))
         of_component = member.join(texts, member.node == texts.k).groupBy("component").agg(F.min("least").alias("component_id"))
         moved = member.join(of_component, "component").select(F.col("node").alias("k"), "component_id")
         # Written, so that Spark shuffles both sides of the last join and can split a text with a large part of all rows.
