@@ -140,3 +140,11 @@ def test_photographs_are_read_and_searched(spark, tmp_path):
     tiled = named.withColumns({"slice_w": F.lit(32), "slice_h": F.lit(20), "ov_x": F.lit(0.5), "ov_y": F.lit(0.5)})
     found = decode.detect_with_tiling(tiled, catalog.bright_spots).collect()
     assert {(r.sheet_id, r.left) for r in found} == {(1, 10.0), (1, 50.0), (2, 10.0)}
+
+
+def test_detections_of_many_sheets_share_files(spark, tmp_path):
+    rows = [(i, 0, "3", 1.0, 2.0, 3.0, 4.0, 2.0, 3.0, 0.5) for i in range(50)]
+    det = spark.createDataFrame(rows, "sheet_id long, ord long, category string, left double, top double, right double, bottom double, kp_x double, kp_y double, confidence double").repartition(2)
+    formats.write_detections_json(det, f"{tmp_path}/out", "keypoint", ("sheet_id",))
+    assert sum(len([f for f in names if f.endswith(".json")]) for _, _, names in os.walk(f"{tmp_path}/out")) <= 8
+    assert {r.sheet_id for r in formats.read_keyed_detections(spark, f"{tmp_path}/out", "keypoint").collect()} == set(range(50))
