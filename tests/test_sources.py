@@ -148,3 +148,11 @@ def test_detections_of_many_sheets_share_files(spark, tmp_path):
     formats.write_detections_json(det, f"{tmp_path}/out", "keypoint", ("sheet_id",))
     assert sum(len([f for f in names if f.endswith(".json")]) for _, _, names in os.walk(f"{tmp_path}/out")) <= 8
     assert {r.sheet_id for r in formats.read_keyed_detections(spark, f"{tmp_path}/out", "keypoint").collect()} == set(range(50))
+
+
+def test_lines_of_many_images_share_files(spark, tmp_path):
+    """The number of files does not grow with the images; names and lines come back as they were."""
+    rows = spark.range(300).select(F.concat(F.lit("a/b=c\t"), F.col("id").cast("string")).alias("image"), F.concat(F.lit('0 "1"\t\\ '), F.col("id").cast("string")).alias("line")).coalesce(2)
+    formats.write_lines(rows, str(tmp_path / "lines"))
+    assert sum(len(x) for _, _, x in os.walk(tmp_path / "lines")) < 10
+    assert sorted(formats.read_lines(spark, str(tmp_path / "lines")).collect()) == sorted(rows.collect())
