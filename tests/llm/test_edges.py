@@ -279,6 +279,41 @@ def test_identical_passages_behind_frequent_lines(spark):
     assert len({got[2 * i].class_id for i in range(40)}) == 40 and all(got[100 + i].n_repeated == 0 for i in range(40))
 
 
+def test_similar_passages_behind_the_smallest_text(spark):
+    """Two passages with a word changed, whose smallest shingles other texts have as well: the group's smallest text is none of the two."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, pairs = [], 12
+    for i in range(pairs):
+        p = [word() for _ in range(54)]
+        q = p[:27] + [word()] + p[28:]
+        rows += [(1000 * i + j, [word() for _ in range(60)] + x + [word() for _ in range(60)]) for j, x in ((0, p), (1, q))]
+        # The shingles with the smallest hashes of each function, each among words of its own, in twenty texts.
+        data = " ".join(p).encode()
+        s, _, _ = compact_windows.shingles(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        least = {int(compact_windows.mix(s[:50] ^ seed)[at].argmin()) + int(at.start) for seed in compact_windows.SEEDS for at in (slice(0, 50), slice(0, 23), slice(28, 50))}
+        for j in range(20):
+            rows.append((1000 * i + 10 + j, [w for x in sorted(least) for w in [word() for _ in range(40)] + p[x : x + 5]] + [word() for _ in range(40)]))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in compact_windows.near_duplicate_passages(df).collect()}
+    for i in range(pairs):
+        assert got[1000 * i].class_id == got[1000 * i + 1].class_id == 1000 * i and got[1000 * i].n_repeated >= 50
+    assert all(r.n_repeated == 0 for i, r in got.items() if i % 1000 >= 10)
+
+
+def test_pairs_of_large_groups_meet_in_cells(spark, monkeypatch):
+    """Groups dealt to many cells give the pairs of one cell."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = [word() for _ in range(60)]
+    passages = [[word() for _ in range(30)] for _ in range(20)]
+    rows = [(i, " ".join([word() for _ in range(60)] + line[i % 5 :] + passages[i % 20] + [word() for _ in range(60)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, compact_windows.near_duplicate_passages(df).collect()))
+    monkeypatch.setattr(compact_windows, "CELL", 7)
+    assert sorted(map(str, compact_windows.near_duplicate_passages(df).collect())) == want and all("class_id=0," in x for x in want)
+
+
 def test_runs_of_one_word(spark):
     """Texts with one word very often: each of their windows has the same smallest hashes, which makes them hot in every block."""
     rng = random.Random(21)
