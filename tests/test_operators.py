@@ -1,5 +1,7 @@
 """Small cases with known answers, and invariants."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -205,6 +207,30 @@ def test_ties_of_registered_coordinates(spark):
         assert nearest.nearest_centroid(middle, spots, F.lit(100.0), F.lit(100.0), 0.2, most=most).count() == 0
 
 
+def test_nearest_labels_by_halving_are_those_of_all_labels(spark):
+    r, places = random.Random(3), [0.0, 10.0, 10.0, 10.0, 10.0, 10.0, 10.0000004, 20.0, 30.0, 30.0000003, 1e6]
+    legends = {0: places, 1: [5.0], 2: [None, 1.0, 2.0], 3: [float("nan"), 4.0], 4: [float(10 * i) for i in range(42)]}
+    marks = [(s, p, f"{r.choice('abc')}{i}", i) for s, own in legends.items() for i, p in enumerate(own)]
+    points = [(s, j, at) for s in legends for j, at in enumerate([None, float("nan"), float("inf"), -5.0, 0.0, 5.0, 10.0, 10.0000002, 15.0, 25.0, 205.0, 410.0, 2e6])]
+    df, labels = spark.createDataFrame(points, "sheet_id long, det_id long, y double"), spark.createDataFrame(marks, "sheet_id long, place double, label string, value int")
+    d = lambda x: G.stated(F.abs(x["place"] - F.col("y")))
+    met = df.join(labels.groupBy("sheet_id").agg(F.collect_list(F.struct("place", "label", "value")).alias("x")), "sheet_id")
+    one = met.select("sheet_id", "det_id", F.array_min(F.transform("x", lambda x: F.struct(d(x).alias("d"), x["place"], x["label"].alias("label"))))["label"].alias("label"))
+    assert sorted(map(tuple, nearest.nearest_label_1d(df, labels, F.col("y"), "place").select("sheet_id", "det_id", "label").collect())) == sorted(map(tuple, one.collect()))
+    two = met.where("size(x) > 1").select("sheet_id", "det_id", F.transform(F.slice(F.array_sort(F.transform("x", lambda x: F.struct(d(x), x["value"].alias("v"), x["place"]))), 1, 2), lambda x: x["v"]).alias("v"))
+    got = nearest.two_nearest_1d(df, labels, F.col("y"), "place").select("sheet_id", "det_id", F.array("v1", "v2").alias("v"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_density_peaks_of_sheets_with_nulls_and_the_same_print(spark):
+    rows = [(s, v) for s in range(30) for v in ([1.0, 2.0, 2.5, 9.0 + s % 3] if s != 7 else [None, None])] + [(30, None), (30, 4.0), (30, 5.0)]
+    got = dict(legend.density_peaks(spark.createDataFrame(rows, "sheet_id long, v double"), {"v": 10.0}).collect())
+    for s in range(31):
+        own = np.array([v for k, v in rows if k == s and v is not None])
+        want = legend.highest(own, 10.0)
+        assert got[s] == want or (np.isnan(got[s]) and np.isnan(want))
+
+
 def test_density_peak_is_that_of_the_whole_grid():
     rng = np.random.default_rng(4)
     for n, extent in ((1, 100.0), (2, 100.0), (60, 2550.0), (200, 3300.0), (50, 30.0)):
