@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from fractions import Fraction
 
@@ -348,3 +349,14 @@ def test_token_store_encodes_whole_texts_for_other_tokenizers(spark, library):
     got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_store.read_tokens(spark, store).collect()}
     ids = [np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for t in texts]
     assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)}
+
+
+def test_classes_of_code_points_take_little_memory():
+    tracemalloc.start()
+    try:
+        table = token_store.kinds.__wrapped__()
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 30 << 20
+    assert [table[ord(c)] for c in " aé7! 𝔸"] == [0, 1, 1, 2, 3, 0, 1]
