@@ -208,7 +208,7 @@ def test_ties_of_registered_coordinates(spark):
 
 
 def test_nearest_labels_by_halving_are_those_of_all_labels(spark):
-    r, places = random.Random(3), [0.0, 10.0, 10.0, 10.0, 10.0, 10.0, 10.0000004, 20.0, 30.0, 30.0000003, 1e6]
+    r, places = random.Random(3), [0.0, 10.0, 10.0, 10.0, 10.0, 10.0, 10.0000004, 20.0, 30.0, 30.0000003, *[500.0 + i for i in range(10)], 1e6]
     legends = {0: places, 1: [5.0], 2: [None, 1.0, 2.0], 3: [float("nan"), 4.0], 4: [float(10 * i) for i in range(42)]}
     marks = [(s, p, f"{r.choice('abc')}{i}", i) for s, own in legends.items() for i, p in enumerate(own)]
     points = [(s, j, at) for s in legends for j, at in enumerate([None, float("nan"), float("inf"), -5.0, 0.0, 5.0, 10.0, 10.0000002, 15.0, 25.0, 205.0, 410.0, 2e6])]
