@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import os
 import random
 import re
 import time
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from sheetwise import runtime
 from sheetwise.llm import common, compact_windows, digest_index, fm_index, lang_bloom, mixing, near_texts, quality, simhash, token_store, toxicity, url_trie
 from sheetwise.llm.queries import tokenizer_path
 
@@ -314,6 +316,24 @@ def test_pairs_of_large_groups_meet_in_cells(spark, monkeypatch):
     assert sorted(map(str, compact_windows.near_duplicate_passages(df).collect())) == want and all("class_id=0," in x for x in want)
 
 
+def test_texts_of_shared_lines_are_not_written_many_times(spark, monkeypatch):
+    """Texts of lines that many others have share very many hashes; no table of them is much larger than the texts."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    lines = [[word() for _ in range(35)] for _ in range(30)]
+    rows = [(i, " ".join(w for x in rng.sample(lines, 20) for w in [*x, word()])) for i in range(120)]
+    size, sizes, cut_to = sum(len(t) for _, t in rows), [], runtime.cut_to
+
+    def measured(spark, df):
+        made, path = cut_to(spark, df)
+        sizes.append(sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path.removeprefix("file:")) for f in names))
+        return made, path
+
+    monkeypatch.setattr(runtime, "cut_to", measured)
+    got = compact_windows.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 120 and len(sizes) > 5 and max(sizes) < 3 * size, (size, sizes)
+
+
 def test_runs_of_one_word(spark):
     """Texts with one word very often: each of their windows has the same smallest hashes, which makes them hot in every block."""
     rng = random.Random(21)
